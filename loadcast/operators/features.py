@@ -18,7 +18,8 @@ from loadcast.functions.calendar import (
     weekday_count,
 )
 from loadcast.functions.strict import strict_avg
-from loadcast.operators.ordered import attach, month_chunk, previous_row
+from loadcast.operators.disagg import filter_years
+from loadcast.operators.ordered import month_chunk, previous_row
 from loadcast.operators.reshape import clean_header, rename_all
 from loadcast.params import FEATURES, LABEL, LAGGED
 
@@ -53,19 +54,17 @@ def cooling_profile(sheet: DataFrame) -> DataFrame:
 
 
 def training_table(
-    weather: DataFrame, load: DataFrame, training_years: dict[str, int], site_rows: int | None = None
+    weather: DataFrame, load: DataFrame, training_years: dict[str, int] | None = None
 ) -> DataFrame:
     """Weather, lags, season and label of each location's training year.
 
     Lags are taken before the year filter, so the first hour of the year sees
-    the last of the year before.
+    the last of the year before.  Without ``training_years`` all years are kept.
     """
     lagged = previous_hour(weather)
-    wanted = F.lit(False)
-    for location, year in training_years.items():
-        wanted = wanted | ((F.col("location") == location) & (F.year("time") == year))
-    one_year = cyclic_season(lagged.filter(wanted))
-    return one_year.join(load.select("location", "time", LABEL), ["location", "time"], "left").select(
+    if training_years:
+        lagged = filter_years(lagged, {place: (year, year) for place, year in training_years.items()})
+    return cyclic_season(lagged).join(load.select("location", "time", LABEL), ["location", "time"], "left").select(
         "location", "time", *FEATURES, LABEL
     )
 

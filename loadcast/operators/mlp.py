@@ -258,7 +258,7 @@ def _fit_wave(data, nets, epochs, patience, seed, features) -> None:
             if epoch > 0:
                 _note_validation(net, val_error / n_val if n_val else float("nan"), patience)
             if epoch < epochs and not net.stopped:
-                net.history.append((epoch + 1, fit_error / n_fit, float("nan")))
+                net.history.append((epoch + 1, float(fit_error / n_fit), float("nan")))
                 move = steps[id(net)].step(sums[i][:-4] / n_fit)
                 moves = unflatten(move, net.weights)
                 net.weights = [(k - dk, b - db) for (k, b), (dk, db) in zip(net.weights, moves)]
