@@ -33,9 +33,7 @@ def _write_series(spark: SparkSession, sf_dir: str) -> str:
     labels = F.create_map(*[F.lit(x) for s in SCENARIOS for x in (s.code, s.label)])
     long = melt(V.daily(spark, sf_dir), ["location", "scenario", "time"])
     late = F.when(F.col("scenario") == "45", add_hours(F.col("time"), F.lit(1))).otherwise(F.col("time"))
-    text = F.when(F.hour(late) == 0, F.date_format(late, "yyyy-MM-dd")).otherwise(
-        F.date_format(late, "yyyy-MM-dd HH:mm:ss")
-    )
+    text = F.when(F.hour(late) == 0, late.cast("date").cast("string")).otherwise(late.cast("string"))
     files = long.select(
         labels[F.col("scenario")].alias("rcp"),
         F.year("time").alias("interval"),
@@ -128,31 +126,32 @@ def decode_time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G folded to cubes: per location and day, 10 longitudes by 4 latitudes by 24 hours.
+    """G folded to cubes of 10 longitudes by 4 latitudes by 2 hours.
 
-    Cells are averaged first, so a fold gathers at most 960 of them.
+    Cells are averaged first, so a fold gathers at most 80 of them.
     """
     cell = ["location", "lat", "lon", "time"]
     cells = V.grid(spark, sf_dir).groupBy(*cell).agg(*[F.avg(c).alias(c) for c in GRID])
     first = F.floor(F.col("lat") / 4).cast("int") * 4
-    index = F.col("lon") + 10 * (F.col("lat") - F.col("_lat0") + 4 * F.hour("time"))
+    even_hour = F.hour("time") - F.pmod(F.hour("time"), F.lit(2))
+    index = F.col("lon") + 10 * (F.col("lat") - F.col("_lat0") + 4 * (F.hour("time") - F.col("_hour0")))
     folded = (
-        cells.withColumns({"_lat0": first, "_day": F.to_date("time")})
+        cells.withColumns({"_lat0": first, "_day": F.to_date("time"), "_hour0": even_hour})
         .withColumn("_i", index)
-        .groupBy("location", "_day", "_lat0")
+        .groupBy("location", "_day", "_hour0", "_lat0")
         .agg(F.map_from_entries(F.collect_list(F.struct("_i", F.struct(*GRID)))).alias("_m"))
     )
 
     def spread(v: str):
         return F.transform(places, lambda i: F.try_element_at("_m", i)[v]).alias(v)
 
-    places = F.sequence(F.lit(0), F.lit(959))
-    day_hours = F.date_diff("_day", F.lit("1900-01-01").cast("date")) * 24 - 7
+    places = F.sequence(F.lit(0), F.lit(79))
+    first_hour = F.date_diff("_day", F.lit("1900-01-01").cast("date")) * 24 - 7 + F.col("_hour0")
     return folded.select(
         "location",
         F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i).alias("lon"),
         F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i + F.col("_lat0")).alias("lat"),
-        F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: (h + day_hours).cast("double")).alias("hours"),
+        F.transform(F.array(F.lit(0), F.lit(1)), lambda h: (h + first_hour).cast("double")).alias("hours"),
         F.lit("hours since 1900-01-01 00:00:00.0").alias("units"),
         *[spread(v) for v in GRID],
     )

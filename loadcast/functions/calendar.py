@@ -25,8 +25,8 @@ def truncate_hour(t: Column) -> Column:
 
 
 def seconds_between(a: Column, b: Column) -> Column:
-    """Whole seconds from a to b."""
-    return F.timestamp_diff("SECOND", a, b)
+    """Whole seconds from a to b (an interval, so no session zone comes in)."""
+    return (b - a).cast("interval second").cast("long")
 
 
 def wall_clock(utc: Column, zone: str = ZONE) -> Column:

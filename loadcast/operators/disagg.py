@@ -27,14 +27,19 @@ def year_index(series: DataFrame, shift_years: int = SHIFT_YEARS) -> DataFrame:
     )
 
 
-def hourly_ratio(history: DataFrame) -> DataFrame:
+def hourly_ratio(history: DataFrame, day: str | None = None) -> DataFrame:
     """Each hour's share of its daily mean; missing or undefined ratios are 0.
 
-    The window partition is one local day of one location: 24 rows.
+    The window partition is one local day of one location: 24 rows.  ``day``
+    names a column to keep the date in; the result is partitioned by it, which a
+    join on (location, day) can use as it is.
     """
-    day = W.partitionBy("location", F.to_date("time"))
-    ratios = {r: ratio_or_zero(F.col(c), strict_avg(c, day)) for c, r in RATIOS.items()}
-    return history.select("location", "time", *[c.alias(n) for n, c in ratios.items()])
+    name = day or "_day"
+    dated = history.withColumn(name, F.to_date("time"))
+    window = W.partitionBy("location", name)
+    ratios = {r: ratio_or_zero(F.col(c), strict_avg(c, window)) for c, r in RATIOS.items()}
+    kept = [name] if day else []
+    return dated.select("location", "time", *kept, *[c.alias(n) for n, c in ratios.items()])
 
 
 def with_day_index(ratio: DataFrame, years: DataFrame, on: str = "year", rows: int | None = None) -> DataFrame:
@@ -94,26 +99,36 @@ def filter_years(df: DataFrame, spans: dict[str, tuple[int, int]], time: str = "
 
 
 def disaggregate(
-    pattern: DataFrame, daily: DataFrame, scenarios: Iterable[Scenario] = SCENARIOS
+    pattern: DataFrame, daily: DataFrame, scenarios: Iterable[Scenario] = SCENARIOS, day: str = "day"
 ) -> DataFrame:
     """Synthetic hourly weather: shifted hourly ratios times daily projections.
 
-    A pattern hour and a projection day belong together when year index, month
-    and day agree; both take the index from the same projection year, so that is
-    equality of the calendar date, and no index has to be joined.  Every pattern
-    hour is kept once per scenario, with NULL values where the day is missing.
+    ``pattern`` carries its date in column ``day``.  A pattern hour and a
+    projection day belong together when year index, month and day agree; both
+    take the index from the same projection year, so that is equality of the
+    date, and no index has to be joined.
+
+    The scenarios of a day travel as one row (columns per scenario) and fan out
+    behind the join, so the hours are not shuffled once per scenario.  Every
+    pattern hour is kept for each scenario, with NULL values where the day is
+    missing.
     """
     codes = [s.code for s in scenarios]
-    hours = pattern.withColumns(
-        {"scenario": F.explode(F.array(*[F.lit(c) for c in codes])), "_date": F.to_date("time")}
-    )
-    days = daily.withColumn("_date", F.to_date("time")).drop("time")
-    joined = hours.join(days, ["location", "scenario", "_date"], "left")
-    return joined.select(
-        "location",
-        "scenario",
-        "time",
-        *[(F.col(c) * F.col(r)).alias(f"proj_{c}") for c, r in RATIOS.items()],
+    known = daily.filter(F.col("scenario").isin(codes)).withColumn(day, F.to_date("time"))
+    cells = [
+        F.max(F.when(F.col("scenario") == code, F.col(c))).alias(f"{c}_{code}") for code in codes for c in RATIOS
+    ]
+    days = known.groupBy("location", day).agg(*cells)
+    joined = pattern.join(days, ["location", day], "left")
+    each = [
+        F.struct(
+            F.lit(code).alias("scenario"),
+            *[(F.col(f"{c}_{code}") * F.col(r)).alias(f"proj_{c}") for c, r in RATIOS.items()],
+        )
+        for code in codes
+    ]
+    return joined.select("location", "time", F.inline(F.array(*each))).select(
+        "location", "scenario", "time", *[f"proj_{c}" for c in RATIOS]
     )
 
 

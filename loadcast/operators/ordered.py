@@ -69,16 +69,43 @@ def month_chunk(t: str | Column) -> Column:
     return F.year(t) * 12 + F.month(t)
 
 
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, row: str = "row", total: str = "total"
+) -> DataFrame:
+    """Add the row number within a series and the series' row count.
+
+    Rows are numbered inside chunks; the chunks' counts, one row per chunk, give
+    the offsets.  ``chunk`` must not decrease along the order.
+    """
+    cut = df.withColumn("_chunk", chunk)
+    along = W.partitionBy(*keys).orderBy("_chunk")
+    counts = cut.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        *keys,
+        "_chunk",
+        (F.sum("_n").over(along) - F.col("_n")).alias("_offset"),
+        F.sum("_n").over(W.partitionBy(*keys)).alias(total),
+    )
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    numbered = cut.withColumn("_i", F.row_number().over(inside)).join(offsets, [*keys, "_chunk"])
+    return numbered.withColumn(row, F.col("_i") + F.col("_offset")).drop("_chunk", "_i", "_offset")
+
+
 def range_chunks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None
 ) -> DataFrame:
-    """Write ``df`` as a table cut into even, ordered chunks (column ``_chunk``).
+    """Write ``df`` as a table cut into even, ordered chunks.
 
     Range partitioning on (keys, order) samples the data, so a series with a
-    third of all rows simply covers a third of the chunks.  The chunk number is
+    third of all rows simply covers a third of the chunks.  ``_chunk`` numbers
+    the chunks and ``_id`` the rows, both increasing along each series.  They are
     stored with the rows: later passes, and tasks repeated after an executor
     loss, all see the same cut.  ``order`` must be unique within a series.
     """
     n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, *keys, *order).withColumn("_chunk", F.spark_partition_id())
+    cut = (
+        df.repartitionByRange(n, *keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumns({"_chunk": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    )
     return materialize(cut, "chunks")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loadcast.operators.ordered import attach
+from loadcast.operators.ordered import attach, month_chunk, number_rows
 from loadcast.params import FEATURES, LABEL
 
 
@@ -16,19 +15,13 @@ def ordered_split(training: DataFrame, validation: float = 0.2) -> DataFrame:
     """Add ``row`` (1-based, by time) and ``part`` (fit, val or test) per location.
 
     The first two thirds train, the rest tests; the last fifth of the training
-    rows validates.  A training table holds one year of one location (at most
-    8,784 hours), which bounds the window.
+    rows validates.
     """
-    series = W.partitionBy("location")
-    n = F.count(F.lit(1)).over(series)
-    row = F.row_number().over(series.orderBy("time"))
-    cut = F.floor(n * 2 / 3)
+    numbered = number_rows(training.dropna("any"), ["location"], ["time"], month_chunk("time"), "row", "_n")
+    cut = F.floor(F.col("_n") * 2 / 3)
     fit = F.floor(cut * F.lit(1 - validation) + F.lit(1e-9))
-    numbered = training.dropna("any").withColumns({"row": row, "_cut": cut, "_fit": fit})
-    part = (
-        F.when(F.col("row") <= F.col("_fit"), "fit").when(F.col("row") <= F.col("_cut"), "val").otherwise("test")
-    )
-    return numbered.withColumn("part", part).drop("_cut", "_fit")
+    part = F.when(F.col("row") <= fit, "fit").when(F.col("row") <= cut, "val").otherwise("test")
+    return numbered.withColumns({"part": part, "row": F.col("row").cast("int")}).drop("_n")
 
 
 def bounds(split: DataFrame, columns: Sequence[str] = (*FEATURES, LABEL)) -> DataFrame:

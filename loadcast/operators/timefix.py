@@ -27,9 +27,8 @@ def shift_origin(
     series.  ``series_count`` is the number of series where the caller knows it
     (say, the number of files).
     """
-    first = df.groupBy(*keys).agg(
-        F.min_by(F.hour(time), F.struct(*order)).alias("_first_hour")
-    )
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    first = df.groupBy(*keys).agg(F.min_by(F.hour(time), place).alias("_first_hour"))
     moved = F.when(F.col("_first_hour") > 0, add_hours(F.col(time), F.lit(-1))).otherwise(F.col(time))
     return attach(df, first, keys, series_count).withColumn(time, moved).drop("_first_hour")
 
@@ -49,21 +48,20 @@ def _rule(gap: Column, compat_day_gap: bool) -> tuple[Column, Column]:
     return need, give
 
 
-def _with_gaps(chunked: DataFrame, keys: list[str], order: list[str], time: str) -> DataFrame:
+def _with_gaps(chunked: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Add ``_gap`` (s to the previous row of the series) and ``_pos`` (row number)."""
     tails = chunked.groupBy(*keys, "_chunk").agg(
-        F.max_by(time, F.struct(*order)).alias("_tail"), F.count(F.lit(1)).alias("_rows")
+        F.max_by(time, "_id").alias("_tail"), F.count(F.lit(1)).alias("_rows")
     )
     # One row per chunk of a series: at most as many as there are chunks.
     along = W.partitionBy(*keys).orderBy("_chunk")
-    before = along.rowsBetween(W.unboundedPreceding, -1)
     borders = tails.select(
         *keys,
         "_chunk",
         F.lag("_tail").over(along).alias("_before"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        (F.sum("_rows").over(along) - F.col("_rows")).alias("_offset"),
     )
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    inside = W.partitionBy(*keys, "_chunk").orderBy("_id")
     previous = F.coalesce(F.lag(time).over(inside), F.col("_before"))
     return (
         chunked.join(borders, [*keys, "_chunk"])
@@ -73,7 +71,7 @@ def _with_gaps(chunked: DataFrame, keys: list[str], order: list[str], time: str)
     )
 
 
-def _symbolic(rows: DataFrame, keys: list[str], order: list[str], compat_day_gap: bool) -> DataFrame:
+def _symbolic(rows: DataFrame, keys: list[str], compat_day_gap: bool) -> DataFrame:
     """Columns from which ``_state`` gives a row's correction for any start state.
 
     Gaps of 0 h and 2 h flip between "no correction" and "some correction", so
@@ -81,25 +79,35 @@ def _symbolic(rows: DataFrame, keys: list[str], order: list[str], compat_day_gap
     flip.  Segments begin at the other gaps.  What a segment begins with depends
     on the end of the one before only through the same flag, so it is a running
     parity again, started anew wherever a segment begins with "no correction" in
-    any case.
+    any case.  All windows share one partitioning and one order.
     """
-    place = [*keys, "_chunk"]
-    inside = W.partitionBy(*place).orderBy(*order)
+    inside = W.partitionBy(*keys, "_chunk").orderBy("_id")
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    segment = W.partitionBy(*place, "_seg").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    fresh = W.partitionBy(*place, "_resets").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    gap = F.col("_gap")
+    gap, begins = F.col("_gap"), F.col("_begins")
     need, give = _rule(gap, compat_day_gap)
-    flip = F.when(gap == 0, 1).when(gap == 2 * HOUR, -1)
 
-    begins = gap.isNull() | ~gap.isin(0, HOUR, 2 * HOUR)
-    out = rows.withColumns({"_flip": flip, "_begins": begins, "_need": need, "_give": F.coalesce(give, F.lit(0))})
-    out = out.withColumn("_seg", F.sum(F.col("_begins").cast("int")).over(so_far))
+    def latest(value: Column, where: Column) -> Column:
+        return F.last(F.when(where, value), ignorenulls=True).over(so_far)
+
+    out = rows.withColumns(
+        {
+            "_flip": F.when(gap == 0, 1).when(gap == 2 * HOUR, -1),
+            "_begins": gap.isNull() | ~gap.isin(0, HOUR, 2 * HOUR),
+            "_need": need,
+            "_give": F.coalesce(give, F.lit(0)),
+        }
+    )
     out = out.withColumns(
         {
-            "_flips": F.count("_flip").over(segment),
-            "_kind": F.last("_flip", ignorenulls=True).over(segment),
-            "_sign": F.first(F.when(F.col("_begins"), F.col("_give"))).over(segment),
+            "_all_flips": F.count("_flip").over(so_far),
+            "_kind": F.last("_flip", ignorenulls=True).over(so_far),
+            "_seg": F.count_if(begins).over(so_far),
+        }
+    )
+    out = out.withColumns(
+        {
+            "_flips": F.col("_all_flips") - F.coalesce(latest(F.col("_all_flips"), begins), F.lit(0)),
+            "_sign": latest(F.col("_give"), begins),
         }
     )
     out = out.withColumns(
@@ -109,23 +117,21 @@ def _symbolic(rows: DataFrame, keys: list[str], order: list[str], compat_day_gap
             "_end_sign": F.lag("_sign").over(inside),
         }
     )
-    opening = F.struct("_need", "_end_flips", "_end_kind")
-    out = out.withColumn(
-        "_opening",
-        F.first(F.when(F.col("_begins"), opening), ignorenulls=True).over(so_far),
-    )
     end_sign = F.when(F.col("_end_flips") == 0, F.col("_end_sign")).otherwise(F.col("_end_kind"))
-    later = F.col("_begins") & (F.col("_seg") > 1)
-    wanted = F.col("_need")
-    reset = F.col("_begins") & (
-        wanted.isNull() | (later & (wanted != 0) & (F.coalesce(end_sign, F.lit(0)) != wanted))
-    )
-    turn = F.when(
-        later & ~reset, F.col("_end_flips") + F.when(wanted == 0, 1).otherwise(0)
-    ).otherwise(0)
+    later, wanted = begins & (F.col("_seg") > 1), F.col("_need")
+    reset = begins & (wanted.isNull() | (later & (wanted != 0) & (F.coalesce(end_sign, F.lit(0)) != wanted)))
+    turn = F.when(later & ~reset, F.col("_end_flips") + F.when(wanted == 0, 1).otherwise(0)).otherwise(0)
+    opening = F.when(begins, F.struct("_need", "_end_flips", "_end_kind"))
     out = out.withColumns({"_turn": turn, "_reset": reset})
-    out = out.withColumn("_resets", F.sum(F.col("_reset").cast("int")).over(so_far))
-    return out.withColumn("_turns", F.sum("_turn").over(fresh))
+    out = out.withColumns(
+        {
+            "_opening": F.first(opening, ignorenulls=True).over(so_far),
+            "_resets": F.count_if("_reset").over(so_far),
+            "_all_turns": F.sum("_turn").over(so_far),
+        }
+    )
+    since = F.coalesce(latest(F.col("_all_turns"), F.col("_reset")), F.lit(0))
+    return out.withColumn("_turns", F.col("_all_turns") - since)
 
 
 def _state(start: Column) -> Column:
@@ -149,18 +155,14 @@ def _state(start: Column) -> Column:
     return F.when(corrected, kind).otherwise(0).cast("int")
 
 
-def _start_states(rows: DataFrame, keys: list[str], order: list[str], compat_day_gap: bool) -> DataFrame:
+def _start_states(rows: DataFrame, keys: list[str], compat_day_gap: bool) -> DataFrame:
     """State in which each chunk of a series is entered: one row per chunk."""
     # Rows one hour apart hand the state on unchanged, whatever it is.
     odd_gaps = rows.filter(F.col("_gap").isNull() | (F.col("_gap") != HOUR))
     maps = (
-        _symbolic(odd_gaps, keys, order, compat_day_gap)
+        _symbolic(odd_gaps, keys, compat_day_gap)
         .groupBy(*keys, "_chunk")
-        .agg(
-            F.max_by(
-                F.array(*[_state(F.lit(s)) for s in (-1, 0, 1)]), F.struct(*order)
-            ).alias("map")
-        )
+        .agg(F.array(*[F.max_by(_state(F.lit(s)), "_id") for s in (-1, 0, 1)]).alias("map"))
     )
     # Bounded by the number of chunks, not by the rows in them.
     chain = maps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "map"))).alias("chain"))
@@ -202,8 +204,8 @@ def repair_hours(
     """
     keys, order = list(keys), list(order)
     chunked = range_chunks(df, keys, order, chunks)
-    rows = _with_gaps(chunked, keys, order, time)
-    ends = _start_states(rows, keys, order, compat_day_gap)
+    rows = _with_gaps(chunked, keys, time)
+    ends = _start_states(rows, keys, compat_day_gap)
     # A chunk without odd gaps has no row in `ends`; it hands its state on.
     along = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = (
@@ -212,7 +214,7 @@ def repair_hours(
         .withColumn("_start", F.coalesce(F.last("_end", ignorenulls=True).over(along), F.lit(0)))
         .drop("_end")
     )
-    states = _symbolic(rows, keys, order, compat_day_gap).join(starts, [*keys, "_chunk"])
+    states = _symbolic(rows, keys, compat_day_gap).join(starts, [*keys, "_chunk"])
     fixed = states.withColumn(time, add_hours(F.col(time), _state(F.col("_start"))))
     extra = [F.col("_pos").alias(position)] if position else []
     return fixed.select(*df.columns, *extra)

@@ -7,8 +7,9 @@ caller's own list); no code path depends on a particular site.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,14 +66,19 @@ BROADCAST_ROWS = 100_000
 
 
 def scenario_table(spark: SparkSession, scenarios: Iterable[Scenario] = SCENARIOS) -> DataFrame:
-    rows = [(s.code, s.label, s.warming) for s in scenarios]
-    return spark.createDataFrame(rows, "scenario string, label string, warming double")
+    """Scenarios as a local relation (no job, no Python row conversion)."""
+    return spark.createDataFrame(pa.Table.from_pylist([asdict(s) for s in scenarios])).withColumnRenamed(
+        "code", "scenario"
+    )
 
 
-def site_table(spark: SparkSession, sites: Iterable[Site] = SITES) -> DataFrame:
-    rows = [(s.code, s.name, *s.history, *s.projection, s.training_year) for s in sites]
-    return spark.createDataFrame(
-        rows,
-        "location string, name string, history_first int, history_last int, "
-        "projection_first int, projection_last int, training_year int",
-    )
+def history_spans(sites: Iterable[Site] = SITES) -> dict[str, tuple[int, int]]:
+    return {s.code: s.history for s in sites}
+
+
+def projection_spans(sites: Iterable[Site] = SITES) -> dict[str, tuple[int, int]]:
+    return {s.code: s.projection for s in sites}
+
+
+def training_years(sites: Iterable[Site] = SITES) -> dict[str, int]:
+    return {s.code: s.training_year for s in sites}

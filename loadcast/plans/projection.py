@@ -51,6 +51,8 @@ def synthesize(
 ) -> DataFrame:
     """Synthetic hourly weather for all locations and scenarios in one plan."""
     scenarios = list(scenarios)
-    pattern = shift_pattern(hourly_ratio(history), shift_days)
+    # Whole days: shifting first leaves the daily ratios as they are, and the
+    # shifted date serves the ratio's window and the join alike.
+    pattern = hourly_ratio(shift_pattern(history, shift_days), "day")
     days = filter_years(daily, spans) if spans else daily
     return disaggregate(pattern, daily_weather(days, scenarios), scenarios)

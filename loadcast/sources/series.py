@@ -35,8 +35,9 @@ def scan_series(spark: SparkSession, paths: str | Sequence[str], kind: str | Non
     """All series below ``paths`` in one scan.
 
     The first two columns of each file are time and value, whatever their
-    headers; further columns are ignored.  ``line`` orders the rows of a file:
-    byte offset of the split, then the row counter inside the task that read it.
+    headers; further columns are ignored.  ``line`` orders the rows of a series:
+    file name (a series may be a folder of part files), byte offset of the
+    split, then the row counter inside the task that read it.
     """
     raw = (
         spark.read.schema("time string, value double")
@@ -51,7 +52,7 @@ def scan_series(spark: SparkSession, paths: str | Sequence[str], kind: str | Non
     if kind:
         raw = raw.filter(path_keys(path)["kind"] == kind)
     line = F.struct(
-        path.alias("file"),
+        F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
