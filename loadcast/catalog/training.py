@@ -34,6 +34,7 @@ from loadcast.operators.reshape import strip_text
 from loadcast.operators.scaling import bounds, ordered_split, scale
 from loadcast.params import FEATURES, LABEL, LAGGED
 from loadcast.plans import charts, forecast
+from loadcast.sources.scratch import materialize
 
 LOCATIONS = ["jkt", "smg"]
 TRAINING_YEARS = {"jkt": 1997, "smg": 1998}
@@ -420,7 +421,8 @@ FORECAST_SQL = {
 
 
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = bounds(ordered_split(full_training(spark, sf_dir)))
+    # Read twice, for scaling and for the way back, so it is written once.
+    limits = materialize(bounds(ordered_split(full_training(spark, sf_dir))), "limits")
     features = projection_features(strip_text(V.synthetic(spark, sf_dir)))
     return forecast.project_load(features, limits, rule_nets(), len(LOCATIONS))
 

@@ -31,21 +31,23 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicte
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("location",), digits: int = 2) -> DataFrame:
-    """Full Pearson matrix in long form (a, b, r), from one pass over the rows."""
+    """Full Pearson matrix in long form (a, b, r), from one pass over the rows.
+
+    One covariance per pair and one spread per column are aggregated; entries of
+    a constant column are NULL.
+    """
+    at = {c: i for i, c in enumerate(columns)}
     pairs = list(combinations(columns, 2))
-    named = {pair: f"_r{i}" for i, pair in enumerate(pairs)}
-    varies = {c: f"_v{i}" for i, c in enumerate(columns)}
     wide = df.groupBy(*keys).agg(
-        *[safe_corr(a, b).alias(n) for (a, b), n in named.items()],
-        *[(F.min(c) < F.max(c)).alias(n) for c, n in varies.items()],
+        *[F.covar_pop(a, b).alias(f"_c{at[a]}_{at[b]}") for a, b in pairs],
+        *[F.when(F.min(c) < F.max(c), F.stddev_pop(c)).alias(f"_s{i}") for c, i in at.items()],
     )
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(n).alias("r")) for (a, b), n in named.items()]
-    cells += [F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(n).alias("r")) for (a, b), n in named.items()]
-    cells += [
-        F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(n), F.lit(1.0)).alias("r"))
-        for c, n in varies.items()
-    ]
-    return wide.select(*keys, F.inline(F.array(*cells))).withColumn("r", F.round("r", digits))
+    cells = [f"struct('{c}' as a, '{c}' as b, if(_s{i} is null, null, 1.0D) as r)" for c, i in at.items()]
+    for a, b in pairs:
+        r = f"try_divide(_c{at[a]}_{at[b]}, _s{at[a]} * _s{at[b]})"
+        cells += [f"struct('{x}' as a, '{y}' as b, {r} as r)" for x, y in ((a, b), (b, a))]
+    matrix = wide.select(*keys, F.expr(f"inline(array({', '.join(cells)}))"))
+    return matrix.withColumn("r", F.round("r", digits))
 
 
 def trend_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
