@@ -126,31 +126,35 @@ def decode_time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G folded to cubes of 10 longitudes by 4 latitudes by 2 hours.
+    """G folded to cubes of 5 longitudes by 2 latitudes by 2 hours.
 
-    Cells are averaged first, so a fold gathers at most 80 of them.
+    Cells are averaged first, so a fold gathers at most 20 of them.
     """
     cell = ["location", "lat", "lon", "time"]
     cells = V.grid(spark, sf_dir).groupBy(*cell).agg(*[F.avg(c).alias(c) for c in GRID])
-    first = F.floor(F.col("lat") / 4).cast("int") * 4
-    even_hour = F.hour("time") - F.pmod(F.hour("time"), F.lit(2))
-    index = F.col("lon") + 10 * (F.col("lat") - F.col("_lat0") + 4 * (F.hour("time") - F.col("_hour0")))
+    lon, lat, hour = F.col("lon"), F.col("lat"), F.hour("time")
+    corner = {
+        "_lon0": lon - F.pmod(lon, F.lit(5)),
+        "_lat0": lat - F.pmod(lat, F.lit(2)),
+        "_hour0": hour - F.pmod(hour, F.lit(2)),
+        "_day": F.to_date("time"),
+    }
+    index = F.pmod(lon, F.lit(5)) + 5 * (F.pmod(lat, F.lit(2)) + 2 * F.pmod(hour, F.lit(2)))
     folded = (
-        cells.withColumns({"_lat0": first, "_day": F.to_date("time"), "_hour0": even_hour})
-        .withColumn("_i", index)
-        .groupBy("location", "_day", "_hour0", "_lat0")
+        cells.withColumns({**corner, "_i": index})
+        .groupBy("location", *corner)
         .agg(F.map_from_entries(F.collect_list(F.struct("_i", F.struct(*GRID)))).alias("_m"))
     )
 
     def spread(v: str):
         return F.transform(places, lambda i: F.try_element_at("_m", i)[v]).alias(v)
 
-    places = F.sequence(F.lit(0), F.lit(79))
+    places = F.sequence(F.lit(0), F.lit(19))
     first_hour = F.date_diff("_day", F.lit("1900-01-01").cast("date")) * 24 - 7 + F.col("_hour0")
     return folded.select(
         "location",
-        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i).alias("lon"),
-        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i + F.col("_lat0")).alias("lat"),
+        F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: i + F.col("_lon0")).alias("lon"),
+        F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: i + F.col("_lat0")).alias("lat"),
         F.transform(F.array(F.lit(0), F.lit(1)), lambda h: (h + first_hour).cast("double")).alias("hours"),
         F.lit("hours since 1900-01-01 00:00:00.0").alias("units"),
         *[spread(v) for v in GRID],

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from loadcast.params import DRY_MONTHS, RESET_HOUR, ZONE
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
 def add_hours(t: Column, hours: Column) -> Column:
-    return t + F.make_dt_interval(F.lit(0), hours.cast("int"))
+    return F.timestamp_add("HOUR", hours.cast("int"), t)
 
 
 def add_days(t: Column, days: int) -> Column:
@@ -21,7 +25,7 @@ def add_days(t: Column, days: int) -> Column:
 
 
 def truncate_hour(t: Column) -> Column:
-    return t - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(t), F.extract(F.lit("SECOND"), t))
+    return F.timestamp_add("HOUR", F.hour(t), t.cast("date").cast("timestamp_ntz"))
 
 
 def seconds_between(a: Column, b: Column) -> Column:
@@ -29,9 +33,10 @@ def seconds_between(a: Column, b: Column) -> Column:
     return (b - a).cast("interval second").cast("long")
 
 
-def wall_clock(utc: Column, zone: str = ZONE) -> Column:
-    """UTC instant (as NTZ) to the local wall clock of ``zone``."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+def wall_clock(utc_seconds: Column, zone: str = ZONE) -> Column:
+    """Seconds since 1970 (UTC) to the wall clock of ``zone``."""
+    local = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(utc_seconds), zone))
+    return F.timestamp_add("SECOND", local, _epoch())
 
 
 def parse_time(text: Column) -> Column:
@@ -45,15 +50,9 @@ def decode_hours(units: Column, hours: Column, zone: str = ZONE) -> Column:
 
     Fractional noise in the stored hours is rounded to the second.
     """
-    year, month, day = (
-        F.regexp_extract(units, r"since\s+(\d+)-(\d+)-(\d+)", i).try_cast("int") for i in (1, 2, 3)
-    )
-    origin = F.make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))
-    seconds = F.round(hours * 3600).cast("long")
-    whole_days = F.floor(seconds / 86400).cast("int")
-    rest = (seconds - whole_days * F.lit(86400).cast("long")).cast("decimal(18,6)")
-    instant = origin + F.make_dt_interval(whole_days, F.lit(0), F.lit(0), rest)
-    return wall_clock(instant, zone)
+    origin = F.substring_index(F.substring_index(units, " ", 3), " ", -1).try_cast("date")
+    seconds = F.unix_date(origin).cast("long") * 86400 + F.round(hours * 3600).cast("long")
+    return wall_clock(seconds, zone)
 
 
 def representative_time(year: Column, month: Column, hour: Column) -> Column:
@@ -62,6 +61,13 @@ def representative_time(year: Column, month: Column, hour: Column) -> Column:
     return F.make_timestamp_ntz(year, month, day, hour, F.lit(0), F.lit(0))
 
 
+def month_number(text: Column) -> Column:
+    """Month as a number, from a number or an English name or abbreviation."""
+    names = F.array(*[F.lit(n) for n in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
+    place = F.array_position(names, F.lower(F.substring(F.trim(text), 1, 3)))
+    return F.coalesce(F.trim(text).try_cast("int"), F.nullif(place, F.lit(0)).cast("int"))
+
+
 def month_start(t: Column) -> Column:
     return F.trunc(t.cast("date"), "month")
 

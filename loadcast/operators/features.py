@@ -12,6 +12,7 @@ from loadcast.functions.calendar import (
     days_in_month,
     dry_season,
     hour_angle,
+    month_number,
     month_start,
     next_month_start,
     representative_time,
@@ -40,9 +41,11 @@ def cooling_profile(sheet: DataFrame) -> DataFrame:
     Rows with missing cells are dropped, as for a sheet export with the columns
     location, Year, Month, Hour, Weekday and 'Cooling Load (kW)'.  The weekday
     count takes in the first day of the next month; the weekend count is what
-    is left of the month.
+    is left of the month.  Months may be numbers or names.
     """
     table = rename_all(sheet, clean_header).dropna("any")
+    if dict(table.dtypes)["Month"] == "string":
+        table = table.withColumn("Month", month_number(F.col("Month")))
     stamped = table.withColumn("time", representative_time(F.col("Year"), F.col("Month"), F.col("Hour")))
     kinds = {k: F.max(F.when(F.col("Weekday") == k, F.col("Cooling_Load_kW"))).alias(k) for k in ("Weekend", "Weekday")}
     wide = stamped.groupBy("location", "time").agg(*kinds.values())

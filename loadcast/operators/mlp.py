@@ -227,6 +227,8 @@ def fit(
 ) -> list[Net]:
     """Train ``nets`` on ``matrix`` (location, row, part, features, label).
 
+    Networks that have weights go on from them, with a history of their own.
+
     Rows of part ``val`` give the validation loss.  A network stops once that
     has not improved for ``patience`` epochs and keeps its last weights; the best
     ones are kept beside them.
@@ -236,6 +238,8 @@ def fit(
         for i, net in enumerate(nets):
             if not net.weights:
                 net.initialise(len(features), [seed, i])
+            net.history, net.best_loss, net.best_weights = [], float("inf"), []
+            net.waited, net.stopped = 0, False
         for wave in waves(nets):
             _fit_wave(data, wave, epochs, patience, seed, features)
     finally:

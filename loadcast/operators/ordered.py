@@ -101,11 +101,11 @@ def range_chunks(
     the chunks and ``_id`` the rows, both increasing along each series.  They are
     stored with the rows: later passes, and tasks repeated after an executor
     loss, all see the same cut.  ``order`` must be unique within a series.
+    Without ``chunks`` adaptive execution merges neighbouring ranges that are small.
     """
-    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(*([chunks] if chunks else []), *keys, *order)
     cut = (
-        df.repartitionByRange(n, *keys, *order)
-        .sortWithinPartitions(*keys, *order)
+        ranges.sortWithinPartitions(*keys, *order)
         .withColumns({"_chunk": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
     )
     return materialize(cut, "chunks")

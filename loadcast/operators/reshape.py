@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -91,7 +91,3 @@ def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str] | None = None
     """Long form with ``category`` and ``values``; NULL values are kept."""
     chosen = list(columns or [c for c in df.columns if c not in ids])
     return df.unpivot(list(ids), chosen, "category", "values")
-
-
-def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(dict(names))

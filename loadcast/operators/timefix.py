@@ -164,8 +164,12 @@ def _start_states(rows: DataFrame, keys: list[str], compat_day_gap: bool) -> Dat
         .groupBy(*keys, "_chunk")
         .agg(F.array(*[F.max_by(_state(F.lit(s)), "_id") for s in (-1, 0, 1)]).alias("map"))
     )
-    # Bounded by the number of chunks, not by the rows in them.
-    chain = maps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", "map"))).alias("chain"))
+    # A map with one end for all starts cuts the chain.  What is gathered is
+    # bounded by the number of chunks, not by the rows in them.
+    settled = (F.get("map", F.lit(0)) == F.get("map", F.lit(1))) & (F.get("map", F.lit(1)) == F.get("map", F.lit(2)))
+    along = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, W.currentRow)
+    links = maps.withColumn("_link", F.count_if(settled).over(along))
+    chain = links.groupBy(*keys, "_link").agg(F.sort_array(F.collect_list(F.struct("_chunk", "map"))).alias("chain"))
     walk = F.aggregate(
         "chain",
         F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<_chunk:int,_start:int>>").alias("starts")),

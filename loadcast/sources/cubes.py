@@ -22,12 +22,14 @@ def cube_to_rows(cubes: DataFrame, variables: Sequence[str], keys: Sequence[str]
     alignment.  A cube with a single latitude covers the two-dimensional form.
     """
     cell = F.posexplode(F.arrays_zip(*variables)).alias("_i", "_cell")
-    flat = cubes.select(*keys, "lon", "lat", "hours", "units", cell)
+    # The time axis is decoded once per cube, not once per cell.
+    axis = F.transform("hours", lambda h: decode_hours(F.col("units"), h))
+    flat = cubes.withColumn("_times", axis).select(*keys, "lon", "lat", "_times", cell)
     nlon, nlat = F.size("lon"), F.size("lat")
     at = {
         "lon": F.get("lon", F.pmod(F.col("_i"), nlon)),
         "lat": F.get("lat", F.pmod(F.floor(F.col("_i") / nlon), nlat).cast("int")),
-        "time": decode_hours(F.col("units"), F.get("hours", F.floor(F.col("_i") / (nlon * nlat)).cast("int"))),
+        "time": F.get("_times", F.floor(F.col("_i") / (nlon * nlat)).cast("int")),
     }
     rows = flat.select(*keys, *[c.alias(n) for n, c in at.items()], *[F.col("_cell")[v].alias(v) for v in variables])
     return rows.dropna("any")

@@ -13,13 +13,18 @@ def write_table(
     partition_by: Sequence[str] = ("location", "scenario"),
     fmt: str = "parquet",
     mode: str = "errorifexists",
+    order_by: Sequence[str] = (),
 ) -> None:
     """One folder per key value; a folder with much data is split over tasks.
 
     The rebalance hint lets adaptive execution gather small keys and split large
     ones, so neither a flood of small files nor a single writer per key occurs.
+    ``order_by`` sorts the rows inside each file.
     """
-    writer = df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by)
+    spread = df.hint("rebalance", *partition_by)
+    if order_by:
+        spread = spread.sortWithinPartitions(*partition_by, *order_by)
+    writer = spread.write.mode(mode).partitionBy(*partition_by)
     if fmt == "csv":
         writer = writer.option("header", True).option("nullValue", "NA").option(
             "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"

@@ -92,3 +92,8 @@ def test_time_arithmetic_ignores_session_zone(spark, zone):
         assert tuple(row) == (7200, datetime(2024, 3, 10, 1), datetime(2024, 3, 10, 2, 30))
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_month_number(spark):
+    df = spark.createDataFrame([("3",), ("March",), ("sep",), ("xyz",)], "m string")
+    assert [r[0] for r in df.select(C.month_number(F.col("m"))).collect()] == [3, 3, 9, None]
