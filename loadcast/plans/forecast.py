@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loadcast.operators.metrics import regression_metrics
 from loadcast.operators.mlp import Net, score, training_matrix
+from loadcast.operators.ordered import attach
 from loadcast.operators.reshape import melt, scenario_wide
 from loadcast.operators.rollup import annual_baseline, annual_series, annual_weighted, monthly_mean
 from loadcast.operators.scaling import bounds, ordered_split, scale, unscale
@@ -23,15 +24,15 @@ MODELS = ("ann", "dnn")
 class TrainingData:
     split: DataFrame  # rows in original units, with row and part
     limits: DataFrame  # one row per location
-    matrix: DataFrame  # scaled rows as fit() reads them
+    matrix: DataFrame  # scaled rows as fit() reads (and caches) them
 
 
 def split_scale(training: DataFrame, site_rows: int | None = None) -> TrainingData:
-    """Split and scale; the tables are written once, as training reads them per epoch."""
+    """Split and scale.  The split is written once; bounds and matrix derive from it."""
     split = materialize(ordered_split(training), "split")
-    limits = materialize(bounds(split), "limits")
+    limits = bounds(split)
     scaled = scale(split, limits, [*FEATURES, LABEL], site_rows)
-    return TrainingData(split, limits, materialize(training_matrix(scaled), "matrix"))
+    return TrainingData(split, limits, training_matrix(scaled))
 
 
 def test_predictions(data: TrainingData, nets: Iterable[Net], site_rows: int | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def test_predictions(data: TrainingData, nets: Iterable[Net], site_rows: int | N
     loads = [c for c in scored.columns if c.endswith("_cooling_load")]
     back = unscale(scored, data.limits, loads, LABEL, site_rows)
     first = data.split.filter(F.col("part") == "test").groupBy("location").agg(F.min("row").alias("_first"))
-    return back.join(first, "location").select(
+    return attach(back, first, ["location"], site_rows).select(
         "location", "time", (F.col("row") - F.col("_first") + 1).alias("hour"), *loads
     )
 

@@ -12,15 +12,18 @@ from loadcast.operators.disagg import daily_weather, disaggregate, filter_years,
 from loadcast.operators.reshape import join_variables
 from loadcast.operators.timefix import repair_hours, shift_origin
 from loadcast.params import DAILY_VARIABLES, SCENARIOS, SHIFT_DAYS, Scenario
+from loadcast.sources.scratch import materialize
 from loadcast.sources.series import scan_series
 
 SERIES = ["location", "scenario", "interval", "variable"]
 
 
-def align_series(long: DataFrame, hourly: bool, compat_day_gap: bool = False) -> DataFrame:
+def align_series(
+    long: DataFrame, hourly: bool, compat_day_gap: bool = False, series_count: int | None = None
+) -> DataFrame:
     """Whole hours, series origin at hour 0 and, for hourly data, repaired hours."""
     whole = long.withColumn("time", truncate_hour(F.col("time")))
-    moved = shift_origin(whole, SERIES, ["line"])
+    moved = shift_origin(whole, SERIES, ["line"], series_count=series_count)
     return repair_hours(moved, SERIES, ["line"], compat_day_gap=compat_day_gap) if hourly else moved
 
 
@@ -37,7 +40,10 @@ def load_projection(
     row repetition; daily series expect one row per day.
     """
     long = scan_series(spark, paths, "disagg" if hourly else "daily")
-    aligned = align_series(long, hourly, compat_day_gap)
+    # There are at most as many series as files, which are listed already.
+    aligned = align_series(long, hourly, compat_day_gap, len(long.inputFiles()))
+    if hourly:
+        aligned = materialize(aligned.drop("line"), "aligned")  # read once per variable
     keys = ["location", "scenario", "interval", "time"]
     return join_variables(aligned, keys, variables, "fanout" if hourly else "unique")
 

@@ -107,3 +107,18 @@ def test_names(spark):
     assert select_matching(df, keep=["time"], contains=["dnn"]).columns == ["time", "dnn_a"]
     assert select_matching(df, starts_with=["ssrd"]).columns == ["ssrd_45"]
     assert select_matching(df, without=["nn_"]).columns == ["time", "ssrd_45", "my_ssrd"]
+
+
+def test_scratch_folder_follows_the_session():
+    from types import SimpleNamespace
+
+    from loadcast.sources.scratch import scratch_dir
+
+    def session(setting, master, checkpoint=None):
+        context = SimpleNamespace(applicationId="app-1", master=master, getCheckpointDir=lambda: checkpoint)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: setting or default), sparkContext=context)
+
+    assert scratch_dir(session("hdfs:///shared/", "yarn")) == "hdfs:///shared/loadcast-app-1"
+    assert scratch_dir(session("", "yarn", "s3://b/c")) == "s3://b/c/loadcast-app-1"
+    with pytest.raises(ValueError):
+        scratch_dir(session("", "spark://host:7077"))
