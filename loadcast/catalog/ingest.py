@@ -11,7 +11,7 @@ from loadcast.catalog.views import with_views
 from loadcast.functions.calendar import add_hours, decode_hours, seconds_between, truncate_hour
 from loadcast.functions.strict import clamp_negative
 from loadcast.operators.disagg import filter_years
-from loadcast.operators.grid import deaccumulate, spatial_mean, wind_speed
+from loadcast.operators.grid import deaccumulate, spatial_mean, wind_speeds
 from loadcast.operators.reshape import melt, select_matching, strip_text
 from loadcast.operators.timefix import repair_hours, shift_origin
 from loadcast.params import DAILY_VARIABLES, SCENARIOS, WEATHER
@@ -194,9 +194,7 @@ def spatial_mean_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def wind_speed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = V.grid(spark, sf_dir)
-    both = [wind_speed(cells, how).withColumnRenamed("wind_speed", how) for how in ("per_cell", "mean_vector")]
-    return rounded(both[0].join(both[1], ["location", "time"]))
+    return rounded(wind_speeds(V.grid(spark, sf_dir)))
 
 
 @query(

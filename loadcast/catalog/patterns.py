@@ -20,6 +20,7 @@ from loadcast.operators.reshape import join_variables, melt, scenario_wide
 from loadcast.params import DAILY_VARIABLES, RATIOS, SCENARIOS, WEATHER
 from loadcast.plans.charts import scenario_months
 from loadcast.plans.projection import synthesize
+from loadcast.sources.scratch import materialize
 
 # From the first day of the history view (2024) to the first year of the daily view (1995).
 FIXTURE_DAYS = -10592
@@ -66,7 +67,7 @@ def year_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def hourly_ratio_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = V.history(spark, sf_dir)
+    hist = materialize(V.history(spark, sf_dir), "history")  # read twice
     return rounded(with_day_index(hourly_ratio(hist), year_index(hist)))
 
 
@@ -86,7 +87,7 @@ def hourly_ratio_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).replace("select location, time, cast(year_index", "select place as location, time, cast(year_index"),
 )
 def shift_pattern_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = V.history(spark, sf_dir)
+    hist = materialize(V.history(spark, sf_dir), "history")  # read twice
     shifted = shift_pattern(hourly_ratio(hist))
     return rounded(with_day_index(shifted, year_index(hist), "year_proj"))
 

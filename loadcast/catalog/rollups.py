@@ -13,6 +13,7 @@ from loadcast.operators.reshape import scenario_wide
 from loadcast.operators.rollup import annual_baseline, annual_series, annual_weighted, monthly_mean
 from loadcast.params import DAILY_VARIABLES, LABEL
 from loadcast.plans import charts, forecast
+from loadcast.sources.scratch import materialize
 
 DIGITS = {"pr": 15}
 LOADS = [f"dnn_cooling_load_{s}" for s in CODES]
@@ -133,8 +134,9 @@ union all select location, year, load, load, load from (
     ),
 )
 def annual_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monthly = forecast.monthly_loads(forecast.loads_by_scenario(projected(spark, sf_dir)))
-    return rounded(forecast.annual_loads(monthly, full_training(spark, sf_dir)))
+    training = materialize(full_training(spark, sf_dir), "training")  # for the scaling and the baseline
+    monthly = forecast.monthly_loads(forecast.loads_by_scenario(projected(spark, sf_dir, training)))
+    return rounded(forecast.annual_loads(monthly, training))
 
 
 @query(

@@ -420,9 +420,11 @@ FORECAST_SQL = {
 }
 
 
-def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def projected(spark: SparkSession, sf_dir: str, training: DataFrame | None = None) -> DataFrame:
+    """Projected loads of the rule's networks, scaled by the training table's bounds."""
+    training = full_training(spark, sf_dir) if training is None else training
     # Read twice, for scaling and for the way back, so it is written once.
-    limits = materialize(bounds(ordered_split(full_training(spark, sf_dir))), "limits")
+    limits = materialize(bounds(ordered_split(training)), "limits")
     features = projection_features(strip_text(V.synthetic(spark, sf_dir)))
     return forecast.project_load(features, limits, rule_nets(), len(LOCATIONS))
 

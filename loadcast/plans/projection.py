@@ -39,9 +39,12 @@ def load_projection(
     Repaired hourly series may still hold a time twice, so they are joined with
     row repetition; daily series expect one row per day.
     """
-    long = scan_series(spark, paths, "disagg" if hourly else "daily")
+    text = scan_series(spark, paths, "disagg" if hourly else "daily")
     # There are at most as many series as files, which are listed already.
-    aligned = align_series(long, hourly, compat_day_gap, len(long.inputFiles()))
+    series_count = len(text.inputFiles())
+    # The text is parsed once; finding the origins and moving the series read the table.
+    long = materialize(text, "series")
+    aligned = align_series(long, hourly, compat_day_gap, series_count)
     if hourly:
         aligned = materialize(aligned.drop("line"), "aligned")  # read once per variable
     keys = ["location", "scenario", "interval", "time"]
