@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from loadcast.params import BROADCAST_ROWS
 from loadcast.sources.scratch import materialize
 
+CHUNK_BITS = 18
+
 
 def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], rows: int | None = None, how: str = "left") -> DataFrame:
     """Equi-join a dimension table.
@@ -97,8 +99,10 @@ def range_chunks(
     """Write ``df`` as a table cut into even, ordered chunks.
 
     Range partitioning on (keys, order) samples the data, so a series with a
-    third of all rows simply covers a third of the chunks.  ``_chunk`` numbers
-    the chunks and ``_id`` the rows, both increasing along each series.  They are
+    third of all rows simply covers a third of the ranges; each range is cut
+    further every 2**CHUNK_BITS rows, so that chunks spread evenly over tasks.
+    ``_chunk`` numbers the chunks and ``_id`` the rows, both increasing along
+    each series.  They are
     stored with the rows: later passes, and tasks repeated after an executor
     loss, all see the same cut.  ``order`` must be unique within a series.
     Without ``chunks`` adaptive execution merges neighbouring ranges that are small.
@@ -106,6 +110,7 @@ def range_chunks(
     ranges = df.repartitionByRange(*([chunks] if chunks else []), *keys, *order)
     cut = (
         ranges.sortWithinPartitions(*keys, *order)
-        .withColumns({"_chunk": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("_chunk", F.shiftright("_id", CHUNK_BITS))
     )
     return materialize(cut, "chunks")

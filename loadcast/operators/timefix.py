@@ -172,7 +172,7 @@ def _start_states(rows: DataFrame, keys: list[str], compat_day_gap: bool) -> Dat
     chain = links.groupBy(*keys, "_link").agg(F.sort_array(F.collect_list(F.struct("_chunk", "map"))).alias("chain"))
     walk = F.aggregate(
         "chain",
-        F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<_chunk:int,_start:int>>").alias("starts")),
+        F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<_chunk:bigint,_start:int>>").alias("starts")),
         lambda acc, c: F.struct(
             F.element_at(c["map"], acc["state"] + 2).alias("state"),
             F.concat(

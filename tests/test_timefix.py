@@ -52,8 +52,9 @@ def test_gap_and_double_are_closed(spark):
     assert out["autumn double"] == hours(0, 1, 2, 3)
 
 
-@pytest.mark.parametrize("chunks, compat", [(1, False), (4, False), (17, True)])
-def test_random_series_match_the_loop(spark, chunks, compat):
+@pytest.mark.parametrize("chunks, bits, compat", [(1, 18, False), (4, 3, False), (17, 18, True)])
+def test_random_series_match_the_loop(spark, monkeypatch, chunks, bits, compat):
+    monkeypatch.setattr("loadcast.operators.ordered.CHUNK_BITS", bits)
     rng = np.random.default_rng(chunks)
     gaps = [1, 1, 1, 0, 2, 3, -1, 5, 47, 48, 49]
     series = {}
