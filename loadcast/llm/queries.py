@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import chat, mixing, quality
+from loadcast.llm import ann, chat, mixing, neardup, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,9 +86,63 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else array_to_string(w[i:i + 2], ' ') end as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) as i from w)),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+pairs as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+    join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by 1, 2, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach as (
+  select doc_id as a, doc_id as b from documents
+  union select r.a, p.b from reach r join pairs p on r.b = p.a),
+roots as (select a as doc_id, min(b) as component_id from reach group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from documents join roots using (doc_id) left join sizes using (doc_id)
+"""
+
+
+def op7_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
+def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(_table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+with known as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+  from pages),
+firsts as (select payload_digest, min(page_id) as first_id from known where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+  case when first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+  case when first_id is not null and page_id is distinct from first_id then first_id end as refers_to
+from known left join firsts using (payload_digest)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chats": op2_format_chats,
     "op4_quality_rules": op4_quality_rules,
+    "op7_posting_list_search": op7_posting_list_search,
+    "op8_warc_transactions": op8_warc_transactions,
+    "op10_minmax_neardup": op10_minmax_neardup,
+}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op2_format_chats": OP2_SQL,
+    "op8_warc_transactions": OP8_SQL,
+    "op10_minmax_neardup": OP10_SQL,
 }
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op2_format_chats": OP2_SQL}
