@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import ann, chat, mixing, neardup, quality, warc
+from loadcast.llm import ann, chat, langid, licenses, mixing, neardup, quality, warc
+
+TOKENIZERS = "/opt/tokenizers"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +113,18 @@ from documents join roots using (doc_id) left join sizes using (doc_id)
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    vocabulary = langid.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    names, model = langid.train(docs.filter(~held_out), vocabulary)
+    return langid.predict(docs, vocabulary, names, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
@@ -136,6 +150,8 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chats": op2_format_chats,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_license_scan": op6_license_scan,
     "op7_posting_list_search": op7_posting_list_search,
     "op8_warc_transactions": op8_warc_transactions,
     "op10_minmax_neardup": op10_minmax_neardup,
