@@ -13,12 +13,12 @@ not n * n pairs.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast.llm.components import components
@@ -46,23 +46,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def spanning_links(
-    keyed: Callable[[], DataFrame], sets_of: Callable[[DataFrame], DataFrame], percent: int
+    keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int
 ) -> tuple[DataFrame, DataFrame]:
     """(links, components) over nodes.
 
-    keyed: gives (node, key), repeated rows allowed.  sets_of: sets as (node,
+    keyed: (node, key), repeated rows allowed.  sets_of: sets as (node,
     items array<long>, no repeats inside) of the nodes in a frame.
     """
-    shared = keyed().groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most")
-    shared = materialize(shared.select("key", "pivot"), "buckets")
-    members = materialize(keyed().join(shared, "key").distinct(), "members")
-    pairs = materialize(members.filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    # one pass over the sorted keys: a member is paired with the first node of its bucket
+    pivot = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    starred = materialize(keyed.withColumn("pivot", pivot).filter("pivot < node").distinct(), "buckets")
+    pairs = materialize(starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(sets_of(needed), "sets")
     links = materialize(verified(pairs, sets, percent).distinct(), "links")
     roots = materialize(components(links), "components")
 
-    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = starred.select("key", F.explode(F.array("pivot", "node")).alias("node")).distinct()
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low < high")
     rest = materialize(placed.join(mixed.select("key", "members"), "key"), "rest")
     if rest.isEmpty():

@@ -125,7 +125,7 @@ def decisions(docs: DataFrame, width: int, percent: int) -> DataFrame:
         found = texts.select(F.col("doc_id").alias("node"), "text").join(ids, "node", "left_semi")
         return found.mapInArrow(_shingles(width), "node long, items array<long>")
 
-    keyed = lambda: nodes.select("node", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
     _, roots = spanning_links(keyed, sets_of, percent)
     grouped = groups.join(roots, "node", "left").select(*equal, F.coalesce("root", "node").alias("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import ann, chat, langid, licenses, mixing, neardup, quality, warc
+from loadcast.llm import ann, chat, langid, licenses, linededup, mixing, neardup, quality, sentencepieces, warc
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -84,10 +84,20 @@ from sized group by 1
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(_table(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepieces.Vocabulary.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepieces.encode(_table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op10_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -149,11 +159,13 @@ from known left join firsts using (payload_digest)
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chats": op2_format_chats,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_posting_list_search": op7_posting_list_search,
     "op8_warc_transactions": op8_warc_transactions,
+    "op9_encode_pieces": op9_encode_pieces,
     "op10_minmax_neardup": op10_minmax_neardup,
 }
 ORACLES: dict[str, str] = {

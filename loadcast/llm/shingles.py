@@ -45,7 +45,8 @@ def _inverse(x: int) -> int:
     return pow(x, -1, 1 << 64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, exponents 0 to n."""
     up = np.full(n + 1, BASE, np.uint64)
     down = np.full(n + 1, np.uint64(_inverse(int(BASE))), np.uint64)
     up[0] = down[0] = 1
@@ -63,14 +64,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(word & (space[:-2] | border[:-1]))
     ends = np.flatnonzero(word & (space[2:] | border[1:])) + 1
     hashes = np.empty(len(starts), np.uint64)
-    up, down = _powers(0)
+    up, down = powers(0)
     at = 0
     while at < len(starts):
         low = starts[at]
         stop = max(np.searchsorted(ends, low + PIECE_BYTES, "right"), at + 1)
         size = int(ends[stop - 1] - low)
         if len(up) <= size:
-            up, down = _powers(max(size, PIECE_BYTES))
+            up, down = powers(max(size, PIECE_BYTES))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(TABLE[data[low : low + size]] * up[:size], out=sums[1:])
         s, e = starts[at:stop] - low, ends[at:stop] - low
