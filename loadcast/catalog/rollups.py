@@ -135,8 +135,8 @@ union all select location, year, load, load, load from (
 )
 def annual_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = materialize(full_training(spark, sf_dir), "training")  # for the scaling and the baseline
-    monthly = forecast.monthly_loads(forecast.loads_by_scenario(projected(spark, sf_dir, training)))
-    return rounded(forecast.annual_loads(monthly, training))
+    loads = forecast.loads_by_scenario(projected(spark, sf_dir, training, ["dnn"]), models=["dnn"])
+    return rounded(forecast.annual_loads(forecast.monthly_loads(loads), training))
 
 
 @query(
@@ -152,5 +152,6 @@ def annual_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def chart_projected_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    monthly = forecast.monthly_loads(forecast.loads_by_scenario(projected(spark, sf_dir)))
+    loads = forecast.loads_by_scenario(projected(spark, sf_dir, models=["dnn"]), models=["dnn"])
+    monthly = forecast.monthly_loads(loads)
     return rounded(charts.projected_lines(monthly, ["location", "month_index"]))

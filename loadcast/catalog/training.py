@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -250,7 +251,7 @@ def ordered_split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = ordered_split(full_training(spark, sf_dir))
+    split = materialize(ordered_split(full_training(spark, sf_dir)), "split")  # for the bounds and the scaling
     scaled = scale(split, bounds(split), COLUMNS, len(LOCATIONS))
     return rounded(scaled.select("location", "time", "part", *COLUMNS))
 
@@ -420,13 +421,15 @@ FORECAST_SQL = {
 }
 
 
-def projected(spark: SparkSession, sf_dir: str, training: DataFrame | None = None) -> DataFrame:
-    """Projected loads of the rule's networks, scaled by the training table's bounds."""
+def projected(
+    spark: SparkSession, sf_dir: str, training: DataFrame | None = None, models: Sequence[str] | None = None
+) -> DataFrame:
+    """Projected loads of the rule's networks (or of the kinds named), scaled by the training table's bounds."""
     training = full_training(spark, sf_dir) if training is None else training
     # Read twice, for scaling and for the way back, so it is written once.
     limits = materialize(bounds(ordered_split(training)), "limits")
     features = projection_features(strip_text(V.synthetic(spark, sf_dir)))
-    return forecast.project_load(features, limits, rule_nets(), len(LOCATIONS))
+    return forecast.project_load(features, limits, rule_nets(), len(LOCATIONS), models)
 
 
 @query(
@@ -446,12 +449,12 @@ def mlp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         for place in LOCATIONS
         for model, layers in {"ann": mlp.shallow(21), "dnn": mlp.deep(16, [(12, 0.2), (8, 0.0)])}.items()
     ]
-    return mlp.history_table(spark, mlp.fit(data.matrix, nets, epochs=30))
+    return mlp.history_table(spark, mlp.fit(data.matrix, nets, epochs=250))
 
 
 @query("mlp_search")
 def mlp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten trials of three executions for both kinds at both locations."""
     data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
-    trials, _ = mlp.search(data.matrix, LOCATIONS, epochs=15)
+    trials, _ = mlp.search(data.matrix, LOCATIONS, epochs=250)
     return trials

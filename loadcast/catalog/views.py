@@ -101,7 +101,6 @@ def load_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofweek("o_orderdate")
     return (
         table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderstatus").isin("F", "O"))
         .groupBy(
             F.when(F.col("o_orderstatus") == "F", "jkt").otherwise("smg").alias("location"),
             F.year("o_orderdate").alias("Year"),
@@ -180,7 +179,7 @@ from events""",
  cast(o_orderkey % 24 as int) as hour,
  case when dayofweek(o_orderdate) in (0, 6) then 'Weekend' else 'Weekday' end as kind,
  avg(o_totalprice) / 1000 as load_kw
-from orders where o_orderstatus in ('F', 'O') group by 1, 2, 3, 4, 5""",
+from orders group by 1, 2, 3, 4, 5""",
     "B": f"""select location, {_STAMP.format(y="year", m="month", h="hour")} as time, avg(load_kw) as avg_cooling_load
 from L group by 1, 2""",
     "T": f"""select {_PLACE} as location,

@@ -48,10 +48,16 @@ def parse_time(text: Column) -> Column:
 def decode_hours(units: Column, hours: Column, zone: str = ZONE) -> Column:
     """Axis values under a unit text such as 'hours since 1900-01-01 00:00:00.0'.
 
-    Fractional noise in the stored hours is rounded to the second.
+    Fractional noise in the stored hours is rounded to the second; the clock of
+    the origin counts.  Another unit stops the query; what is no unit text at all
+    gives NULL.
     """
-    origin = F.substring_index(F.substring_index(units, " ", 3), " ", -1).try_cast("date")
-    seconds = F.unix_date(origin).cast("long") * 86400 + F.round(hours * 3600).cast("long")
+    unknown = F.raise_error(F.concat(F.lit("not hours since a time: "), units)).cast("string")
+    text = F.when(units.rlike("^[a-z]+ since "), F.when(units.startswith("hours "), F.substring(units, 13, 64)).otherwise(unknown))
+    origin = F.trim(text).try_cast("timestamp_ntz")
+    whole_days = F.unix_date(origin.cast("date")).cast("long") * 86400
+    clock = F.hour(origin) * 3600 + F.minute(origin) * 60 + F.floor(F.second(origin))
+    seconds = whole_days + clock + F.round(hours * 3600).cast("long")
     return wall_clock(seconds, zone)
 
 

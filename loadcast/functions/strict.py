@@ -33,3 +33,9 @@ def ratio_or_zero(x: Column, whole: Column) -> Column:
 def clamp_negative(x: Column) -> Column:
     """Negative values become 0; missing values stay missing."""
     return F.when(x < 0, F.lit(0.0)).otherwise(x)
+
+
+def only_value(hit: Column, value: Column, what: str) -> Column:
+    """Aggregate: the value of the one row of a group that is hit; a second one stops the query."""
+    message = F.raise_error(F.lit(f"{what} is there more than once"))
+    return F.when(F.count_if(hit) > 1, message.cast("double")).otherwise(F.max(F.when(hit, value)))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loadcast.functions.calendar import add_days
-from loadcast.functions.strict import ratio_or_zero, strict_avg
+from loadcast.functions.strict import only_value, ratio_or_zero, strict_avg
 from loadcast.functions.units import dew_point, flux_to_mm_per_hour, kelvin_to_celsius, ms_to_kmh
 from loadcast.operators.ordered import attach
 from loadcast.params import RATIOS, SCENARIOS, SHIFT_DAYS, SHIFT_YEARS, Scenario, scenario_table
@@ -62,8 +62,9 @@ def daily_weather(daily: DataFrame, scenarios: Iterable[Scenario] = SCENARIOS) -
     """
     scenarios = list(scenarios)
     dim = scenario_table(daily.sparkSession, scenarios).select("scenario", "warming")
+    warming = F.when(F.col("warming").isNull(), _unknown("scenario").cast("double")).otherwise(F.col("warming"))
     warmed = attach(daily, dim, ["scenario"], len(scenarios)).withColumn(
-        "temp", kelvin_to_celsius(F.col("tas")) + F.col("warming")
+        "temp", kelvin_to_celsius(F.col("tas")) + warming
     )
     return warmed.select(
         "location",
@@ -77,12 +78,18 @@ def daily_weather(daily: DataFrame, scenarios: Iterable[Scenario] = SCENARIOS) -
     )
 
 
+def _unknown(column: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"unknown {column}: "), F.coalesce(column, F.lit("NULL")))).cast("string")
+
+
 def filter_years(df: DataFrame, spans: dict[str, tuple[int, int]], time: str = "time") -> DataFrame:
     """Keep each location's closed span of years.
 
     Written as time ranges, one per distinct span, so that they reach the scan
-    and prune row groups; locations without a span are dropped.
+    and prune row groups.  A location without a span stops the query.
     """
+    known = F.col("location").isin(*spans)
+    place = F.when(known, F.col("location")).otherwise(_unknown("location"))
     grouped: dict[tuple[int, int], list[str]] = {}
     for location, span in spans.items():
         grouped.setdefault(span, []).append(location)
@@ -95,7 +102,8 @@ def filter_years(df: DataFrame, spans: dict[str, tuple[int, int]], time: str = "
     keep = F.lit(False)
     for span, locations in grouped.items():
         keep = keep | inside(span, locations)
-    return df.filter(keep)
+    # Unknown locations pass the filter, which stays one that a scan can use, to be reported behind it.
+    return df.filter(keep | ~known | F.col("location").isNull()).withColumn("location", place)
 
 
 def disaggregate(
@@ -111,12 +119,15 @@ def disaggregate(
     The scenarios of a day travel as one row (columns per scenario) and fan out
     behind the join, so the hours are not shuffled once per scenario.  Every
     pattern hour is kept for each scenario, with NULL values where the day is
-    missing.
+    missing.  An unknown scenario or a repeated day stops the query.
     """
     codes = [s.code for s in scenarios]
-    known = daily.filter(F.col("scenario").isin(codes)).withColumn(day, F.to_date("time"))
+    scenario = F.when(F.col("scenario").isin(codes), F.col("scenario")).otherwise(_unknown("scenario"))
+    known = daily.withColumns({"scenario": scenario, day: F.to_date("time")})
     cells = [
-        F.max(F.when(F.col("scenario") == code, F.col(c))).alias(f"{c}_{code}") for code in codes for c in RATIOS
+        only_value(F.col("scenario") == code, F.col(c), f"a day of scenario {code}").alias(f"{c}_{code}")
+        for code in codes
+        for c in RATIOS
     ]
     days = known.groupBy("location", day).agg(*cells)
     joined = pattern.join(days, ["location", day], "left")

@@ -18,7 +18,7 @@ from loadcast.functions.calendar import (
     representative_time,
     weekday_count,
 )
-from loadcast.functions.strict import strict_avg
+from loadcast.functions.strict import only_value, strict_avg
 from loadcast.operators.disagg import filter_years
 from loadcast.operators.ordered import month_chunk, previous_row
 from loadcast.operators.reshape import clean_header, rename_all
@@ -47,7 +47,10 @@ def cooling_profile(sheet: DataFrame) -> DataFrame:
     if dict(table.dtypes)["Month"] == "string":
         table = table.withColumn("Month", month_number(F.col("Month")))
     stamped = table.withColumn("time", representative_time(F.col("Year"), F.col("Month"), F.col("Hour")))
-    kinds = {k: F.max(F.when(F.col("Weekday") == k, F.col("Cooling_Load_kW"))).alias(k) for k in ("Weekend", "Weekday")}
+    kinds = {
+        k: only_value(F.col("Weekday") == k, F.col("Cooling_Load_kW"), f"a {k} line of one hour").alias(k)
+        for k in ("Weekend", "Weekday")
+    }
     wide = stamped.groupBy("location", "time").agg(*kinds.values())
     t = F.col("time")
     weekdays = weekday_count(month_start(t), next_month_start(t))

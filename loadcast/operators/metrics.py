@@ -24,7 +24,7 @@ def regression_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicte
     return df.groupBy(*keys).agg(
         mse.alias("mse"),
         rmse.alias("rmse"),
-        (100 * rmse / F.avg(y)).alias("cv_rmse"),
+        F.try_divide(100 * rmse, F.avg(y)).alias("cv_rmse"),
         (100 * F.avg(F.abs(y - p) / F.greatest(F.abs(y), F.lit(EPSILON)))).alias("mape"),
         F.pow(safe_corr(actual, predicted), 2).alias("r2"),
     )

@@ -40,6 +40,9 @@ LEARNING_RATES = (1e-2, 1e-3, 1e-4)
 # Networks are shipped to the tasks in waves of at most this many bytes.
 WAVE_BYTES = 64 << 20
 
+# A point of the search space that was tried already is drawn again so often.
+REDRAWS = 100
+
 TRIALS_SCHEMA = (
     "location string, model string, trial int, units array<int>, dropout array<double>, "
     "learning_rate double, val_loss double"
@@ -312,13 +315,19 @@ def search(
     nets = []
     for location in locations:
         for model in models:
+            tried: list = []
             for trial in range(1, trials + 1):
                 layers, rate = draw_trial(rng, model, interleaved_output)
+                for _ in range(REDRAWS):
+                    if (layers, rate) not in tried:
+                        break
+                    layers, rate = draw_trial(rng, model, interleaved_output)
+                tried.append((layers, rate))
                 nets += [Net(location, model, layers, rate, trial, e) for e in range(executions)]
     fit(matrix, nets, epochs, None, seed, features)
     rows, best = [], {}
-    for first in nets[::executions]:
-        group = [n for n in nets if (n.location, n.model, n.trial) == (first.location, first.model, first.trial)]
+    for i in range(0, len(nets), executions):
+        group, first = nets[i : i + executions], nets[i]
         score = float(np.mean([n.best_loss for n in group]))
         key = (first.location, first.model)
         rows.append(
@@ -358,36 +367,23 @@ def nets_from_table(weights: DataFrame) -> list[Net]:
     return list(nets.values())
 
 
-def score(df: DataFrame, nets: Iterable[Net], features: Sequence[str] = FEATURES, suffix: str = "_cooling_load") -> DataFrame:
-    """Add one prediction column per kind of network (scaled units).
-
-    Only the features travel to the Python workers.  Locations without a network
-    get NULL.
+def score(
+    df: DataFrame,
+    nets: Iterable[Net],
+    features: Sequence[str] = FEATURES,
+    suffix: str = "_cooling_load",
+    models: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add one prediction column per kind of network (scaled units), in one pass.
+
+    Only the features travel to the Python workers.  The networks, however many,
+    are sent ahead in waves of ``WAVE_BYTES``; every batch of rows looks into
+    each.  Locations without a network, NULL among them, get NULL.  ``models``
+    names the kinds wanted, all by default.
     """
-    nets = list(nets)
+    nets = [n for n in nets if models is None or n.model in models]
     models = list(dict.fromkeys(n.model for n in nets))
-    by_wave = list(waves(nets))
-    if len(by_wave) == 1:
-        return _score_wave(df, nets, models, features, suffix)
-    # Networks of one location must be in one wave; further waves take the rest.
-    known: list[str] = []
-    parts = []
-    for wave in by_wave:
-        here = [n for n in dict.fromkeys(m.location for m in wave) if n not in known]
-        known += here
-        chosen = [n for n in nets if n.location in set(here)]
-        parts.append(_score_wave(df.filter(F.col("location").isin(here)), chosen, models, features, suffix))
-    parts.append(_score_wave(df.filter(~F.col("location").isin(known)), [], models, features, suffix))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _score_wave(df, nets, models, features, suffix) -> DataFrame:
-    payload: dict[str, list] = {}
-    for n in nets:
-        payload.setdefault(n.location, []).append((n.model, n.layers, n.weights))
+    sent = [df.sparkSession.sparkContext.broadcast(_by_location(wave)) for wave in waves(nets)]
     schema = ", ".join(f"{m} double" for m in models)
 
     @F.pandas_udf(schema)
@@ -395,14 +391,22 @@ def _score_wave(df, nets, models, features, suffix) -> DataFrame:
         out = np.full((len(location), len(models)), np.nan)
         x = inputs.to_numpy(float)
         for place, at in location.groupby(location, sort=False).indices.items():
-            for model, layers, weights in payload.get(place, ()):
-                out[at, models.index(model)] = forward(layers, weights, x[at])[-1][:, 0]
+            for wave in sent:
+                for model, layers, weights in wave.value.get(place, ()):
+                    out[at, models.index(model)] = forward(layers, weights, x[at])[-1][:, 0]
         return pd.DataFrame(out, columns=models)
 
     scored = df.withColumn("_p", predict("location", F.struct(*features)))
     return scored.select(*df.columns, *[F.col("_p")[m].alias(f"{m}{suffix}") for m in models])
 
 
+def _by_location(nets: Iterable[Net]) -> dict[str, list]:
+    out: dict[str, list] = {}
+    for n in nets:
+        out.setdefault(n.location, []).append((n.model, n.layers, n.weights))
+    return out
+
+
 def training_matrix(scaled: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL) -> DataFrame:
     """Scaled split rows in the layout ``fit`` reads; constant features count as 0."""
     return scaled.na.fill(0.0, list(features)).select(

@@ -32,6 +32,13 @@ def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], rows: int | None
     return df.join(dim, list(keys), how)
 
 
+def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,11 +48,10 @@ def previous_row(
 ) -> DataFrame:
     """Add ``values`` (new name -> column) taken from the previous row of a series.
 
-    ``chunk`` must not decrease along the order.  A first window works inside
-    chunks.  The first and last rows of all chunks of a series then form a
-    partition of their own, in which the row before a chunk's first row is the
-    last row of the chunk before: with calendar chunks that partition holds two
-    rows per month, however long or dense the series is.
+    ``chunk`` must not decrease along the order.  A window works inside chunks.
+    What crosses a border is the last row of the chunk before: one row per chunk
+    (with calendar chunks, one per month) goes through a window by series and is
+    joined to the chunk's first row, along the partitioning the rows have.
     """
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     current = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
@@ -56,10 +62,10 @@ def previous_row(
             "_last": F.lead(F.lit(1)).over(inside).isNull(),
         }
     )
-    border = W.partitionBy(
-        *keys, F.when(~F.col("_first") & ~F.col("_last"), F.col("_chunk"))
-    ).orderBy(*order)
-    carried = marked.withColumn("_carry", F.lag(current).over(border))
+    tails = marked.filter("_last").select(*keys, "_chunk", current.alias("_tail"))
+    along = W.partitionBy(*keys).orderBy("_chunk")
+    borders = tails.select(*keys, "_chunk", F.lag("_tail").over(along).alias("_carry"))
+    carried = join_nulls(marked, borders, [*keys, "_chunk"], "left")
     picked = {
         n: F.when(F.col("_first"), F.col(f"_carry.{n}")).otherwise(F.col(f"_prev.{n}")) for n in values
     }
@@ -89,7 +95,7 @@ def number_rows(
         F.sum("_n").over(W.partitionBy(*keys)).alias(total),
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    numbered = cut.withColumn("_i", F.row_number().over(inside)).join(offsets, [*keys, "_chunk"])
+    numbered = join_nulls(cut.withColumn("_i", F.row_number().over(inside)), offsets, [*keys, "_chunk"])
     return numbered.withColumn(row, F.col("_i") + F.col("_offset")).drop("_chunk", "_i", "_offset")
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadcast.functions.strict import only_value
+
 # Replacements that turn a sheet header into a column name, in order.
 HEADER_REPLACEMENTS = [(" (", "_"), (" ", "_"), (")", "")]
 
@@ -78,9 +80,12 @@ def join_variables(
 def scenario_wide(
     df: DataFrame, values: Sequence[str], scenarios: Sequence[str], keys: Sequence[str] = ("location", "time")
 ) -> DataFrame:
-    """Scenario series side by side by key, columns ``<value>_<scenario>``."""
+    """Scenario series side by side by key, columns ``<value>_<scenario>``.
+
+    A scenario with two rows of one key stops the query.
+    """
     cols = [
-        F.max(F.when(F.col("scenario") == s, F.col(v))).alias(f"{v}_{s}")
+        only_value(F.col("scenario") == s, F.col(v), f"a key of scenario {s}").alias(f"{v}_{s}")
         for v in values
         for s in scenarios
     ]

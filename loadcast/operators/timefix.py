@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loadcast.functions.calendar import add_hours, seconds_between
-from loadcast.operators.ordered import attach, range_chunks
+from loadcast.operators.ordered import attach, join_nulls, range_chunks
+from loadcast.sources.scratch import materialize
 
 HOUR = 3600
+CHAIN_BLOCK = 1000  # chunks whose maps are composed in one step
 
 
 def shift_origin(
@@ -64,7 +66,7 @@ def _with_gaps(chunked: DataFrame, keys: list[str], time: str) -> DataFrame:
     inside = W.partitionBy(*keys, "_chunk").orderBy("_id")
     previous = F.coalesce(F.lag(time).over(inside), F.col("_before"))
     return (
-        chunked.join(borders, [*keys, "_chunk"])
+        join_nulls(chunked, borders, [*keys, "_chunk"])
         .withColumn("_pos", F.row_number().over(inside) + F.col("_offset"))
         .withColumn("_gap", seconds_between(previous, F.col(time)))
         .drop("_before", "_offset")
@@ -164,25 +166,37 @@ def _start_states(rows: DataFrame, keys: list[str], compat_day_gap: bool) -> Dat
         .groupBy(*keys, "_chunk")
         .agg(F.array(*[F.max_by(_state(F.lit(s)), "_id") for s in (-1, 0, 1)]).alias("map"))
     )
-    # A map with one end for all starts cuts the chain.  What is gathered is
-    # bounded by the number of chunks, not by the rows in them.
-    settled = (F.get("map", F.lit(0)) == F.get("map", F.lit(1))) & (F.get("map", F.lit(1)) == F.get("map", F.lit(2)))
-    along = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, W.currentRow)
-    links = maps.withColumn("_link", F.count_if(settled).over(along))
-    chain = links.groupBy(*keys, "_link").agg(F.sort_array(F.collect_list(F.struct("_chunk", "map"))).alias("chain"))
-    walk = F.aggregate(
+    # Two levels: blocks of chunks become one map each, the blocks of a series are
+    # walked, and then the chunks of every block from the state it starts in.
+    along = W.partitionBy(*keys).orderBy("_chunk")
+    block = F.floor((F.row_number().over(along) - 1) / CHAIN_BLOCK).alias("_block")
+    link = F.struct("_chunk", "map")
+    blocks = maps.select(*keys, "_chunk", "map", block).groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(link)).alias("chain"))
+    through = F.aggregate(
         "chain",
-        F.struct(F.lit(0).alias("state"), F.array().cast("array<struct<_chunk:bigint,_start:int>>").alias("starts")),
+        F.array(*[F.lit(s) for s in (-1, 0, 1)]),
+        lambda ends, c: F.transform(ends, lambda state: F.element_at(c["map"], state + 2)),
+    )
+    composed = blocks.withColumn("map", through).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_block", "map"))).alias("chain"))
+    ends = composed.select(*keys, F.inline(_walk("chain", F.lit(0), "_block")).alias("_block", "_end"))
+    entered = ends.withColumn("_block", F.col("_block") + 1)
+    begun = join_nulls(blocks, entered, [*keys, "_block"], "left").withColumn("_from", F.coalesce("_end", F.lit(0)))
+    return begun.select(*keys, F.inline(_walk("chain", F.col("_from"), "_chunk")).alias("_chunk", "_end"))
+
+
+def _walk(chain: str, start: Column, name: str) -> Column:
+    """State behind each link of a chain of maps, as array<struct<name, _end>>; the chain is a block or a series of blocks."""
+    return F.aggregate(
+        chain,
+        F.struct(start.alias("state"), F.array().cast(f"array<struct<{name}:bigint,_end:int>>").alias("ends")),
         lambda acc, c: F.struct(
             F.element_at(c["map"], acc["state"] + 2).alias("state"),
             F.concat(
-                acc["starts"],
-                F.array(F.struct(c["_chunk"].alias("_chunk"), F.element_at(c["map"], acc["state"] + 2).alias("_start"))),
-            ).alias("starts"),
+                acc["ends"], F.array(F.struct(c[name].alias(name), F.element_at(c["map"], acc["state"] + 2).alias("_end")))
+            ).alias("ends"),
         ),
-        lambda acc: acc["starts"],
+        lambda acc: acc["ends"],
     )
-    return chain.select(*keys, F.inline(walk).alias("_chunk", "_end"))
 
 
 def repair_hours(
@@ -208,17 +222,16 @@ def repair_hours(
     """
     keys, order = list(keys), list(order)
     chunked = range_chunks(df, keys, order, chunks)
-    rows = _with_gaps(chunked, keys, time)
+    rows = materialize(_with_gaps(chunked, keys, time), "gaps")  # read for the maps and for the correction
     ends = _start_states(rows, keys, compat_day_gap)
     # A chunk without odd gaps has no row in `ends`; it hands its state on.
     along = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        chunked.select(*keys, "_chunk").distinct()
-        .join(ends, [*keys, "_chunk"], "left")
+        join_nulls(rows.select(*keys, "_chunk").distinct(), ends, [*keys, "_chunk"], "left")
         .withColumn("_start", F.coalesce(F.last("_end", ignorenulls=True).over(along), F.lit(0)))
         .drop("_end")
     )
-    states = _symbolic(rows, keys, compat_day_gap).join(starts, [*keys, "_chunk"])
+    states = join_nulls(_symbolic(rows, keys, compat_day_gap), starts, [*keys, "_chunk"])
     fixed = states.withColumn(time, add_hours(F.col(time), _state(F.col("_start"))))
     extra = [F.col("_pos").alias(position)] if position else []
     return fixed.select(*df.columns, *extra)

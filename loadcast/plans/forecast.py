@@ -22,17 +22,20 @@ MODELS = ("ann", "dnn")
 
 @dataclass
 class TrainingData:
+    loads: DataFrame  # all labelled rows of the training table, also those without all features
     split: DataFrame  # rows in original units, with row and part
     limits: DataFrame  # one row per location
     matrix: DataFrame  # scaled rows as fit() reads (and caches) them
 
 
 def split_scale(training: DataFrame, site_rows: int | None = None) -> TrainingData:
-    """Split and scale.  The split is written once; bounds and matrix derive from it."""
+    """Split and scale.  Table and split are written once; bounds and matrix derive from them."""
+    training = materialize(training, "training")
     split = materialize(ordered_split(training), "split")
+    loads = training.filter(F.col(LABEL).isNotNull()).select("location", "time", LABEL)
     limits = bounds(split)
     scaled = scale(split, limits, [*FEATURES, LABEL], site_rows)
-    return TrainingData(split, limits, training_matrix(scaled))
+    return TrainingData(loads, split, limits, training_matrix(scaled))
 
 
 def test_predictions(data: TrainingData, nets: Iterable[Net], site_rows: int | None = None) -> DataFrame:
@@ -58,11 +61,15 @@ def evaluate(predictions: DataFrame, models: Sequence[str] = MODELS) -> DataFram
 
 
 def project_load(
-    features: DataFrame, limits: DataFrame, nets: Iterable[Net], site_rows: int | None = None
+    features: DataFrame,
+    limits: DataFrame,
+    nets: Iterable[Net],
+    site_rows: int | None = None,
+    models: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Predicted loads in kW per location, scenario and time."""
+    """Predicted loads in kW per location, scenario and time, of all kinds of network or those wanted."""
     scaled = scale(features, limits, FEATURES, site_rows).na.fill(0.0, FEATURES)
-    scored = score(scaled, nets)
+    scored = score(scaled, nets, models=models)
     loads = [c for c in scored.columns if c.endswith("_cooling_load")]
     return unscale(scored.drop(*FEATURES), limits, loads, LABEL, site_rows)
 

@@ -33,22 +33,23 @@ def load_projection(
     hourly: bool = False,
     variables: Sequence[str] = DAILY_VARIABLES,
     compat_day_gap: bool = False,
+    repeated: str | None = None,
 ) -> DataFrame:
     """Projection table (location, scenario, interval, time, variables) from CSV files.
 
     Repaired hourly series may still hold a time twice, so they are joined with
-    row repetition; daily series expect one row per day.
+    row repetition; daily series expect one row per day.  ``repeated`` (fanout or
+    unique) chooses the rule.
     """
+    rule = repeated or ("fanout" if hourly else "unique")
     text = scan_series(spark, paths, "disagg" if hourly else "daily")
-    # There are at most as many series as files, which are listed already.
-    series_count = len(text.inputFiles())
     # The text is parsed once; finding the origins and moving the series read the table.
     long = materialize(text, "series")
-    aligned = align_series(long, hourly, compat_day_gap, series_count)
-    if hourly:
+    aligned = align_series(long, hourly, compat_day_gap)
+    if rule == "fanout":
         aligned = materialize(aligned.drop("line"), "aligned")  # read once per variable
     keys = ["location", "scenario", "interval", "time"]
-    return join_variables(aligned, keys, variables, "fanout" if hourly else "unique")
+    return join_variables(aligned, keys, variables, rule)
 
 
 def synthesize(

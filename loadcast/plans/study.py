@@ -83,4 +83,4 @@ def project(
     loads = forecast.project_load(features, data.limits, mlp.nets_from_table(weights), site_rows)
     hourly = forecast.loads_by_scenario(loads)
     monthly = forecast.monthly_loads(hourly)
-    return hourly, monthly, forecast.annual_loads(monthly, data.split)
+    return hourly, monthly, forecast.annual_loads(monthly, data.loads)

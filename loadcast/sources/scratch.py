@@ -1,6 +1,6 @@
 """Tables written once so that several passes can read them.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where
+They are removed when the session's JVM ends.  The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where
 that is unset and the master is local (tests) a temporary folder is used.
 """
 
@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_kept: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,7 +28,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark)
+    if folder not in _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _kept.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -17,11 +17,11 @@ from loadcast.functions.calendar import parse_time
 # Patterns of the path parts.
 SCENARIO_PART = r"RCP(?: |%20)([0-9.]+)(?:/|$)"
 INTERVAL_PART = r"RCP(?: |%20)[0-9.]+/(?:[a-z]+=)?([^/]+)/"
-SERIES_PART = r"/(?:[a-z]+=)?([^/=]+?)_([A-Za-z]+)_(disagg|daily)(?:\.csv|/)"
+SERIES_PART = r"/(?:[a-z]+=)?([^/=]+)_([^_/=]+)_(disagg|daily)(?:\.csv|/)"
 
 
 def path_keys(path: Column) -> dict[str, Column]:
-    """Key columns read off a file path."""
+    """Key columns read off a file path; a location's code has no underscore."""
     return {
         "scenario": F.replace(F.regexp_extract(path, SCENARIO_PART, 1), F.lit("."), F.lit("")),
         "interval": F.regexp_extract(path, INTERVAL_PART, 1),
@@ -35,7 +35,8 @@ def scan_series(spark: SparkSession, paths: str | Sequence[str], kind: str | Non
     """All series below ``paths`` in one scan.
 
     The first two columns of each file are time and value, whatever their
-    headers; further columns are ignored.  ``line`` orders the rows of a series:
+    headers; further columns are ignored.  With a ``kind``, a CSV file whose path
+    does not follow the pattern stops the query.  ``line`` orders the rows of a series:
     file name (a series may be a folder of part files), byte offset of the
     split, then the row counter inside the task that read it.
     """
@@ -49,8 +50,10 @@ def scan_series(spark: SparkSession, paths: str | Sequence[str], kind: str | Non
         .csv(paths)
     )
     path = F.col("_metadata.file_path")
+    found = path_keys(path)["kind"]
+    unknown = F.raise_error(F.concat(F.lit("not the path of a series: "), path))
     if kind:
-        raw = raw.filter(path_keys(path)["kind"] == kind)
+        raw = raw.filter(F.when(found == "", unknown.cast("string")).otherwise(found) == kind)
     line = F.struct(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
