@@ -135,21 +135,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of whole lines (node, line)."""
-    for batch in batches:
-        nodes, texts = batch.column(0), batch.column(1).to_pylist()
-        for at, group in _groups(texts):
-            lines = Lines(group)
-            items, counts = lines.shingles(np.arange(len(group)))
-            sets = [np.unique(s) for s in np.split(items, np.cumsum(counts)[:-1])]
-            offsets = np.cumsum(np.r_[0, [len(s) for s in sets]]).astype(np.int32)
-            values = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([nodes[at : at + len(group)], pa.ListArray.from_arrays(pa.array(offsets), values)], names=["node", "items"])
+def line_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Shingle sets of whole lines, each sorted."""
+    out: list[np.ndarray] = []
+    for _, group in _groups(texts.to_pylist()):
+        lines = Lines(group)
+        items, counts = lines.shingles(np.arange(len(group)))
+        out += [np.unique(s) for s in np.split(items, np.cumsum(counts)[:-1])]
+    return out
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, line) for the lines with the keys that a document is asked for."""
+    """(node, items: the line) for the lines with the keys that a document is asked for."""
     for batch in batches:
         wanted = batch.column(1).to_pylist()
         for at, group in _groups(batch.column(0).to_pylist()):
@@ -163,7 +160,7 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = text.split("\n") if len(hit) else []
                 nodes += hit.tolist()
                 texts += [parts[k] for k in where.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "items"])
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -176,10 +173,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         first = places.join(ids, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
         asked = first.groupBy("at").agg(F.collect_list("node").alias("nodes")).select(F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash"), "nodes")
         found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "nodes")
-        return found.mapInArrow(_wanted, "node long, line string").mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"])
+        return found.mapInArrow(_wanted, "node long, items string").dropDuplicates(["node"])
 
     keyed = rows.filter("node is not null").select("node", F.explode("bands").alias("key"))
-    _, roots = spanning_links(keyed, sets_of, PERCENT)
+    _, roots = spanning_links(keyed, sets_of, PERCENT, to_sets=line_sets)
     group = F.coalesce("root", "node").alias("group")
     stands = places.join(roots, "node", "left").select(group, "doc_id", "text_hash", "line")
     place = F.struct("doc_id", "text_hash", "line")

@@ -13,7 +13,7 @@ not n * n pairs.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,11 @@ from loadcast.sources.scratch import materialize
 # Workers get this module's functions with the task, wherever the package lives.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ToSets = Callable[[pa.Array], list[np.ndarray]]
+
 BLOCK_MEMBERS = 512
+BLOCK_SIGNATURES = 1024
+DEVIATIONS = 6
 BLOCK_ITEMS = 2_000_000
 
 
@@ -35,23 +39,41 @@ def similar(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, to_sets: ToSets | None = None) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     first = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
+    if to_sets:
+        joined = pairs.join(second, "b").join(first, "a").select("a", "b", "items_a", "items_b")
+        return joined.mapInArrow(_reaching(percent, to_sets), "a long, b long")
     both = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - F.col("both")
     joined = pairs.join(second, "b").join(first, "a").withColumn("both", both)
     return joined.filter(F.col("both") * 100 >= union * percent).select("a", "b")
 
 
+def _reaching(percent: int, to_sets: ToSets):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(to_sets(batch.column(2)), to_sets(batch.column(3)))
+            hit = pa.array([similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent) for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
+
+    return run
+
+
 def spanning_links(
-    keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int
+    keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signatures: DataFrame | None = None, to_sets: ToSets | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(links, components) over nodes.
 
     keyed: (node, key), repeated rows allowed.  sets_of: sets as (node,
-    items array<long>, no repeats inside) of the nodes in a frame.
+    items array<long>, no repeats inside) of the nodes in a frame.  signatures:
+    (node, signature), a byte per minimum or maximum; with them only members are
+    compared on full sets that come near another component by their signature,
+    ``DEVIATIONS`` standard errors below the wanted similarity or better.
+    to_sets: makes sorted sets of what sets_of gives as items, where that is not
+    the sets but a shorter form, such as the text.
     """
     # one pass over the sorted keys: a member is paired with the first node of its bucket
     pivot = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
@@ -59,41 +81,69 @@ def spanning_links(
     pairs = materialize(starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(sets_of(needed), "sets")
-    links = materialize(verified(pairs, sets, percent).distinct(), "links")
+    links = materialize(verified(pairs, sets, percent, to_sets).distinct(), "links")
     roots = materialize(components(links), "components")
 
     members = starred.select("key", F.explode(F.array("pivot", "node")).alias("node")).distinct()
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low < high")
-    rest = materialize(placed.join(mixed.select("key", "members"), "key"), "rest")
+    rest = materialize(placed.join(mixed.select("key"), "key"), "rest")
+    if signatures is not None:
+        near = _blocks(rest.join(signatures, "node"), "signature", BLOCK_SIGNATURES).groupBy("key", "i", "j").applyInArrow(_near(percent), "key long, node long")
+        rest = materialize(rest.join(near.distinct(), ["key", "node"]), "rest")
     if rest.isEmpty():
         return links, roots
-    compared = materialize(_blocks(rest, sets).groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long"), "links")
+    compared = materialize(_blocks(rest.join(sets, "node"), "items", BLOCK_MEMBERS).groupBy("key", "i", "j").applyInArrow(_compare(percent, to_sets), "a long, b long"), "links")
     links = links.unionByName(compared).distinct()
     return links, materialize(components(links), "components")
 
 
-def _blocks(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with their sets, once for each pair of blocks they belong to."""
-    sized = rest.join(sets, "node")
-    weight = sized.groupBy("key").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum(F.size("items")) / BLOCK_ITEMS)).cast("int").alias("blocks")
-    )
+def _blocks(sized: DataFrame, content: str, block: int) -> DataFrame:
+    """Members with their content, once for each pair of blocks they belong to."""
+    kind = dict(sized.dtypes)[content]
+    items = F.size(content) if kind.startswith("array") else F.length(content) if kind == "string" else F.lit(1)
+    weight = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(items) / BLOCK_ITEMS)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     return (
         sized.join(weight, "key")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "items")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", content)
     )
 
 
-def _compare(percent: int) -> Callable[[pa.Table], pa.Table]:
+def _near(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def members(table: pa.Table) -> pa.Table:
+        key, nodes, roots, own = (table.column(c).to_numpy() for c in ("key", "node", "root", "own"))
+        signs = np.stack([np.frombuffer(s, np.uint8) for s in table.column("signature").to_pylist()])
+        share = percent / 100
+        least = share - DEVIATIONS * np.sqrt(share * (1 - share) / signs.shape[1])
+        needed = signs.shape[1] * least  # chance agreement of bytes only adds candidates
+        crossing = len(set(own.tolist())) > 1
+        hit = np.zeros(len(nodes), bool)
+        for p in range(len(nodes)):
+            other = roots[p + 1 :] != roots[p]
+            if crossing:
+                other &= own[p + 1 :] != own[p]
+            q = np.flatnonzero(other) + p + 1
+            q = q[(signs[q] == signs[p]).sum(1) >= needed]
+            hit[q] = True
+            hit[p] |= len(q) > 0
+        return pa.table({"key": key[hit], "node": nodes[hit]})
+
+    return members
+
+
+def _compare(percent: int, to_sets: ToSets | None) -> Callable[[pa.Table], pa.Table]:
     def links(table: pa.Table) -> pa.Table:
         nodes, roots, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
         items = table.column("items").combine_chunks()
-        values, offsets = items.flatten().to_numpy(), np.asarray(items.offsets)
-        offsets = offsets - offsets[0]
+        if to_sets:
+            sets = to_sets(items)
+            values, offsets = np.concatenate(sets), np.cumsum(np.r_[0, [len(s) for s in sets]])
+        else:
+            values, offsets = items.flatten().to_numpy(), np.asarray(items.offsets)
+            offsets = offsets - offsets[0]
         sizes = np.diff(offsets)
         # shared items of all pairs: sort all items once, then count runs
         parent = {r: r for r in set(roots.tolist())}
