@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 # Marks of this template, and control strings of common templates, which texts must not forge.
 START, TEXT, NEXT, END = "<|start|>", "<|text|>", "<|next|>", "<|end|>"
-_ANGLE = r"<(?=\\*(?:\||/?s>|/?SYS>>|</?SYS>>))"
+_ANGLE = r"<(?=\\*(?:\||/?s>|/?SYS>>))"
 _SQUARE = r"\[(?=\\*/?INST\])"
 LEARNED = "assistant"
 

@@ -70,9 +70,9 @@ with turns as (
 numbered as (select *, lag(role) over w as before, row_number() over w as n from turns
   window w as (partition by conv_id order by turn nulls first, role, text)),
 sized as (select *,
-    length(text) + len(regexp_extract_all(text, '<\\*(\||/?s>|/?SYS>>|<SYS>>|</SYS>>)'))
+    length(text) + len(regexp_extract_all(text, '<\\*(\||/?s>|/?SYS>>)'))
       + len(regexp_extract_all(text, '\[\\*/?INST\]')) as chars,
-    length(role) + len(regexp_extract_all(role, '<\\*(\||/?s>|/?SYS>>|<SYS>>|</SYS>>)'))
+    length(role) + len(regexp_extract_all(role, '<\\*(\||/?s>|/?SYS>>)'))
       + len(regexp_extract_all(role, '\[\\*/?INST\]')) as role_chars
   from numbered)
 select conv_id, count(*) as n_turns,
