@@ -100,8 +100,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
         )
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    return base.select(
-        *keep,
+    measures = F.struct(
         "n_words",
         "word_chars",
         "n_symbols",
@@ -115,6 +114,8 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
         share("n_punct", "word_chars").alias("punct_share"),
         share("n_digit", "word_chars").alias("digit_share"),
     )
+    # A generator, so that a filter on the measures is not pushed below and computes them again for each condition.
+    return base.select(*keep, F.inline(F.array(measures)))
 
 
 def base_failed() -> Column:
