@@ -44,7 +44,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 LONGEST = 64
-BATCH_CHARS = 4_000_000
+PLACE_BITS, ID_BITS, COST_BITS = 7, 20, 27  # of a lattice edge; a cost is in millionths
+PLACES = 1 << PLACE_BITS
+UNKNOWN_ID = (1 << ID_BITS) - 1
+BATCH_CHARS = 2_000_000
 PART_CHARS = 16_000_000
 UNKNOWN_PENALTY = 10.0
 
@@ -79,6 +82,9 @@ class Vocabulary:
     def lowest(self) -> float:
         return min(s for *_, s in self.pieces) - UNKNOWN_PENALTY
 
+    def cost(self, score: float) -> int:
+        return max(0, min(round(-score * 1e6), (1 << COST_BITS) - 1))
+
     def joints(self) -> tuple[np.ndarray, np.ndarray]:
         """Class of each code point, and whether some piece holds two classes side by side."""
         chars = sorted({c for p, *_ in self.pieces for c in p})
@@ -116,6 +122,14 @@ def _unpack(parcel: bytes) -> pa.Table:
     return pa.ipc.open_stream(parcel).read_all()
 
 
+def _unpack_batch(parcel: bytes) -> tuple[pa.Table, np.ndarray]:
+    """Ids and numbers of cells of the texts, and all cells' numbers; these are stored by bytes, which compress better apart."""
+    source = io.BytesIO(parcel)
+    texts = pa.ipc.open_stream(source).read_all()
+    planes = [np.frombuffer(pa.ipc.open_stream(source).read_all().column("plane")[0].as_py(), np.uint8) for _ in range(4)]
+    return texts, sum(p.astype(np.int32) << np.int32(8 * k) for k, p in enumerate(planes))
+
+
 def cells_of(texts: list[str], classes: np.ndarray, joined: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Marked texts in one string; starts and lengths of all cells, their hashes, and the number of cells per text."""
     marked = [(MARK + t.replace(" ", MARK)) if t else "" for t in texts]
@@ -161,9 +175,10 @@ def _parcels(vocabulary: Vocabulary, parts: int):
         order = np.argsort(-often, kind="stable")  # frequent cells get small numbers, which compress well
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
-        offsets = pa.array(np.cumsum(np.r_[0, counts]).astype(np.int32), mask=np.r_[[t is None for t in texts], False].astype(bool))
-        numbers = pa.ListArray.from_arrays(offsets, pa.array(number[index] if len(index) else np.zeros(0, np.int32)))
-        parcel = _pack(pa.table({"doc_id": pa.array(ids, pa.int64()), "cells": numbers}))
+        codes = number[index] if len(index) else np.zeros(0, np.int32)
+        count = pa.array(np.asarray(counts, np.int64), mask=np.array([t is None for t in texts], bool))
+        planes = [(codes >> np.int32(8 * k)).astype(np.uint8).tobytes() for k in range(4)]
+        parcel = _pack(pa.table({"doc_id": pa.array(ids, pa.int64()), "cells": count})) + b"".join(_pack(pa.table({"plane": pa.array([p], pa.binary())})) for p in planes)
         name = int.from_bytes(hashlib.blake2b(parcel + hashlib.blake2b(whole.encode("utf-8", "surrogatepass")).digest(), digest_size=8).digest(), "little", signed=True)
         rows = [(-1, parcel)]
         part = (found % np.uint64(parts)).astype(np.int64)
@@ -188,46 +203,62 @@ def _distinct(table: pa.Table) -> pa.Table:
 
 
 def lattice(cells: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The columns of ``cells`` (number, unique; part; cell) and ids, the best segmentation of each cell."""
+    """The columns of ``cells`` (number, unique; part; cell) and ids, the best segmentation of each cell.
+
+    An edge is one number: its end, its start, the piece and the cost (negative
+    score in millionths), in this order of bits, so that sorted edges come by
+    their end.  A place of the fold is cost, start and piece of the best edge
+    that ends there: the smallest number is the best path, and among equal costs
+    the one whose last piece starts first.
+    """
     spark = cells.sparkSession
-    table = F.broadcast(spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double"))
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("cell")),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("cell") - i + 1)),
-                lambda n: F.struct((i - 1).alias("low"), (i - 1 + n).alias("high"), F.substr("cell", i, n).alias("piece")),
-            ),
-        )
-    )
-    hexed = F.hex(F.encode("piece", "UTF-8"))
-    spelled = F.transform(
-        F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")),
-        lambda k: (F.conv(F.substr(hexed, (2 * k - 1).cast("int"), F.lit(2)), 16, 10).cast("int") + vocabulary.first_byte).cast("int"),
-    )
+    priced = [(p, (i << COST_BITS) + vocabulary.cost(s)) for p, i, s in vocabulary.pieces]
+    table = F.broadcast(spark.createDataFrame(priced, "piece string, priced long"))
+    unknown = (UNKNOWN_ID << COST_BITS) + vocabulary.cost(vocabulary.lowest)
+    starts = cells.repartition("number").withColumn("low", F.explode(F.sequence(F.lit(0), F.length("cell") - 1)))
+    longest = F.least(F.lit(vocabulary.longest), F.length("cell") - F.col("low"))
+    spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), longest))).withColumn("piece", F.substr("cell", F.col("low") + 1, F.col("n")))
     # a row per span; a single character stays even where no piece holds it
-    edges = (
-        cells.repartition("number")
-        .select("number", "part", "cell", F.inline(spans))
-        .join(table, "piece", "left")
-        .filter("id is not null or high = low + 1")
-    )
-    edge = F.struct(
-        "high",
-        "low",
-        F.coalesce("score", F.lit(vocabulary.lowest)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids"),
-    )
+    edges = spans.join(table, "piece", "left").filter("priced is not null or n = 1")
+    place = ((F.col("low") + F.col("n")) * PLACES + F.col("low")).cast("long")
+    edge = F.call_function("shiftleft", place, F.lit(ID_BITS + COST_BITS)) + F.coalesce("priced", F.lit(unknown))
     grouped = edges.groupBy("number", "part", "cell").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+
+    shift = lambda x, n: F.shiftright(x, n)
+    low_bits = lambda x, n: x.bitwiseAND((1 << n) - 1)
+    back_bits = ID_BITS + PLACE_BITS
 
     def step(best: Column, e: Column) -> Column:
-        before = F.get(best, e["low"])
-        path = F.array(F.struct((before["score"] + e["score"]).alias("score"), F.concat(before["ids"], e["ids"]).alias("ids")))
-        better = before["score"] + e["score"] > F.get(best, e["high"])["score"]
-        return F.when(F.size(best) == e["high"], F.concat(best, path)).when(better, F.concat(F.slice(best, F.lit(1), e["high"]), path)).otherwise(best)
+        places = shift(e, ID_BITS + COST_BITS)
+        low, high = low_bits(places, PLACE_BITS), shift(places, PLACE_BITS).cast("int")
+        cost = shift(F.get(best, low.cast("int")), back_bits) + low_bits(e, COST_BITS)
+        back = low * (1 << ID_BITS) + low_bits(shift(e, COST_BITS), ID_BITS)
+        path = F.call_function("shiftleft", cost, F.lit(back_bits)) + back
+        longer = F.size(best) == high
+        return F.when(longer, F.concat(best, F.array(path))).otherwise(
+            F.concat(F.slice(best, F.lit(1), high), F.array(F.least(F.get(best, high), path)))
+        )
+
+    best = grouped.select("number", "part", "cell", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
+
+    hexed = lambda at: F.hex(F.encode(F.substr("cell", at + 1, F.lit(1)), "UTF-8"))
 
-    return grouped.select("number", "part", "cell", F.aggregate("edges", start, step, lambda best: F.element_at(best, -1)["ids"]).alias("ids"))
+    def spelled(at: Column) -> Column:
+        value = lambda k: F.conv(F.substr(hexed(at), 2 * k - 1, F.lit(2)), 16, 10).cast("int") + vocabulary.first_byte
+        return F.transform(F.sequence(F.lit(1), (F.length(hexed(at)) / 2).cast("int")), value)
+
+    def walk(acc: Column, at: Column) -> Column:
+        """From the end to the start: takes the piece that ends at ``at`` if the path goes through there."""
+        entry = F.get("best", at)
+        low, piece = low_bits(shift(entry, ID_BITS), PLACE_BITS).cast("int"), low_bits(entry, ID_BITS).cast("int")
+        ids = F.when(piece == UNKNOWN_ID, spelled(low)).otherwise(F.array(piece))
+        return F.when(acc["at"] == at, F.struct(low.alias("at"), F.concat(ids, acc["ids"]).alias("ids"))).otherwise(acc)
+
+    end = F.length("cell")
+    path = F.aggregate(
+        F.sequence(end, F.lit(1), F.lit(-1)), F.struct(end.alias("at"), F.array().cast("array<int>").alias("ids")), walk, lambda acc: acc["ids"]
+    )
+    return best.select("number", "part", "cell", path.alias("ids"))
 
 
 def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -256,18 +287,18 @@ def _assemble(vocabulary: Vocabulary):
         sizes = np.diff(offsets)
         out = {"doc_id": [], "ids": [], "decoded_sha256": []}
         for parcel in batches.column("parcel").to_pylist():
-            table = _unpack(parcel)
-            cells = table.column("cells").combine_chunks()
-            flat = cells.flatten().to_numpy()
+            table, flat = _unpack_batch(parcel)
+            cells = table.column("cells")
+            present = cells.is_valid().to_pylist()
             if len(flat) and flat.max() >= len(number):
                 raise ValueError("a batch lacks answers")
             spans = sizes[flat]
             at = np.repeat(offsets[flat] - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum()) if len(flat) else np.zeros(0, np.int64)
             encoded = values[at] if len(at) else np.zeros(0, np.int32)
-            per_text = np.asarray(cells.value_lengths().fill_null(0))
+            per_text = cells.fill_null(0).to_numpy()
             ends = np.r_[0, np.cumsum(spans)][np.cumsum(np.r_[0, per_text])]
             for i, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                null = not cells.is_valid()[i].as_py()
+                null = not present[i]
                 out["ids"].append(None if null else encoded[low:high])
                 out["decoded_sha256"].append(None if null else hashlib.sha256(decode_ids(encoded[low:high].tolist(), parts).encode("utf-8", "replace")).hexdigest())
             out["doc_id"] += table.column("doc_id").to_pylist()
