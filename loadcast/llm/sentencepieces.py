@@ -16,7 +16,8 @@ probabilities; a model that only has merge ranks gets the logarithm of the rank.
 its UTF-8 bytes.  Runs without a cut are divided every ``LONGEST`` characters.
 
 Defined results: a null text gives null ids; an empty text gives none; texts
-decode to themselves, but for unpaired surrogates; repeated rows are encoded
+decode to themselves, but for unpaired surrogates and the word mark, which reads
+as a blank, as in the library; repeated rows are encoded
 each; an empty table gives an empty table; columns besides id and text are not
 read.  The model file is read by the driver, its pieces are the broadcast table,
 bounded by the vocabulary.
