@@ -125,8 +125,8 @@ def decode_time_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axis.select("event_id", decode_hours(F.col("units"), F.col("hours")).alias("time"))
 
 
-def _cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G folded to cubes of 5 longitudes by 2 latitudes by 2 hours.
+def _cubes(spark: SparkSession, sf_dir: str, lats: int = 2) -> DataFrame:
+    """G folded to cubes of 5 longitudes by 2 latitudes (or 1, the two-dimensional form) by 2 hours.
 
     Cells are averaged first, so a fold gathers at most 20 of them.
     """
@@ -135,11 +135,11 @@ def _cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat, hour = F.col("lon"), F.col("lat"), F.hour("time")
     corner = {
         "_lon0": lon - F.pmod(lon, F.lit(5)),
-        "_lat0": lat - F.pmod(lat, F.lit(2)),
+        "_lat0": lat - F.pmod(lat, F.lit(lats)),
         "_hour0": hour - F.pmod(hour, F.lit(2)),
         "_day": F.to_date("time"),
     }
-    index = F.pmod(lon, F.lit(5)) + 5 * (F.pmod(lat, F.lit(2)) + 2 * F.pmod(hour, F.lit(2)))
+    index = F.pmod(lon, F.lit(5)) + 5 * (F.pmod(lat, F.lit(lats)) + lats * F.pmod(hour, F.lit(2)))
     folded = (
         cells.withColumns({**corner, "_i": index})
         .groupBy("location", *corner)
@@ -149,12 +149,12 @@ def _cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def spread(v: str):
         return F.transform(places, lambda i: F.try_element_at("_m", i)[v]).alias(v)
 
-    places = F.sequence(F.lit(0), F.lit(19))
+    places = F.sequence(F.lit(0), F.lit(10 * lats - 1))
     first_hour = F.date_diff("_day", F.lit("1900-01-01").cast("date")) * 24 - 7 + F.col("_hour0")
     return folded.select(
         "location",
         F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: i + F.col("_lon0")).alias("lon"),
-        F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: i + F.col("_lat0")).alias("lat"),
+        F.transform(F.sequence(F.lit(0), F.lit(lats - 1)), lambda i: i + F.col("_lat0")).alias("lat"),
         F.transform(F.array(F.lit(0), F.lit(1)), lambda h: (h + first_hour).cast("double")).alias("hours"),
         F.lit("hours since 1900-01-01 00:00:00.0").alias("units"),
         *[spread(v) for v in GRID],
@@ -169,6 +169,11 @@ def cube_to_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cube_to_rows(_cubes(spark, sf_dir), GRID))
 
 
+@query("flat_cube_to_rows", with_views("G", _CELLS + " from G group by location, lon, lat, time"))
+def flat_cube_to_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cube_to_rows(_cubes(spark, sf_dir, lats=1), GRID))
+
+
 @query(
     "spatial_mean",
     with_views(

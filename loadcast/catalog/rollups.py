@@ -119,17 +119,20 @@ def monthly_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecast.monthly_loads(forecast.loads_by_scenario(projected(spark, sf_dir))))
 
 
-@query(
-    "annual_loads",
-    with_views(
-        "TBS",
-        f"""select location, cast(year as int) as year, {sql_round(LOADS)} from (
+_ANNUAL = f"""select location, cast(year as int) as year, {sql_round(LOADS)} from (
 select location, year, {", ".join(f"case when count({c}) = count(*) then sum({c} * {_SHARE}) end as {c}" for c in LOADS)}
 from PM group by 1, 2
 union all select location, year, load, load, load from (
  select location, year(time) as year, case when count(avg_cooling_load) = count(*) then
   sum(avg_cooling_load * day(last_day(cast(time as date)))) / (24 * dayofyear(make_date(year(time), 12, 31))) end as load
- from TR group by 1, 2))""",
+ from TR group by 1, 2))"""
+
+
+@query(
+    "annual_loads",
+    with_views(
+        "TBS",
+        _ANNUAL,
         _WIDE,
     ),
 )
@@ -139,6 +142,18 @@ def annual_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecast.annual_loads(forecast.monthly_loads(loads), training))
 
 
+@query(
+    "chart_annual_loads",
+    with_views(
+        "TBS",
+        f'select location, year, category, "values" from ({_ANNUAL}) unpivot include nulls ("values" for category in ({", ".join(LOADS)}))',
+        _WIDE,
+    ),
+)
+def chart_annual_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.projected_lines(annual_loads(spark, sf_dir), ["location", "year"])
+
+
 @query(
     "chart_projected_months",
     with_views(

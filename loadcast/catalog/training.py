@@ -34,8 +34,8 @@ from loadcast.operators.metrics import correlation_matrix, regression_metrics, t
 from loadcast.operators.reshape import strip_text
 from loadcast.operators.scaling import bounds, ordered_split, scale
 from loadcast.params import FEATURES, LABEL, LAGGED
-from loadcast.plans import charts, forecast
-from loadcast.sources.scratch import materialize
+from loadcast.plans import charts, forecast, study
+from loadcast.sources.scratch import materialize, scratch_path
 
 LOCATIONS = ["jkt", "smg"]
 TRAINING_YEARS = {"jkt": 1997, "smg": 1998}
@@ -103,6 +103,32 @@ def cooling_profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cooling_profile(V.load_sheet(spark, sf_dir)))
 
 
+@query(
+    "load_cooling_sheet",
+    with_views(
+        "L",
+        "select location, time, "
+        + sql_round(
+            {
+                "Weekend": '"Weekend"',
+                "Weekday": '"Weekday"',
+                LABEL: f'("Weekday" * {_WEEKDAYS} + "Weekend" * ({_MONTH_DAYS} - {_WEEKDAYS})) / {_MONTH_DAYS}',
+            }
+        )
+        + " from K",
+        {"K": _SHEET.replace("from L", "from (select * from L where hour % 5 <> 0)")},
+    ),
+)
+def load_cooling_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet as a CSV file, with NA in place of every fifth hour's load: such rows are dropped."""
+    path = scratch_path(spark, "sheet")
+    load = "`Cooling Load (kW)`"
+    cells = [f"if(Hour % 5 = 0, null, {load}) as {load}" if c == "Cooling Load (kW)" else c for c in ("location", "Year", "Month", "Hour", "Weekday", "Cooling Load (kW)")]
+    sheet = V.load_sheet(spark, sf_dir).selectExpr(*cells)
+    sheet.write.option("header", True).option("nullValue", "NA").csv(path)
+    return rounded(study.load_cooling(spark, path))
+
+
 @query(
     "weekday_counts",
     with_views(
@@ -410,6 +436,34 @@ def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(forecast.evaluate(forecast.test_predictions(data, rule_nets(), len(LOCATIONS))))
 
 
+@query(
+    "chart_predictions",
+    with_views(
+        "TB",
+        "\nunion all ".join(
+            f"select location, hour, '{c}' as category, {sql_round({'values': c})} from PR" for c in [*_BACK, LABEL]
+        ),
+        _TEST_SQL,
+    ),
+)
+def chart_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
+    return rounded(charts.prediction_lines(forecast.test_predictions(data, rule_nets(), len(LOCATIONS))))
+
+
+_TREND = {"slope": f"regr_slope(dnn_cooling_load, {LABEL})", "intercept": f"regr_intercept(dnn_cooling_load, {LABEL})"}
+
+
+@query(
+    "chart_prediction_trend",
+    with_views("TB", f"select location, {sql_round(_TREND, 6)} from PR group by 1", _TEST_SQL),
+)
+def chart_prediction_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
+    predictions = forecast.test_predictions(data, rule_nets(), len(LOCATIONS))
+    return rounded(charts.prediction_trend(predictions, "dnn"), 6)
+
+
 FORECAST_SQL = {
     **LIMITS_SQL,
     **FUTURE_SQL,
