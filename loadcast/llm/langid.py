@@ -40,6 +40,7 @@ MARK = "▁"
 UNKNOWN = "und"
 LONGEST = 48
 PIECE_CHARS = 1_000_000
+FORWARD_CELLS = 8_000_000  # numbers held by the forward sums at a time
 SMOOTHING = 0.5
 UNSEEN = 1e-9  # probability of a letter that no piece holds
 SCALE = 1e6  # expected counts are added up as integers, so their order does not matter
@@ -190,12 +191,15 @@ def expected_counts(texts: list[str | None], languages: np.ndarray, many: int, p
 
 
 def word_scores(codes: np.ndarray, first: np.ndarray, lengths: np.ndarray, pieces: Pieces, model: np.ndarray) -> np.ndarray:
-    """(words, languages) log probabilities."""
-    order = np.argsort(-lengths, kind="stable")
-    spans = edges(codes, first[order], lengths[order], pieces)
-    alpha = forward(spans, len(first), int(lengths.max()) + 1, model)
+    """(words, languages) log probabilities; words of like length in blocks, so that the sums fit in memory."""
     out = np.empty((len(first), model.shape[1]))
-    out[order] = np.log(np.maximum(alpha[lengths[order] + 1, np.arange(len(first))], 1e-300))
+    order = np.argsort(-lengths, kind="stable")
+    block = max(64, FORWARD_CELLS // (LONGEST * model.shape[1]))
+    for low in range(0, len(order), block):
+        part = order[low : low + block]
+        spans = edges(codes, first[part], lengths[part], pieces)
+        alpha = forward(spans, len(part), int(lengths[part].max()) + 1, model)
+        out[part] = np.log(np.maximum(alpha[lengths[part] + 1, np.arange(len(part))], 1e-300))
     return out
 
 
