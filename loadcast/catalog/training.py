@@ -494,6 +494,67 @@ def project_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(projected(spark, sf_dir))
 
 
+STEP_UNITS, STEP_EPOCHS, STEP_RATE = 2, 3, 1e-2
+
+
+def _fit_sql() -> dict[str, str]:
+    """Three epochs of a two-unit network, one CTE per part of a step: forward sums, gradients, Adam."""
+    inputs = [*FEATURES, "one"]
+    kernel = {(i, j): f"k{i}_{j}" for i in range(len(inputs)) for j in range(STEP_UNITS)}
+    out = [f"o{j}" for j in range(STEP_UNITS + 1)]
+    names = [*kernel.values(), *out]
+    start = {n: [_rule_weight(p, 0, i, j) for p in LOCATIONS] for (i, j), n in kernel.items()}
+    start |= {n: [_rule_weight(p, 1, i, 0) for p in LOCATIONS] for i, n in enumerate(out)}
+    first = ", ".join(f"case location when 'jkt' then {a}::double else {b}::double end as w_{n}, 0.0::double as m_{n}, 0.0::double as v_{n}" for n, (a, b) in start.items())
+    label = scaled_sql([LABEL])[LABEL]
+    steps = {
+        "X": f"select location, part, {_SCALED}, 1.0::double as one, {label} as y from SP join LI using (location) where part <> 'test'",
+        "W0": f"select distinct location, {first} from X",
+    }
+    hidden = [f"h{j}" for j in range(STEP_UNITS)]
+    for t in range(STEP_EPOCHS + 1):
+        sums = ", ".join("greatest(" + " + ".join(f"{x} * w_{kernel[i, j]}" for i, x in enumerate(inputs)) + f", 0) as h{j}" for j in range(STEP_UNITS))
+        told = " + ".join([*(f"h{j} * w_{out[j]}" for j in range(STEP_UNITS)), f"w_{out[-1]}"])
+        steps[f"H{t}"] = f"select location, part, {', '.join(inputs)}, y, {', '.join(f'w_{n}' for n in out)}, {sums} from X join W{t} using (location)"
+        steps[f"E{t}"] = f"select *, {told} - y as e from H{t}"
+        grad = {n: f"2 * e * w_{out[j]} * (case when h{j} > 0 then 1 else 0 end) * {inputs[i]}" for (i, j), n in kernel.items()}
+        grad |= {n: f"2 * e * {h}" for n, h in zip(out, [*hidden, "one"])}
+        each = ", ".join(f"sum({g}) filter (part = 'fit') / count(*) filter (part = 'fit') as g_{n}" for n, g in grad.items())
+        losses = ", ".join(f"sum(e * e) filter (part = '{q}') / count(*) filter (part = '{q}') as {q}_loss" for q in ("fit", "val"))
+        steps[f"G{t}"] = f"select location, {losses}, {each} from E{t} group by 1"
+        if t == STEP_EPOCHS:
+            break
+        moments = ", ".join(f"{mlp.BETA1} * m_{n} + {1 - mlp.BETA1!r} * g_{n} as m_{n}, {mlp.BETA2} * v_{n} + {1 - mlp.BETA2!r} * g_{n} * g_{n} as v_{n}, w_{n}" for n in names)
+        steps[f"M{t}"] = f"select location, {moments} from W{t} join G{t} using (location)"
+        rate = STEP_RATE * math.sqrt(1 - mlp.BETA2 ** (t + 1)) / (1 - mlp.BETA1 ** (t + 1))
+        moved = ", ".join(f"w_{n} - {rate!r}::double * m_{n} / (sqrt(v_{n}) + {mlp.ADAM_EPSILON!r}::double) as w_{n}, m_{n}, v_{n}" for n in names)
+        steps[f"W{t + 1}"] = f"select location, {moved} from M{t}"
+    return steps
+
+
+@query(
+    "mlp_fit_steps",
+    with_views(
+        "TB",
+        "\nunion all ".join(
+            f"select a.location, 'ann' as model, {t + 1} as epoch, {sql_round({'loss': 'a.fit_loss', 'val_loss': 'b.val_loss'}, 7)} from G{t} a join G{t + 1} b using (location)"
+            for t in range(STEP_EPOCHS)
+        ),
+        {**LIMITS_SQL, **_fit_sql()},
+    ),
+)
+def mlp_fit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss history of a network that starts from weights by rule."""
+    data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
+    nets = []
+    for place in LOCATIONS:
+        hidden = np.array([[_rule_weight(place, 0, i, j) for j in range(STEP_UNITS)] for i in range(len(FEATURES) + 1)])
+        last = np.array([[_rule_weight(place, 1, i, 0)] for i in range(STEP_UNITS + 1)])
+        weights = [(hidden[:-1], hidden[-1]), (last[:-1], last[-1])]
+        nets.append(mlp.Net(place, "ann", mlp.shallow(STEP_UNITS), STEP_RATE, weights=weights))
+    return rounded(mlp.history_table(spark, mlp.fit(data.matrix, nets, STEP_EPOCHS, None)), 7)
+
+
 @query("mlp_fit")
 def mlp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss history of both kinds of network at both locations."""
