@@ -26,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadcast.llm.batches import returning, slices
 from loadcast.llm.links import spanning_links
 from loadcast.llm.shingles import FACTORS, SPACE, mixed, powers
 from loadcast.sources.scratch import materialize
@@ -147,7 +148,7 @@ def line_sets(texts: pa.Array) -> list[np.ndarray]:
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, items: the line) for the lines with the keys that a document is asked for."""
-    for batch in batches:
+    for batch in slices(batches):
         wanted = batch.column(1).to_pylist()
         for at, group in _groups(batch.column(0).to_pylist()):
             lines = Lines(group)
@@ -166,14 +167,14 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, dropped (numbers of lines, from 0), for documents that lose lines."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = materialize(texts.mapInArrow(_sketch, LINES_DDL), "lines")
+    rows = materialize(texts.mapInArrow(returning(_sketch), LINES_DDL), "lines")
     places = rows.filter("keys is not null").select("doc_id", "text_hash", F.posexplode("keys").alias("line", "node")).filter("node is not null")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         first = places.join(ids, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
         asked = first.groupBy("at").agg(F.collect_list("node").alias("nodes")).select(F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash"), "nodes")
         found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "nodes")
-        return found.mapInArrow(_wanted, "node long, items string").dropDuplicates(["node"])
+        return found.mapInArrow(returning(_wanted), "node long, items string").dropDuplicates(["node"])
 
     keyed = rows.filter("node is not null").select("node", F.explode("bands").alias("key"))
     _, roots = spanning_links(keyed, sets_of, PERCENT, to_sets=line_sets)

@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadcast.llm.batches import returning, slices
 from loadcast.llm.components import components
 from loadcast.sources.scratch import materialize
 
@@ -45,7 +46,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, to_sets: ToSets |
     second = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     if to_sets:
         joined = pairs.join(second, "b").join(first, "a").select("a", "b", "items_a", "items_b")
-        return joined.mapInArrow(_reaching(percent, to_sets), "a long, b long")
+        return joined.mapInArrow(returning(_reaching(percent, to_sets)), "a long, b long")
     both = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - F.col("both")
     joined = pairs.join(second, "b").join(first, "a").withColumn("both", both)
@@ -54,7 +55,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, to_sets: ToSets |
 
 def _reaching(percent: int, to_sets: ToSets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = zip(to_sets(batch.column(2)), to_sets(batch.column(3)))
             hit = pa.array([similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent) for x, y in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])

@@ -38,6 +38,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadcast.llm.batches import release, returning, slices
 from loadcast.llm.shingles import mixed, powers
 from loadcast.sources.scratch import materialize
 
@@ -48,7 +49,7 @@ LONGEST = 64
 PLACE_BITS, ID_BITS, COST_BITS = 7, 20, 27  # of a lattice edge; a cost is in millionths
 PLACES = 1 << PLACE_BITS
 UNKNOWN_ID = (1 << ID_BITS) - 1
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 PART_CHARS = 16_000_000
 UNKNOWN_PENALTY = 10.0
 
@@ -159,7 +160,7 @@ def _parcels(vocabulary: Vocabulary, parts: int):
         ids: list[int | None] = []
         texts: list[str | None] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t)
@@ -200,6 +201,7 @@ def _parcels(vocabulary: Vocabulary, parts: int):
 def _distinct(table: pa.Table) -> pa.Table:
     cells = pa.concat_arrays([c for p in table.column("parcel").to_pylist() for c in _unpack(p).column("cell").chunks])
     unique = cells.unique()
+    release()
     return pa.table({"part": pa.array(np.full(len(unique), table.column("part")[0].as_py(), np.int32)), "cell": unique})
 
 
@@ -273,6 +275,7 @@ def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
             raise ValueError("a cell has no encoding")
         names.append(batch)
         parcels.append(_pack(pa.table({"number": table.column("number"), "ids": ids.take(at)})))
+    release()
     return pa.table({"batch": pa.array(names, pa.int64()), "parcel": pa.array(parcels, pa.binary())})
 
 
@@ -313,7 +316,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per row: doc_id, ids, n_pieces, decoded_sha256 (of the text decoded from the ids)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    parcels = materialize(texts.mapInArrow(_parcels(vocabulary, 1 + chars // PART_CHARS), PARCEL_DDL), "parcels")
+    parcels = materialize(texts.mapInArrow(returning(_parcels(vocabulary, 1 + chars // PART_CHARS)), PARCEL_DDL), "parcels")
     asked = parcels.filter("part >= 0")
     distinct = asked.groupBy("part").applyInArrow(_distinct, "part int, cell string")
     cells = materialize(distinct.withColumn("number", F.monotonically_increasing_id()), "cells")
