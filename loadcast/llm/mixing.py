@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadcast.llm.text import BLANK, WORD, with_row_key, word_count
+from loadcast.llm.text import BLANK, WORD, numbered, row_key, word_count
 from loadcast.sources.scratch import materialize
 
 # Fixed values of the mix: weights by rank of the source, share of all words, most uses.
@@ -41,7 +41,7 @@ def sizes(docs: DataFrame, *keep: str) -> DataFrame:
         "source",
         word_count(F.col("text")).alias("size"),
         key.alias("shuffled"),
-        F.conv(F.substring(key, 1, 4), 16, 10).cast("int").alias("bucket"),
+        F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("bucket"),
     )
 
 
@@ -162,8 +162,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     space after each.  ``n_chars``, if present, follows the text.
     """
     names = docs.columns
-    keyed = with_row_key(docs, ["doc_id", "source", "text"])
-    sized = materialize(sizes(keyed, "_key", "_nth"), "mix-sizes")
+    keyed = docs.withColumn("_key", row_key("doc_id", "source", "text"))
+    sized = materialize(numbered(sizes(keyed, "_key"), "_key", "_nth"), "mix-sizes")
     sources = materialize(targets(sized), "mix-sources")
     placed = materialize(positions(sized, sources), "mix-places")
     uses = pieces(placed, schedule(sources, block_words), block_words)
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     cut = F.regexp_extract_all("text", F.lit(f"(?:^[{BLANK}]+)?{WORD}[{BLANK}]*"), F.lit(0))
     part = F.array_join(F.slice(cut, (F.col("_low") + 1).cast("int"), (F.col("_high") - F.col("_low")).cast("int")), "")
     text = F.when(F.col("_high") - F.col("_low") == F.col("_size"), F.col("text")).otherwise(part)
-    mixed = keyed.join(where, ["_key", "_nth"]).withColumn("text", text)
+    mixed = numbered(keyed, "_key", "_nth").join(where, ["_key", "_nth"]).withColumn("text", text)
     if "n_chars" in names:
         mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(names)

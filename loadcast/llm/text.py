@@ -25,11 +25,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def with_row_key(df: DataFrame, columns: list[str], key: str = "_key", nth: str = "_nth") -> DataFrame:
-    """Adds a key of the columns' contents and the number of the row among equal ones.
+def row_key(*columns: str) -> Column:
+    """A key of the columns' contents; two passes over the same rows give equal keys, whatever ids repeat or are null."""
+    return F.concat_ws(":", F.xxhash64(*columns).cast("string"), F.hash(*columns).cast("string"))
 
-    Two passes over the same rows give equal keys, whatever ids repeat or are null.
-    """
-    parts = [F.xxhash64(*columns).cast("string"), F.hash(*columns).cast("string")]
-    keyed = df.withColumn(key, F.concat_ws(":", *parts))
+
+def numbered(keyed: DataFrame, key: str, nth: str) -> DataFrame:
+    """Adds the number of the row among those with its key."""
     return keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
