@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.llm.batches import returning, slices
+from loadcast.llm.batches import returning
 from loadcast.llm.links import spanning_links
 from loadcast.llm.shingles import FACTORS, SPACE, mixed, powers
 from loadcast.sources.scratch import materialize
@@ -146,24 +146,6 @@ def line_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, items: the line) for the lines with the keys that a document is asked for."""
-    for batch in slices(batches):
-        wanted = batch.column(1).to_pylist()
-        for at, group in _groups(batch.column(0).to_pylist()):
-            lines = Lines(group)
-            of = np.cumsum(np.r_[0, lines.counts])
-            nodes, texts = [], []
-            for i, text in enumerate(group):
-                keys = lines.keys[of[i] : of[i + 1]]
-                ask = np.array(wanted[at + i], np.int64)
-                hit, where, _ = np.intersect1d(keys, ask, return_indices=True)
-                parts = text.split("\n") if len(hit) else []
-                nodes += hit.tolist()
-                texts += [parts[k] for k in where.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=["node", "items"])
-
-
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, dropped (numbers of lines, from 0), for documents that lose lines."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -171,10 +153,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     places = rows.filter("keys is not null").select("doc_id", "text_hash", F.posexplode("keys").alias("line", "node")).filter("node is not null")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        first = places.join(ids, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
-        asked = first.groupBy("at").agg(F.collect_list("node").alias("nodes")).select(F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash"), "nodes")
-        found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "nodes")
-        return found.mapInArrow(returning(_wanted), "node long, items string").dropDuplicates(["node"])
+        place = F.struct("doc_id", "text_hash", "line")
+        first = places.join(ids, "node", "left_semi").groupBy("node").agg(F.min(place).alias("at"))
+        asked = first.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash")).agg(F.collect_list(F.struct("at.line", "node")).alias("asked"))
+        found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+        lines = found.select(F.split("text", "\n", -1).alias("lines"), F.inline("asked"))
+        return lines.select("node", F.btrim(F.get("lines", F.col("line")), F.lit(" \t\n\x0b\x0c\r")).alias("items")).dropDuplicates(["node"])
 
     keyed = rows.filter("node is not null").select("node", F.explode("bands").alias("key"))
     _, roots = spanning_links(keyed, sets_of, PERCENT, to_sets=line_sets)
