@@ -87,11 +87,12 @@ def spanning_links(
 
     members = starred.select("key", F.explode(F.array("pivot", "node")).alias("node")).distinct()
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low < high")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     rest = materialize(placed.join(mixed.select("key"), "key"), "rest")
     if signatures is not None:
         near = _blocks(rest.join(signatures, "node"), "signature", BLOCK_SIGNATURES).groupBy("key", "i", "j").applyInArrow(_near(percent), "key long, node long")
         rest = materialize(rest.join(near.distinct(), ["key", "node"]), "rest")
+    rest = materialize(_unlike(rest), "rest")
     if rest.isEmpty():
         return links, roots
     compared = materialize(_blocks(rest.join(sets, "node"), "items", BLOCK_MEMBERS).groupBy("key", "i", "j").applyInArrow(_compare(percent, to_sets), "a long, b long"), "links")
@@ -99,6 +100,14 @@ def spanning_links(
     return links, materialize(components(links), "components")
 
 
+def _unlike(rest: DataFrame) -> DataFrame:
+    """One of the buckets that hold the same members: similar sets meet in many bands, and need one comparison."""
+    members = rest.groupBy("key").agg(
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"), F.min("node").alias("low")
+    )
+    return rest.join(members.groupBy("x", "y", "n", "low").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _blocks(sized: DataFrame, content: str, block: int) -> DataFrame:
     """Members with their content, once for each pair of blocks they belong to."""
     kind = dict(sized.dtypes)[content]

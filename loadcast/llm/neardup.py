@@ -24,6 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadcast.llm.batches import returning, slices
 from loadcast.llm.links import spanning_links
 from loadcast.llm.shingles import mixed, shingle_sets
 from loadcast.sources.scratch import materialize
@@ -46,27 +47,31 @@ SKETCH = pa.schema(
         ("set_a", pa.int64()),
         ("set_b", pa.int64()),
         ("bands", pa.list_(pa.int64())),
+        ("signature", pa.binary()),
     ]
 )
-SKETCH_DDL = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
+SKETCH_DDL = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 
 
-def band_keys(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(sets, bands) keys; ``starts``: where each non-empty set begins."""
+def band_keys(items: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, bands) keys and (sets, 2 P) bytes of the values; ``starts``: where each non-empty set begins."""
+    signs = np.empty((len(starts), 2 * len(MULTIPLIERS)), np.uint8)
     keys = np.empty((len(starts), BANDS), np.uint64)
     for band in range(BANDS):
         folded = np.full(len(starts), band, np.uint64)
         for k in range(PERMUTATIONS_PER_BAND):
-            values = items * MULTIPLIERS[band * PERMUTATIONS_PER_BAND + k]
-            folded += np.minimum.reduceat(values, starts) * FOLDS[2 * k]
-            folded += np.maximum.reduceat(values, starts) * FOLDS[2 * k + 1]
+            permutation = band * PERMUTATIONS_PER_BAND + k
+            values = items * MULTIPLIERS[permutation]
+            for side, value in enumerate((np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts))):
+                folded += value * FOLDS[2 * k + side]
+                signs[:, 2 * permutation + side] = mixed(value) & np.uint64(255)
         keys[:, band] = mixed(folded)
-    return keys
+    return keys, signs
 
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes = batch.column(0), batch.column(1)
             group: list[np.ndarray] = []
             done = items = 0
@@ -88,21 +93,24 @@ def _rows(ids: pa.Array, hashes: pa.Array, sets: list[np.ndarray], at: int) -> p
     items = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
     starts = np.cumsum(np.r_[0, sizes[full]])[:-1]
     digest = np.zeros((2, len(sets)), np.uint64)
-    keys = np.zeros((0, BANDS), np.uint64)
+    keys, signs = np.zeros((0, BANDS), np.uint64), np.zeros((0, 0), np.uint8)
     if len(full):
         digest[0, full] = np.add.reduceat(items, starts)
         digest[1, full] = np.add.reduceat(mixed(items), starts)
-        keys = band_keys(items, starts)
+        keys, signs = band_keys(items, starts)
     offsets = np.zeros(len(sets) + 1, np.int32)
     offsets[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
     bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))
-    columns = [ids[at : at + len(sets)], hashes[at : at + len(sets)], sizes, digest[0].view(np.int64), digest[1].view(np.int64), bands]
+    packed: list[bytes | None] = [None] * len(sets)
+    for i, sign in zip(full.tolist(), signs):
+        packed[i] = sign.tobytes()
+    columns = [ids[at : at + len(sets)], hashes[at : at + len(sets)], sizes, digest[0].view(np.int64), digest[1].view(np.int64), bands, pa.array(packed, pa.binary())]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=SKETCH)
 
 
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column(1), width))
             offsets = np.cumsum(np.r_[0, [len(s) for s in sets]]).astype(np.int32)
             values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -115,18 +123,18 @@ def _shingles(width: int):
 def decisions(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, component_id, kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = materialize(texts.mapInArrow(_sketches(width), SKETCH_DDL), "sketches")
+    rows = materialize(texts.mapInArrow(returning(_sketches(width)), SKETCH_DDL), "sketches")
     equal = ["set_a", "set_b", "n_shingles"]
     sets = rows.filter("n_shingles > 0 and doc_id is not null")
     groups = materialize(sets.groupBy(*equal).agg(F.min("doc_id").alias("node")), "groups")
-    nodes = materialize(groups.join(sets.select(*equal, "doc_id", "bands"), equal).filter("doc_id = node").select("node", "bands"), "nodes")
+    nodes = materialize(groups.join(sets.select(*equal, "doc_id", "bands", "signature"), equal).filter("doc_id = node").select("node", "bands", "signature"), "nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         found = texts.select(F.col("doc_id").alias("node"), "text").join(ids, "node", "left_semi")
-        return found.mapInArrow(_shingles(width), "node long, items array<long>")
+        return found.mapInArrow(returning(_shingles(width)), "node long, items array<long>")
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    _, roots = spanning_links(keyed, sets_of, percent)
+    _, roots = spanning_links(keyed, sets_of, percent, nodes.select("node", "signature"))
     grouped = groups.join(roots, "node", "left").select(*equal, F.coalesce("root", "node").alias("component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     placed = rows.join(grouped, equal, "left").withColumn("component_id", component)
