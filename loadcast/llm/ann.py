@@ -5,8 +5,13 @@ each is small, which gives centroids of lists of similar length.  Centroids are
 joined to a neighbour graph that every task holds in memory and searches by
 beams.  A vector goes to each list whose centroid is at most ``REPLICATE`` times
 as far as its nearest one, so vectors at a border stand in several lists; a
-query reads the lists within ``PROBE`` times the nearest distance.  Lists meet
-their queries in blocks of bounded size, whatever the longest list is.
+query reads the lists within ``PROBE`` times the nearest distance, and more until
+these hold ``LEAST_TIMES`` times the rows it asks for.  Lists meet their queries
+in blocks of bounded size, whatever the longest list is.
+
+This gives each query a score that its k nearest reach.  A second pass over the
+rows, kept in the order of their lists, compares a query with every stretch of a
+list whose mean and radius do not rule that score out, so the result is exact.
 
 Largest inner product becomes nearest distance by one more coordinate that
 brings all vectors to one norm.  Scores are sums in double precision in the
@@ -44,7 +49,11 @@ BEAM = 64
 REPLICATE = 1.06
 PROBE = 1.35
 MAX_COPIES = 6
+LEAST_LISTS = 4  # lists that a query reads whatever their distance
+LEAST_TIMES = 4
 BLOCK_ROWS = 4_096
+STRETCH_ROWS = 256  # rows of a list that are ruled out together
+PASS_VALUES = 4_000_000  # components of the queries that one pass over the rows holds in each task
 
 
 @dataclass
@@ -116,7 +125,10 @@ def valid(column: str) -> Column:
     return F.coalesce(~bad & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def _lists_of(lists: Lists, top: float, ratio: float, most: int, query: bool):
+def _lists_of(lists: Lists, top: float, ratio: float, most: int, counts: np.ndarray | None = None, least: int = 0):
+    """Lists of vectors or, with ``counts`` (rows by list), of queries, which read on until they have met ``least`` rows."""
+    query = counts is not None
+
     def run(batches):
         for batch in batches:
             vectors = _matrix(batch.column(1))
@@ -128,11 +140,16 @@ def _lists_of(lists: Lists, top: float, ratio: float, most: int, query: bool):
             for low in range(0, len(lifted), 1024):
                 ids, far = lists.nearest(lifted[low : low + 1024])
                 near = far <= ratio * far[:, :1] + 1e-12
+                if query:
+                    held = counts[ids]
+                    near |= np.cumsum(held, axis=1) - held < least
+                    near[:, :LEAST_LISTS] = True
                 near[:, most:] = False
                 rows, ranks = np.nonzero(near)
+                at = pa.array(rows + low)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows + low)), batch.column(1).take(pa.array(rows + low)), pa.array(ids[rows, ranks].astype(np.int32))],
-                    names=["id", "vector", "list"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(ids[rows, ranks].astype(np.int32)), pa.array(ranks == 0)],
+                    names=["id", "vector", "list", "home"],
                 )
 
     return run
@@ -170,8 +187,45 @@ def _search(k: int):
     return run
 
 
+def _rest(queries: pa.Table, top: float, k: int):
+    """Rows that reach the score (``cut``, null if unknown) of a query, by stretches of lists; a list's rows stand side by side."""
+    asked = _matrix(queries.column("vector").combine_chunks())
+    names = queries.column("id").to_numpy()
+    size = np.sqrt((asked**2).sum(1))
+    slack = 1e-9 * size * top
+    cuts = queries.column("cut").fill_null(-np.inf).to_numpy() - slack
+
+    def run(batches):
+        search = _search(k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, lists = _matrix(batch.column(1)), batch.column(2).to_numpy()
+            borders = np.r_[0, np.flatnonzero(np.diff(lists)) + 1, len(v)]
+            starts = np.concatenate([np.arange(a, b, STRETCH_ROWS) for a, b in zip(borders[:-1], borders[1:])])
+            ends = np.r_[starts[1:], len(v)]
+            means = np.add.reduceat(v, starts) / (ends - starts)[:, None]
+            radii = np.sqrt(np.maximum.reduceat(((v - np.repeat(means, ends - starts, axis=0)) ** 2).sum(1), starts))
+            for low, high, mean, radius in zip(starts.tolist(), ends.tolist(), means, radii):
+                open_ = np.flatnonzero(asked @ mean + size * radius + slack >= cuts)
+                for at in range(0, len(open_), 4_096):
+                    some = open_[at : at + 4_096]
+                    a, b = np.nonzero(asked[some] @ v[low:high].T >= cuts[some][:, None])
+                    if not len(a):
+                        continue
+                    hit, own = np.unique(some[a]), np.unique(b) + low
+                    found = search(queries.take(pa.array(hit)), pa.table({"id": batch.column(0).take(pa.array(own)), "vector": batch.column(1).take(pa.array(own))}))
+                    place = np.searchsorted(names_sorted, found.column("query").to_numpy())
+                    reach = found.column("score").to_numpy() >= cuts[by_name[place]]
+                    yield from found.filter(pa.array(reach)).combine_chunks().to_batches()
+
+    by_name = np.argsort(names, kind="stable")
+    names_sorted = names[by_name]
+    return run
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found among ``rows`` for each of ``queries`` (both vec_id, embedding)."""
+    """query_id, rank, vec_id, score: the k nearest among ``rows`` for each of ``queries`` (both vec_id, embedding)."""
     spark = rows.sparkSession
     clean = lambda df: df.select("vec_id", "embedding").filter("vec_id is not null").filter(valid("embedding"))
     every, asked = clean(rows), clean(queries)
@@ -190,13 +244,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     lists = fit_lists(sample, min(MAX_LISTS, max(1, total // LIST_ROWS)))
 
     kinds = asked.groupBy("embedding").agg(F.min("vec_id").alias("id"))
-    ddl = "id long, vector array<float>, list int"
+    ddl = "id long, vector array<float>, list int, home boolean"
     vector = F.col("embedding").cast("array<float>").alias("vector")
     posted = materialize(
-        held.select(F.col("vec_id").alias("id"), vector).mapInArrow(_lists_of(lists, top, REPLICATE, MAX_COPIES, False), ddl), "ann-lists"
+        held.select(F.col("vec_id").alias("id"), vector).mapInArrow(_lists_of(lists, top, REPLICATE, MAX_COPIES), ddl), "ann-lists"
     )
     kinds = materialize(kinds, "ann-kinds")
-    probes = materialize(kinds.select("id", vector).mapInArrow(_lists_of(lists, top, PROBE, BEAM, True), ddl), "ann-probes")
+    homes = posted.filter("home").select("id", "vector", "list")
+    counts = np.zeros(len(lists.centroids), np.int64)
+    for r in homes.groupBy("list").count().collect():
+        counts[r["list"]] = r["count"]
+    read = _lists_of(lists, top, PROBE, BEAM, counts, LEAST_TIMES * (k + 1))
+    probes = materialize(kinds.select("id", vector).mapInArrow(read, ddl), "ann-probes")
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
     sizes = blocks(posted, "row_blocks").join(blocks(probes, "query_blocks"), "list")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
@@ -206,7 +265,19 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     by = ["list", "i", "j"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k + 1), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.distinct().withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
+    ranked = lambda df: df.distinct().withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
+    first = materialize(ranked(found), "ann-found")
+    found = first.drop("place")
+    cut = first.filter(F.col("place") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("cut"))
+    cuts = materialize(kinds.select("id", vector).join(cut, "id", "left"), "ann-cuts")
+    homes = materialize(homes.repartitionByRange("list", "id").sortWithinPartitions("list", "id"), "ann-homes")
+    passes = 1 + cuts.count() * usual["n"] // PASS_VALUES
+    for i in range(passes):
+        some = cuts.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).toArrow()
+        if len(some):
+            more = homes.mapInArrow(_rest(some, top, k + 1), "query long, vec_id long, score double")
+            found = found.unionByName(materialize(more, "ann-rest"))
+    found = ranked(found).drop("place")
     named = asked.join(kinds, "embedding").select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     pairs = named.join(found, "query").filter("query_id <> vec_id")

@@ -56,6 +56,29 @@ def test_nearest_edges(spark):
     assert ann.nearest(few.limit(0), few, k=20).count() == 0
 
 
+def test_nearest_is_exact_with_hundreds_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 4)
+    monkeypatch.setattr(ann, "PASS_VALUES", 1_000)
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(30, 16))
+    points = [centers[i % 30] + 0.5 * rng.normal(size=16) for i in range(1_500)]
+    points += [p + 1e-3 * rng.normal(size=16) for p in points[:20] for _ in range(5)]  # small groups of near copies
+    points += list(rng.normal(size=(400, 16)))  # outliers
+    rows = [(i, (p / np.linalg.norm(p)).astype(np.float32).tolist()) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = {}
+    for r in ann.nearest(frame, frame.filter("vec_id % 10 = 0"), k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    v = np.array([x for _, x in rows], np.float32).astype(np.float64)
+    for q in range(0, len(rows), 10):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        ids, found = zip(*got[q])
+        assert len(set(ids)) == 20
+        assert np.allclose(found, np.sort(scores)[::-1][:20], atol=1e-9)
+        assert np.allclose(found, scores[list(ids)], atol=1e-9)
+
+
 def plain_base(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
