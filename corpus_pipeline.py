@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand, nearly alike, in an earlier one; those left without a word go."""
     had = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = linededup.dedup_lines(docs, counts=True)
+    marked = linededup.dedup_lines(docs, counts=True, min_chars=1)
     return marked.filter(had | (F.col("n_dropped") == 0)).select(docs.columns)
 
 

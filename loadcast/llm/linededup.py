@@ -7,8 +7,9 @@ Jaccard similarity of their shingle sets and joined to components; of all places
 where a line of a component stands, the first (smallest doc_id, then text hash,
 then line number) keeps it.
 
-Lines are compared without blanks at their ends.  Lines of fewer than
-``MIN_CHARS`` characters are left alone, as they repeat by chance.
+Lines are compared without blanks at their ends.  Those of fewer than
+``min_chars`` characters are left alone; with 1, all but empty lines count.  A
+line shorter than a shingle is one shingle, so it meets only lines equal to it.
 
 Defined results: a null or empty text stays as it is; a null doc_id comes before
 all others; rows equal in id and text are one document and get the same lines;
@@ -34,7 +35,7 @@ from loadcast.sources.scratch import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 8  # characters of a shingle
-MIN_CHARS = 20
+MIN_CHARS = 20  # unless the caller sets another least length; the query and the pipeline set 1
 PERCENT = 80
 BANDS = 12
 PERMUTATIONS_PER_BAND = 2
@@ -52,7 +53,7 @@ LINES = pa.schema(
 class Lines:
     """All lines of some texts: places in one array of code points, without blanks at the ends, and their keys."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], min_chars: int = MIN_CHARS):
         joined = "\n".join(t or "" for t in texts)
         codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         ends = np.r_[np.flatnonzero(codes == 10), len(codes)]
@@ -70,13 +71,18 @@ class Lines:
         self.lengths = self.ends - self.starts
         sums = (self.sums[self.ends] - self.sums[self.starts]) * self.down[self.starts]
         self.keys = mixed(sums + self.lengths.astype(np.uint64)).view(np.int64)
-        self.counted = self.lengths >= MIN_CHARS
+        self.counted = self.lengths >= max(min_chars, 1)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the shingles of these lines, one after another, and how many each has."""
-        counts = self.lengths[which] - WIDTH + 1
-        at = np.repeat(self.starts[which] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-        return mixed((self.sums[at + WIDTH] - self.sums[at]) * self.down[at]), counts
+        counts = np.maximum(self.lengths[which] - WIDTH + 1, 1)
+        begins = np.r_[0, np.cumsum(counts)[:-1]]
+        at = np.repeat(self.starts[which] - begins, counts) + np.arange(counts.sum())
+        ends = np.minimum(at + WIDTH, len(self.sums) - 1)
+        items = mixed((self.sums[ends] - self.sums[at]) * self.down[at])
+        short = self.lengths[which] < WIDTH
+        items[begins[short]] = self.keys[which[short]].view(np.uint64)
+        return items, counts
 
 
 def band_keys(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -107,33 +113,36 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 
 def _first_seen(lines: Lines, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines to sketch, one for each key that is new in the batch, and all keys of the batch so far."""
-    which = np.flatnonzero(lines.counted)
+    which = np.flatnonzero(lines.counted & (lines.lengths >= WIDTH))  # shorter ones meet by their keys alone
     keys, first = np.unique(lines.keys[which], return_index=True)
     new = ~np.isin(keys, seen, assume_unique=True)
     return which[first[new]], np.union1d(seen, keys)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen = np.zeros(0, np.int64)
-        for at, group in _groups(batch.column(2).to_pylist()):
-            lines = Lines(group)
-            offsets = np.cumsum(np.r_[0, lines.counts]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lines.keys, mask=~lines.counted))
-            n = len(group)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[at : at + n], batch.column(1)[at : at + n], keys, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=LINES
-            )
-            chosen, seen = _first_seen(lines, seen)
-            for low in range(0, len(chosen), 2_000):
-                part = chosen[low : low + 2_000]
-                bands = band_keys(*lines.shingles(part))
-                spans = pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS)
-                none = pa.nulls(len(part), pa.int64())
+def _sketch(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.zeros(0, np.int64)
+            for at, group in _groups(batch.column(2).to_pylist()):
+                lines = Lines(group, min_chars)
+                offsets = np.cumsum(np.r_[0, lines.counts]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lines.keys, mask=~lines.counted))
+                n = len(group)
                 yield pa.RecordBatch.from_arrays(
-                    [none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(lines.keys[part]), pa.ListArray.from_arrays(spans, pa.array(bands.reshape(-1)))],
-                    schema=LINES,
+                    [batch.column(0)[at : at + n], batch.column(1)[at : at + n], keys, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=LINES
                 )
+                chosen, seen = _first_seen(lines, seen)
+                for low in range(0, len(chosen), 2_000):
+                    part = chosen[low : low + 2_000]
+                    bands = band_keys(*lines.shingles(part))
+                    spans = pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS)
+                    none = pa.nulls(len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(lines.keys[part]), pa.ListArray.from_arrays(spans, pa.array(bands.reshape(-1)))],
+                        schema=LINES,
+                    )
+
+    return run
 
 
 def line_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -146,10 +155,10 @@ def line_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text_hash, dropped (numbers of lines, from 0), for documents that lose lines."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = materialize(texts.mapInArrow(returning(_sketch), LINES_DDL), "lines")
+    rows = materialize(texts.mapInArrow(returning(_sketch(min_chars)), LINES_DDL), "lines")
     places = rows.filter("keys is not null").select("doc_id", "text_hash", F.posexplode("keys").alias("line", "node")).filter("node is not null")
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -170,13 +179,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, counts: bool = False, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text of the lines that stay; with ``counts`` also n_lines and n_dropped.
 
     ``n_chars``, if present, follows the text.
     """
     names = [f"`{c}`" for c in docs.columns]
-    gone = materialize(dropped_lines(docs), "dropped").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped"))
+    gone = materialize(dropped_lines(docs, min_chars), "dropped").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("dropped").alias("_dropped"))
     known = docs.withColumn("_key", F.xxhash64("text"))
     joined = known.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
     lines = F.split("text", "\n", -1)

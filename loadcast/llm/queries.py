@@ -85,7 +85,7 @@ from sized group by 1
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(_table(spark, sf_dir, "documents"), counts=True)
+    kept = linededup.dedup_lines(_table(spark, sf_dir, "documents"), counts=True, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

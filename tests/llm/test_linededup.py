@@ -109,3 +109,35 @@ def test_edges(spark, docs):
     assert out[6].text == line.replace("long", "Long")
     assert out[1]["dropped"] == "x" and out[1]["keys"] == "y"
     assert linededup.dedup_lines(docs().limit(0)).count() == 0
+
+
+def test_short_lines(spark, docs):
+    line = "a line that is long enough to be counted"
+    rows = [
+        (1, f"Menu\n\n* * *\n{line}\n}}"),
+        (2, "  Menu\n\n* * *\nmenu\n你好。"),
+        (3, "你好。\nShare on Facebook\nShare on Facebook"),
+        (4, "Share on Facebooks\naaaaaaaaa\n}"),
+        (5, "aaaaaaaa"),
+    ]
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(docs(*rows), min_chars=1).collect()}
+    assert out[1] == rows[0][1]
+    assert out[2] == "\nmenu\n你好。"
+    assert out[3] == "Share on Facebook"
+    assert out[4] == "aaaaaaaaa"  # ten of eleven shingles of the first line are known
+    assert out[5] == ""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not available")
+def test_query_drops_exact_repeats_of_any_length(spark):
+    from loadcast.llm.queries import op3_line_dedup
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    first = {}
+    for doc in sorted(texts):
+        for n, line in enumerate((texts[doc] or "").split("\n")):
+            first.setdefault(line.strip(BLANKS), (doc, n))
+    for r in op3_line_dedup(spark, SF_DIR).collect():
+        lines = [x.strip(BLANKS) for x in (texts[r.doc_id] or "").split("\n")]
+        repeats = sum(1 for n, x in enumerate(lines) if x and first[x] != (r.doc_id, n))
+        assert r.n_dropped >= repeats
