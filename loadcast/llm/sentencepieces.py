@@ -13,7 +13,8 @@ the encoded cells; the answers go back to the batch.
 Encoding is the segmentation with the largest sum of scores; among equal sums
 the one whose last piece starts first.  Scores of a unigram model are its log
 probabilities; a model that only has merge ranks gets the logarithm of the rank.  A character that no piece holds becomes
-its UTF-8 bytes.  Runs without a cut are divided every ``LONGEST`` characters.
+its UTF-8 bytes.  A run without a cut that is longer than ``LONGEST`` is divided
+where pieces of its own best segmentation meet, so its parts give the same ids.
 
 Defined results: a null text gives null ids; an empty text gives none; texts
 decode to themselves, but for unpaired surrogates and the word mark, which reads
@@ -87,6 +88,12 @@ class Vocabulary:
     def cost(self, score: float) -> int:
         return max(0, min(round(-score * 1e6), (1 << COST_BITS) - 1))
 
+    def costs(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for p, _, s in self.pieces:
+            out[p] = min(self.cost(s), out.get(p, self.cost(s)))
+        return out
+
     def joints(self) -> tuple[np.ndarray, np.ndarray]:
         """Class of each code point, and whether some piece holds two classes side by side."""
         chars = sorted({c for p, *_ in self.pieces for c in p})
@@ -132,7 +139,54 @@ def _unpack_batch(parcel: bytes) -> tuple[pa.Table, np.ndarray]:
     return texts, sum(p.astype(np.int32) << np.int32(8 * k) for k, p in enumerate(planes))
 
 
-def cells_of(texts: list[str], classes: np.ndarray, joined: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def borders(run: str, costs: dict[str, int], longest: int, unknown: int) -> list[int]:
+    """Places that divide a long run into parts of ``LONGEST`` characters at most, each on its best path.
+
+    The path is the one of the lattice: smallest cost, and of equal ones the last
+    piece that starts first.  Only the last costs are held, and a byte per place.
+    """
+    back = bytearray(len(run) + 1)
+    recent = [0]  # costs of the last places, the nearest at the end
+    for end in range(1, len(run) + 1):
+        low = end - len(recent)
+        best, length = -1, 0
+        for at, before in enumerate(recent, low):
+            cost = costs.get(run[at:end])
+            if cost is None:
+                if at < end - 1:
+                    continue
+                cost = unknown
+            if best < 0 or before + cost < best:
+                best, length = before + cost, end - at
+        back[end] = length
+        recent.append(best)
+        if len(recent) > longest:
+            del recent[0]
+    out, at, border = [], len(run), len(run)
+    while at > 0:
+        low = at - back[at]
+        if border - low > LONGEST:
+            out.append(at)
+            border = at
+        at = low
+    return out[::-1]
+
+
+def _divided(whole: str, starts: np.ndarray, end: int, costs: dict[str, int], longest: int, unknown: int) -> np.ndarray:
+    """Starts of cells, and of the parts of those too long for the lattice; equal runs are searched once."""
+    lengths = np.diff(np.r_[starts, end])
+    long = np.flatnonzero(lengths > LONGEST)
+    known: dict[str, list[int]] = {}
+    more = []
+    for start, n in zip(starts[long].tolist(), lengths[long].tolist()):
+        run = whole[start : start + n]
+        if run not in known:
+            known[run] = borders(run, costs, longest, unknown)
+        more += [start + b for b in known[run]]
+    return np.sort(np.r_[starts, np.asarray(more, np.int64)]) if more else starts
+
+
+def cells_of(texts: list[str], classes: np.ndarray, joined: np.ndarray, costs: dict[str, int], longest: int, unknown: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Marked texts in one string; starts and lengths of all cells, their hashes, and the number of cells per text."""
     marked = [(MARK + t.replace(" ", MARK)) if t else "" for t in texts]
     whole = "".join(marked)
@@ -144,8 +198,7 @@ def cells_of(texts: list[str], classes: np.ndarray, joined: np.ndarray) -> tuple
     begins = np.cumsum(np.r_[0, [len(m) for m in marked]]).astype(np.int64)
     cut[begins[:-1][begins[:-1] < len(codes)]] = True
     starts = np.flatnonzero(cut)
-    within = np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
-    starts = np.flatnonzero(within % LONGEST == 0)
+    starts = _divided(whole, starts, len(codes), costs, longest, unknown)
     lengths = np.diff(np.r_[starts, len(codes)])
     up, down = powers(len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
@@ -156,7 +209,7 @@ def cells_of(texts: list[str], classes: np.ndarray, joined: np.ndarray) -> tuple
 
 def _parcels(vocabulary: Vocabulary, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, joined = vocabulary.joints()
+        known = (*vocabulary.joints(), vocabulary.costs(), vocabulary.longest, vocabulary.cost(vocabulary.lowest))
         ids: list[int | None] = []
         texts: list[str | None] = []
         size = 0
@@ -166,13 +219,13 @@ def _parcels(vocabulary: Vocabulary, parts: int):
                 texts.append(t)
                 size += len(t or "") + 1
                 if size >= BATCH_CHARS:
-                    yield from emit(ids, texts, classes, joined)
+                    yield from emit(ids, texts, known)
                     ids, texts, size = [], [], 0
         if ids:
-            yield from emit(ids, texts, classes, joined)
+            yield from emit(ids, texts, known)
 
-    def emit(ids, texts, classes, joined) -> Iterator[pa.RecordBatch]:
-        whole, starts, lengths, hashes, counts = cells_of([t or "" for t in texts], classes, joined)
+    def emit(ids, texts, known) -> Iterator[pa.RecordBatch]:
+        whole, starts, lengths, hashes, counts = cells_of([t or "" for t in texts], *known)
         found, first, index, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(-often, kind="stable")  # frequent cells get small numbers, which compress well
         number = np.empty(len(order), np.int32)
@@ -314,6 +367,8 @@ def _assemble(vocabulary: Vocabulary):
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per row: doc_id, ids, n_pieces, decoded_sha256 (of the text decoded from the ids)."""
+    if vocabulary.longest > LONGEST:
+        raise ValueError(f"pieces of more than {LONGEST} characters do not fit the lattice")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     parcels = materialize(texts.mapInArrow(returning(_parcels(vocabulary, 1 + chars // PART_CHARS)), PARCEL_DDL), "parcels")

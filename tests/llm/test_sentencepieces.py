@@ -1,6 +1,7 @@
 """Piece encoding: best segmentation against plain dynamic programming, and the round trip."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 
@@ -52,3 +53,15 @@ def test_encoding(spark, docs, vocabulary):
         if t and len(t) < 2_000 and "\x00" not in t:
             assert cost_of(got[i].ids, t.replace("▁", " "), vocabulary) == least_cost(t, vocabulary), repr(t)
     assert sentencepieces.encode(docs().limit(0), vocabulary).count() == 0
+
+
+def test_long_runs_are_segmented_whole(docs, vocabulary):
+    rng = random.Random(3)
+    url = "https://www.example.com/" + "/".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz-_0123456789", k=rng.randint(3, 20))) for _ in range(30))
+    code = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=2_000))
+    texts = ["ab" * 5_000, url[:300], code, "=" * 1_000, " " * 333 + "x", "-." * 200 + "é" * 100, "international" * 50, "0" * 65, "deadbeef" * 8]
+    once = SimpleNamespace(pieces=vocabulary.pieces, cost=vocabulary.cost, lowest=vocabulary.lowest, longest=vocabulary.longest)
+    for r in sentencepieces.encode(docs(*enumerate(texts)), vocabulary).collect():
+        text = texts[r.doc_id]
+        assert cost_of(r.ids, text, once) == least_cost(text, once), text[:40]
+        assert sentencepieces.decode_ids(r.ids, vocabulary.bytes_of()) == text
