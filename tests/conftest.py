@@ -23,11 +23,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def hours(*offsets, start="2024-03-01"):
-    """Timestamps by hour offset from a day."""
-    from datetime import datetime, timedelta
-
-    origin = datetime.fromisoformat(start)
-    return [origin + timedelta(hours=h) for h in offsets]

@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import hours
+from timestamps import hours
 from pyspark.sql import functions as F
 
 from loadcast.operators.features import (

@@ -1,6 +1,6 @@
 import random
 
-from conftest import hours
+from timestamps import hours
 from pyspark.sql import functions as F
 
 from loadcast.operators.grid import deaccumulate

@@ -2,7 +2,7 @@ from datetime import timedelta
 
 import numpy as np
 import pytest
-from conftest import hours
+from timestamps import hours
 
 from loadcast.operators.timefix import repair_hours, shift_origin
 
