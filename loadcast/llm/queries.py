@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm import ann, chat, langid, licenses, linededup, mixing, neardup, quality, sentencepieces, warc
+from loadcast.llm import (
+    ann,
+    chat,
+    convrepair,
+    embeddup,
+    langid,
+    licenses,
+    linededup,
+    merkle,
+    mixing,
+    neardup,
+    quality,
+    sentencepieces,
+    warc,
+)
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -155,6 +169,136 @@ select page_id, payload_bytes, payload_digest,
 from known left join firsts using (payload_digest)
 """
 
+def op11_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+OP11_SQL = """
+with recursive rows as (select row_number() over () as r, vec_id, label, cast(embedding as double[]) as e from embeddings),
+usable as (
+  select *, list_aggregate(list_transform(e, lambda x: x is not null and isfinite(x)), 'bool_and')
+    and list_aggregate(list_transform(e, lambda x: x <> 0), 'bool_or') as good from rows where label is not null),
+pairs as (
+  select a.r as a, b.r as b from usable a join usable b on a.label = b.label and a.r <> b.r
+  where a.good and b.good and case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.93 end),
+reach as (select r as a, r as b from rows union select r.a, p.b from reach r join pairs p on r.b = p.a),
+least as (select a as r, min(vec_id) as component_id from reach join rows on b = r group by 1),
+degrees as (select a as r, count(*) as n from pairs group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+from rows join least using (r) left join degrees using (r)
+"""
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
+# CRC-32 of ASCII text, bit by bit: the reversed polynomial, as any SQL can compute it.
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split({0}, ''), lambda x: unicode(x)::bigint),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))), 4294967295::bigint))"""
+_CONVERSATION_KEY = "coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"
+
+OP12_SQL = rf"""
+with recursive
+fated as (
+  select dense_rank() over (order by conv_id nulls first) as c, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_CRC32.format(_CONVERSATION_KEY)} % 20 as fate from conversations),
+damaged as (
+  select c, turn, case fate when 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from (select *, unnest(case fate when 3 then [0, 1] else [0] end) as again from fated where fate <> 0)),
+ordered as (
+  select *, left(role, 1) as initial, row_number() over (partition by c order by turn nulls first, role, md5(text)) as n from damaged),
+turns as (
+  select *, lag(initial) over (partition by c order by n) as before,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by c, role, text order by n) > 1 then 'd'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '' end as fault from ordered),
+ins(p, letters, q, body) as (values (0, '', 0, ''), (0, 'I', 2, chr(10) || 'user:'), (0, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, '', 1, ''), (1, 'I', 2, chr(10) || 'user:'), (1, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, '', 2, ''), (2, 'I', 3, chr(10) || 'assistant:'), (3, '', 3, ''), (3, 'I', 2, chr(10) || 'user:')),
+legal(q, role, t, rerole) as (values (0, 's', 1, false), (0, 'user', 2, true), (1, 'user', 2, true), (2, 'assistant', 3, true), (3, 'user', 2, true)),
+edits as (
+  select c, n, q, 'D' as letter, q as t, 4 as paid, '' as body from turns, (select unnest([0, 1, 2, 3]) as q)
+  union all
+  select c, n, q, 'K', t, if(fault = 't', 3, 0), chr(10) || turns.role || ':' || text
+  from turns join legal on initial = left(legal.role, 1) where fault in ('', 't')
+  union all
+  select c, n, q, 'R', t, if(fault = 't', 6, 3), chr(10) || legal.role || ':' || text from turns join legal on rerole where fault in ('', 't')),
+walk as (
+  select distinct c, 0::bigint as n, 0 as s, 0 as cost, '' as audit, '' as body from turns
+  union all
+  select c, n, t, min(cost), arg_min(audit, lpad(cost::varchar, 9, '0') || audit), arg_min(body, lpad(cost::varchar, 9, '0') || audit)
+  from (
+    select w.c, e.n, e.t, w.cost + 3 * length(i.letters) + paid as cost, w.audit || i.letters || letter as audit, w.body || i.body || e.body as body
+    from walk w join ins i on i.p = w.s join edits e on e.c = w.c and e.n = w.n + 1 and e.q = i.q)
+  group by c, n, t),
+ends as (
+  select c, arg_min(struct_pack(cost := cost, audit := audit, body := body), lpad(cost::varchar, 9, '0') || audit) as best from (
+    select w.c, w.cost + 3 * length(i.letters) as cost, w.audit || i.letters as audit, w.body || i.body as body
+    from walk w join ins i on i.p = w.s join (select c, max(n) as n from turns group by 1) l on l.c = w.c and l.n = w.n
+    where i.q = 3 or (i.q = 0 and w.s = 0))
+  group by c),
+told as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank,
+    count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+    count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from turns group by c)
+select distinct conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.cost, 0)::bigint as cost,
+  coalesce(best.audit, '') as audit, sha256(coalesce(substr(best.body, 2), '')) as repaired_sha256
+from fated left join told using (c) left join ends using (c)
+"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(_table(spark, sf_dir, "documents"))
+
+
+def _field_sql(name: str) -> str:
+    return f"coalesce(strlen({name}::varchar) || ':' || {name}::varchar, '-')"
+
+
+OP13_SQL = rf"""
+with recursive
+hashed as (
+  select row_number() over () as r, doc_id, lang,
+    sha256({' || '.join(_field_sql(f) for f in merkle.FIELDS)}) as leaf,
+    case when {_CRC32.format('doc_id::varchar')} % 7 = 0
+      then sha256({' || '.join(_field_sql('(n_chars::hugeint + 1)' if f == 'n_chars' else f) for f in merkle.FIELDS)}) end as tampered
+  from documents),
+leaves as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf, tampered nulls first) - 1 as pos,
+    count(*) over (partition by lang) as n from hashed),
+lower_tree as (
+  select lang, 0 as lvl, pos, leaf as h, n from leaves
+  union all
+  select lang, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from lower_tree where n > 1 group by lang, lvl, pos // 2, n),
+subroots as (
+  select lang, h as subroot, lvl as depth, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from lower_tree where n = 1),
+upper_tree as (
+  select 0 as lvl, pos, subroot as h, n from subroots
+  union all
+  select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from upper_tree where n > 1 group by lvl, pos // 2, n),
+steps as (
+  select r, l.lvl as step, (leaves.pos >> l.lvl) % 2 as odd, coalesce(t.h, '') as sibling
+  from leaves join (select distinct lang, lvl from lower_tree where n > 1) l on l.lang is not distinct from leaves.lang
+    left join lower_tree t on t.lang is not distinct from leaves.lang and t.lvl = l.lvl and t.pos = xor(leaves.pos >> l.lvl, 1)
+  union all
+  select r, s.depth + l.lvl, (s.pos >> l.lvl) % 2, coalesce(t.h, '')
+  from leaves join subroots s on s.lang is not distinct from leaves.lang cross join (select distinct lvl from upper_tree where n > 1) l
+    left join upper_tree t on t.lvl = l.lvl and t.pos = xor(s.pos >> l.lvl, 1)),
+folded as (
+  select r, 0 as step, coalesce(tampered, leaf) as h from leaves
+  union all
+  select f.r, f.step + 1, case odd when 0 then sha256(h || sibling) else sha256(sibling || h) end
+  from folded f join steps s on s.r = f.r and s.step = f.step),
+proofs as (select r, sha256(string_agg(sibling, '' order by step)) as proof from steps group by 1),
+tops as (select r, arg_max(h, step) as folded_root from folded group by 1)
+select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from leaves join subroots s on s.lang is not distinct from leaves.lang cross join (select h as root from upper_tree where n = 1)
+  join tops using (r) left join proofs using (r)
+"""
+
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
@@ -167,10 +311,16 @@ QUERIES: dict[str, Query] = {
     "op8_warc_transactions": op8_warc_transactions,
     "op9_encode_pieces": op9_encode_pieces,
     "op10_minmax_neardup": op10_minmax_neardup,
+    "op11_embedding_neardup": op11_embedding_neardup,
+    "op12_repair_conversations": op12_repair_conversations,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op2_format_chats": OP2_SQL,
     "op8_warc_transactions": OP8_SQL,
     "op10_minmax_neardup": OP10_SQL,
+    "op11_embedding_neardup": OP11_SQL,
+    "op12_repair_conversations": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
