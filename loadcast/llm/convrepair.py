@@ -132,7 +132,7 @@ def _rows(turns: DataFrame) -> DataFrame:
 
 def _marks(rows: DataFrame) -> DataFrame:
     """One row before all rows of a turn that repeat those of an earlier turn."""
-    said = rows.filter("fault <> 'blank'").select("conv", "turn_order", "role", "digest").distinct()
+    said = rows.filter("fault <> 'blank'").select("conv", "turn_order", "turn", "role", "digest").distinct()
     earlier = Window.partitionBy("conv", "role", "digest").orderBy("turn_order")
     later = said.withColumn("nth", F.row_number().over(earlier)).filter("nth > 1").drop("nth")
     return rows.limit(0).unionByName(later.withColumn("row", F.lit(0)), allowMissingColumns=True)
