@@ -21,6 +21,7 @@ from loadcast.functions.calendar import (
     weekday_count,
 )
 from loadcast.operators import mlp
+from loadcast.operators import training as networks
 from loadcast.operators.features import (
     cooling_profile,
     cyclic_season,
@@ -348,17 +349,19 @@ def _rule_weight(location: str, layer: int, i: int, j: int) -> float:
     return round(0.6 * math.sin(1.7 * i + 2.9 * j + 0.8 * layer + (0.5 if location == "smg" else 0.0)), 6)
 
 
-def rule_nets() -> list[mlp.Net]:
-    nets = []
-    for location in LOCATIONS:
-        for model, layers in RULE_LAYERS.items():
-            width, weights = len(FEATURES), []
-            for n, layer in enumerate(layers):
-                table = [[_rule_weight(location, n, i, j) for j in range(layer.units)] for i in range(width + 1)]
-                weights.append((np.array(table[:-1]), np.array(table[-1])))
-                width = layer.units
-            nets.append(mlp.Net(location, model, layers, weights=weights))
-    return nets
+def rule_weights(location: str, layers: Sequence[mlp.Layer]) -> mlp.Weights:
+    width, weights = len(FEATURES), []
+    for n, layer in enumerate(layers):
+        table = [[_rule_weight(location, n, i, j) for j in range(layer.units)] for i in range(width + 1)]
+        weights.append((np.array(table[:-1]), np.array(table[-1])))
+        width = layer.units
+    return weights
+
+
+def rule_networks(spark: SparkSession, layers: dict[str, list[mlp.Layer]], rate: float = 1e-3) -> DataFrame:
+    """A network of each kind for each location, with weights by rule."""
+    rows = [networks.plan_row(place, model, l, rate, rule_weights(place, l)) for place in LOCATIONS for model, l in layers.items()]
+    return networks.plans(spark, rows)
 
 
 def _forward_sql(source: str, keep: str) -> dict[str, str]:
@@ -412,8 +415,8 @@ _TEST_SQL = {
     ),
 )
 def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks go through their table first; predictions in kW."""
-    nets = mlp.nets_from_table(mlp.weights_table(spark, rule_nets()))
+    """Networks go through a written table first; predictions in kW."""
+    nets = materialize(rule_networks(spark, RULE_LAYERS), "networks")
     data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
     return rounded(forecast.test_predictions(data, nets, len(LOCATIONS)))
 
@@ -433,7 +436,7 @@ def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
-    return rounded(forecast.evaluate(forecast.test_predictions(data, rule_nets(), len(LOCATIONS))))
+    return rounded(forecast.evaluate(forecast.test_predictions(data, rule_networks(spark, RULE_LAYERS), len(LOCATIONS))))
 
 
 @query(
@@ -448,7 +451,7 @@ def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chart_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
-    return rounded(charts.prediction_lines(forecast.test_predictions(data, rule_nets(), len(LOCATIONS))))
+    return rounded(charts.prediction_lines(forecast.test_predictions(data, rule_networks(spark, RULE_LAYERS), len(LOCATIONS))))
 
 
 _TREND = {"slope": f"regr_slope(dnn_cooling_load, {LABEL})", "intercept": f"regr_intercept(dnn_cooling_load, {LABEL})"}
@@ -460,7 +463,7 @@ _TREND = {"slope": f"regr_slope(dnn_cooling_load, {LABEL})", "intercept": f"regr
 )
 def chart_prediction_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
-    predictions = forecast.test_predictions(data, rule_nets(), len(LOCATIONS))
+    predictions = forecast.test_predictions(data, rule_networks(spark, RULE_LAYERS), len(LOCATIONS))
     return rounded(charts.prediction_trend(predictions, "dnn"), 6)
 
 
@@ -476,14 +479,14 @@ FORECAST_SQL = {
 
 
 def projected(
-    spark: SparkSession, sf_dir: str, training: DataFrame | None = None, models: Sequence[str] | None = None
+    spark: SparkSession, sf_dir: str, training: DataFrame | None = None, models: Sequence[str] = forecast.MODELS
 ) -> DataFrame:
     """Projected loads of the rule's networks (or of the kinds named), scaled by the training table's bounds."""
     training = full_training(spark, sf_dir) if training is None else training
     # Read twice, for scaling and for the way back, so it is written once.
     limits = materialize(bounds(ordered_split(training)), "limits")
     features = projection_features(strip_text(V.synthetic(spark, sf_dir)))
-    return forecast.project_load(features, limits, rule_nets(), len(LOCATIONS), models)
+    return forecast.project_load(features, limits, rule_networks(spark, RULE_LAYERS), len(LOCATIONS), models)
 
 
 @query(
@@ -494,82 +497,181 @@ def project_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(projected(spark, sf_dir))
 
 
-STEP_UNITS, STEP_EPOCHS, STEP_RATE = 2, 3, 1e-2
+STEP_RATE, STEP_SEED = 1e-2, 500
+
+
+def _layer_names(layers: list[mlp.Layer]) -> list[list[list[str]]]:
+    """Weight names by layer, input (the last is the bias) and unit."""
+    widths = [len(FEATURES), *(l.units for l in layers)]
+    return [[[f"k{n}_{i}_{j}" for j in range(layer.units)] for i in range(widths[n] + 1)] for n, layer in enumerate(layers)]
+
+
+def _mask_sql(epoch: int, layer: int, units: int, j: int, rate: float) -> str:
+    """The kept share of a unit: the hash of its row, unrolled."""
+    salt = mlp.mask_salt(STEP_SEED, epoch, layer)
+    z = f"((row::hugeint * {units} + {j} + {salt}) & 4294967295)"
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        z = f"((xor({z}, {z} >> {shift}) * {factor}) & 4294967295)"
+    return f"(case when xor({z}, {z} >> 16) >= {rate * 2.0**32!r}::double then {1 / (1 - rate)!r}::double else 0 end)"
+
+
+def _pass_sql(layers: list[mlp.Layer], source: str, weights: str, name: str, epoch: int | None) -> dict[str, str]:
+    """Forward sums layer by layer, then the error; dropout masks where an epoch is given."""
+    steps, before = {}, [*FEATURES]
+    names = _layer_names(layers)
+    every = ", ".join(f"w_{n}" for table in names for row in table for n in row)
+    for l, layer in enumerate(layers):
+        items = []
+        for j in range(layer.units):
+            z = " + ".join([*(f"{x} * w_{names[l][i][j]}" for i, x in enumerate(before)), f"w_{names[l][-1][j]}"])
+            z = f"greatest({z}, 0)" if layer.activation == "relu" else f"({z})"
+            masked = layer.dropout > 0 and epoch is not None
+            items.append(f"{z} * {_mask_sql(epoch, l, layer.units, j, layer.dropout)} as a{l}_{j}" if masked else f"{z} as a{l}_{j}")
+        carried = "x.*, " + every if l == 0 else "*"
+        origin = f"{source} x join {weights} using (location)" if l == 0 else f"{name}_{l - 1}"
+        steps[f"{name}_{l}"] = f"select {carried}, {', '.join(items)} from {origin}"
+        before = [f"a{l}_{j}" for j in range(layer.units)]
+    steps[f"{name}_e"] = f"select *, {before[0]} - y as e from {name}_{len(layers) - 1}"
+    return steps
 
 
-def _fit_sql() -> dict[str, str]:
-    """Three epochs of a two-unit network, one CTE per part of a step: forward sums, gradients, Adam."""
-    inputs = [*FEATURES, "one"]
-    kernel = {(i, j): f"k{i}_{j}" for i in range(len(inputs)) for j in range(STEP_UNITS)}
-    out = [f"o{j}" for j in range(STEP_UNITS + 1)]
-    names = [*kernel.values(), *out]
-    start = {n: [_rule_weight(p, 0, i, j) for p in LOCATIONS] for (i, j), n in kernel.items()}
-    start |= {n: [_rule_weight(p, 1, i, 0) for p in LOCATIONS] for i, n in enumerate(out)}
-    first = ", ".join(f"case location when 'jkt' then {a}::double else {b}::double end as w_{n}, 0.0::double as m_{n}, 0.0::double as v_{n}" for n, (a, b) in start.items())
+def _back_sql(layers: list[mlp.Layer], name: str, epoch: int) -> tuple[dict[str, str], dict[str, str]]:
+    """Derivatives by unit, the last layer first, and the gradient of each weight of a row."""
+    steps, grads, source = {}, {}, f"{name}_e"
+    names = _layer_names(layers)
+    for l in range(len(layers) - 1, -1, -1):
+        items = []
+        for j in range(layers[l].units):
+            if l == len(layers) - 1:
+                d = "2 * e"
+            else:
+                d = "(" + " + ".join(f"d{l + 1}_{k} * w_{names[l + 1][j][k]}" for k in range(layers[l + 1].units)) + ")"
+            if layers[l].dropout > 0:
+                d += f" * {_mask_sql(epoch, l, layers[l].units, j, layers[l].dropout)}"
+            if layers[l].activation == "relu":
+                d += f" * (case when a{l}_{j} > 0 then 1 else 0 end)"
+            items.append(f"{d} as d{l}_{j}")
+        steps[f"{name}_d{l}"] = f"select *, {', '.join(items)} from {source}"
+        source = f"{name}_d{l}"
+        inputs = [*FEATURES, "1"] if l == 0 else [*(f"a{l - 1}_{i}" for i in range(layers[l - 1].units)), "1"]
+        grads |= {names[l][i][j]: f"{x} * d{l}_{j}" for i, x in enumerate(inputs) for j in range(layers[l].units)}
+    return steps, grads
+
+
+def training_sql(layers: list[mlp.Layer], epochs: int, batch_rows: int, batches: int) -> dict[str, str]:
+    """Training unrolled: per step the forward sums, gradients and Adam, then the losses of each epoch as L1, L2 and so on.
+
+    A location with fewer rows takes no step in the batches it does not reach.
+    """
+    names = [n for table in _layer_names(layers) for row in table for n in row]
+    start: dict[str, list[float]] = {}
+    for place in LOCATIONS:
+        for flat, n in zip(mlp.flatten(rule_weights(place, layers)).tolist(), names):
+            start.setdefault(n, []).append(flat)
+    first = ", ".join(
+        f"case location when 'jkt' then {a!r}::double else {b!r}::double end as w_{n}, 0.0::double as m_{n}, 0.0::double as v_{n}" for n, (a, b) in start.items()
+    )
     label = scaled_sql([LABEL])[LABEL]
     steps = {
-        "X": f"select location, part, {_SCALED}, 1.0::double as one, {label} as y from SP join LI using (location) where part <> 'test'",
-        "W0": f"select distinct location, {first} from X",
+        "X": f"select location, part, row, {_SCALED}, {label} as y from SP join LI using (location) where part <> 'test'",
+        "W0": f"select distinct location, 0 as t, {first} from X",
     }
-    hidden = [f"h{j}" for j in range(STEP_UNITS)]
-    for t in range(STEP_EPOCHS + 1):
-        sums = ", ".join("greatest(" + " + ".join(f"{x} * w_{kernel[i, j]}" for i, x in enumerate(inputs)) + f", 0) as h{j}" for j in range(STEP_UNITS))
-        told = " + ".join([*(f"h{j} * w_{out[j]}" for j in range(STEP_UNITS)), f"w_{out[-1]}"])
-        steps[f"H{t}"] = f"select location, part, {', '.join(inputs)}, y, {', '.join(f'w_{n}' for n in out)}, {sums} from X join W{t} using (location)"
-        steps[f"E{t}"] = f"select *, {told} - y as e from H{t}"
-        grad = {n: f"2 * e * w_{out[j]} * (case when h{j} > 0 then 1 else 0 end) * {inputs[i]}" for (i, j), n in kernel.items()}
-        grad |= {n: f"2 * e * {h}" for n, h in zip(out, [*hidden, "one"])}
-        each = ", ".join(f"sum({g}) filter (part = 'fit') / count(*) filter (part = 'fit') as g_{n}" for n, g in grad.items())
-        losses = ", ".join(f"sum(e * e) filter (part = '{q}') / count(*) filter (part = '{q}') as {q}_loss" for q in ("fit", "val"))
-        steps[f"G{t}"] = f"select location, {losses}, {each} from E{t} group by 1"
-        if t == STEP_EPOCHS:
-            break
-        moments = ", ".join(f"{mlp.BETA1} * m_{n} + {1 - mlp.BETA1!r} * g_{n} as m_{n}, {mlp.BETA2} * v_{n} + {1 - mlp.BETA2!r} * g_{n} * g_{n} as v_{n}, w_{n}" for n in names)
-        steps[f"M{t}"] = f"select location, {moments} from W{t} join G{t} using (location)"
-        rate = STEP_RATE * math.sqrt(1 - mlp.BETA2 ** (t + 1)) / (1 - mlp.BETA1 ** (t + 1))
-        moved = ", ".join(f"w_{n} - {rate!r}::double * m_{n} / (sqrt(v_{n}) + {mlp.ADAM_EPSILON!r}::double) as w_{n}, m_{n}, v_{n}" for n in names)
-        steps[f"W{t + 1}"] = f"select location, {moved} from M{t}"
+    now = 0
+    for epoch in range(epochs):
+        seen = []
+        for batch in range(batches):
+            name = f"S{now}"
+            steps[f"X{now}"] = f"select * from X where part = 'fit' and (row - 1) // {batch_rows} = {batch}"
+            steps |= _pass_sql(layers, f"X{now}", f"W{now}", name, epoch)
+            back, grads = _back_sql(layers, name, epoch)
+            steps |= back
+            each = ", ".join(f"sum({g}) / count(*) as g_{n}" for n, g in grads.items())
+            steps[f"G{now}"] = f"select location, sum(e * e) as sse, count(*) as n, {each} from {name}_d0 group by 1"
+            moments = ", ".join(
+                f"{mlp.BETA1} * m_{n} + {1 - mlp.BETA1!r} * g_{n} as m_{n}, {mlp.BETA2} * v_{n} + {1 - mlp.BETA2!r} * g_{n} * g_{n} as v_{n}, w_{n}" for n in names
+            )
+            steps[f"M{now}"] = f"select location, t + 1 as t, {moments} from W{now} join G{now} using (location)"
+            rate = f"{STEP_RATE} * sqrt(1 - pow({mlp.BETA2}::double, t)) / (1 - pow({mlp.BETA1}::double, t))"
+            moved = ", ".join(f"w_{n} - {rate} * m_{n} / (sqrt(v_{n}) + {mlp.ADAM_EPSILON!r}::double) as w_{n}, m_{n}, v_{n}" for n in names)
+            kept = ", ".join(f"w_{n}, m_{n}, v_{n}" for n in names)
+            steps[f"W{now + 1}"] = (
+                f"select location, t, {moved} from M{now} union all select location, t, {kept} from W{now} where location not in (select location from G{now})"
+            )
+            seen.append(f"select location, sse, n from G{now}")
+            now += 1
+        steps[f"XV{epoch}"] = "select * from X where part = 'val'"
+        steps |= _pass_sql(layers, f"XV{epoch}", f"W{now}", f"V{epoch}", None)
+        steps[f"T{epoch}"] = "select location, sum(sse) / sum(n) as loss from (" + " union all ".join(seen) + ") group by 1"
+        steps[f"L{epoch + 1}"] = f"select location, {epoch + 1} as epoch, loss, val_loss from T{epoch} join (select location, avg(e * e) as val_loss from V{epoch}_e group by 1) using (location)"
     return steps
 
 
-@query(
-    "mlp_fit_steps",
-    with_views(
-        "TB",
-        "\nunion all ".join(
-            f"select a.location, 'ann' as model, {t + 1} as epoch, {sql_round({'loss': 'a.fit_loss', 'val_loss': 'b.val_loss'}, 7)} from G{t} a join G{t + 1} b using (location)"
-            for t in range(STEP_EPOCHS)
-        ),
-        {**LIMITS_SQL, **_fit_sql()},
-    ),
-)
-def mlp_fit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss history of a network that starts from weights by rule."""
+def _losses_sql(model: str, epochs: int) -> str:
+    parts = [f"select location, '{model}' as model, epoch, {sql_round(['loss', 'val_loss'], 7)} from L{e + 1}" for e in range(epochs)]
+    return "\nunion all ".join(parts)
+
+
+def _loss_history(spark: SparkSession, sf_dir: str, model: str, layers: list[mlp.Layer], epochs: int, batch_rows: int) -> DataFrame:
     data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
-    nets = []
-    for place in LOCATIONS:
-        hidden = np.array([[_rule_weight(place, 0, i, j) for j in range(STEP_UNITS)] for i in range(len(FEATURES) + 1)])
-        last = np.array([[_rule_weight(place, 1, i, 0)] for i in range(STEP_UNITS + 1)])
-        weights = [(hidden[:-1], hidden[-1]), (last[:-1], last[-1])]
-        nets.append(mlp.Net(place, "ann", mlp.shallow(STEP_UNITS), STEP_RATE, weights=weights))
-    return rounded(mlp.history_table(spark, mlp.fit(data.matrix, nets, STEP_EPOCHS, None)), 7)
+    plan = rule_networks(spark, {model: layers}, STEP_RATE)
+    return rounded(networks.history(networks.fit(data.matrix, plan, epochs, None, batch_rows, STEP_SEED)), 7)
+
+
+ONE_BATCH = 1 << 20
+STEPS = {
+    "mlp_fit_steps": ("ann", mlp.shallow(2), 3, ONE_BATCH, 1),
+    "mlp_batch_steps": ("ann", mlp.shallow(2), 2, 600, 2),
+    "mlp_deep_steps": ("dnn", mlp.deep(2, [(3, 0.2)]), 2, 600, 2),
+}
+
+
+def _steps_query(name: str, model: str, layers: list[mlp.Layer], epochs: int, batch_rows: int, batches: int) -> None:
+    sql = with_views("TB", _losses_sql(model, epochs), {**LIMITS_SQL, **training_sql(layers, epochs, batch_rows, batches)})
+
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Loss history of networks that start from weights by rule."""
+        return _loss_history(spark, sf_dir, model, layers, epochs, batch_rows)
+
+
+for _name, _told in STEPS.items():
+    _steps_query(_name, *_told)
 
 
 @query("mlp_fit")
 def mlp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss history of both kinds of network at both locations."""
     data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
-    nets = [
-        mlp.Net(place, model, layers, 1e-2)
-        for place in LOCATIONS
-        for model, layers in {"ann": mlp.shallow(21), "dnn": mlp.deep(16, [(12, 0.2), (8, 0.0)])}.items()
-    ]
-    return mlp.history_table(spark, mlp.fit(data.matrix, nets, epochs=250))
+    kinds = {"ann": mlp.shallow(21), "dnn": mlp.deep(16, [(12, 0.2), (8, 0.0)])}
+    plan = networks.plans(spark, [networks.plan_row(p, m, l, 1e-2) for p in LOCATIONS for m, l in kinds.items()])
+    return networks.history(networks.fit(data.matrix, plan, epochs=250))
 
 
 @query("mlp_search")
 def mlp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten trials of three executions for both kinds at both locations."""
     data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
-    trials, _ = mlp.search(data.matrix, LOCATIONS, epochs=250)
-    return trials
+    return networks.trial_scores(networks.search(data.matrix, epochs=250))
+
+
+_TRIALS = """select if(l_linestatus = 'F', 'jkt', 'smg') as location, if(l_returnflag = 'R', 'dnn', 'ann') as model,
+ cast(l_orderkey % 97 as int) as trial, cast(l_linenumber % 3 as int) as execution, min(l_extendedprice) as best_loss from lineitem group by 1, 2, 3, 4"""
+
+
+@query(
+    "best_trial",
+    f"""with TR as ({_TRIALS}),
+SC as (select location, model, trial, avg(best_loss) as val_loss from TR group by 1, 2, 3),
+BE as (select *, row_number() over (partition by location, model order by val_loss, trial) as nth from SC),
+EX as (select location, model, trial, execution, row_number() over (partition by location, model, trial order by best_loss, execution) as nth from TR)
+select location, model, trial, execution, {sql_round(['val_loss'])} from BE join EX using (location, model, trial) where BE.nth = 1 and EX.nth = 1""",
+)
+def best_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best trial and execution of networks whose losses are prices of line items."""
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    layers = f"cast(array(named_struct('units', 3, 'activation', 'relu', 'dropout', 0.0D)) as {networks.LAYERS}) as layers"
+    told = spark.sql(_TRIALS).selectExpr("*", "0.01D as learning_rate", layers, "array(best_loss) as weights", "array(best_loss) as best_weights")
+    told = materialize(told, "trials")
+    winners = networks.best_trials(networks.trial_scores(told)).drop("trial")
+    best = networks.best_networks(told).select("location", "model", "trial", "execution")
+    return rounded(best.join(winners, ["location", "model"]))

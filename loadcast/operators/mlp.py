@@ -1,31 +1,17 @@
-"""Small dense regression networks, trained and scored as Spark jobs.
+"""Small dense regression networks on arrays: layers, gradients, dropout, optimiser, training.
 
-Training is data-parallel: in each epoch every partition of the scaled matrix
-yields one gradient sum per network, Spark adds these up with map-side combine,
-and the driver, which holds the weights only, takes an Adam step.  All networks
-(locations, kinds, trials, executions) share the pass over the data, so a search
-costs as many jobs as a single fit.  No task ever needs all rows of a location.
-
-The batch is the whole training part.  For the study's training size that is
-the batch its settings lead to; for larger data it keeps results independent of
-the partitioning.
+Everything here works on one network and rows that a task hands over in blocks;
+``training`` brings networks and rows together.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loadcast.params import FEATURES, LABEL
 
 # Workers get this module's functions with the task, wherever the package lives.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,21 +23,10 @@ HIDDEN_LAYERS = (1, 10)
 DROPOUT_RATES = (0.0, 0.2, 0.4)
 LEARNING_RATES = (1e-2, 1e-3, 1e-4)
 
-# Networks are shipped to the tasks in waves of at most this many bytes.
-WAVE_BYTES = 64 << 20
-
 # A point of the search space that was tried already is drawn again so often.
 REDRAWS = 100
 
-TRIALS_SCHEMA = (
-    "location string, model string, trial int, units array<int>, dropout array<double>, "
-    "learning_rate double, val_loss double"
-)
-HISTORY_SCHEMA = "location string, model string, epoch int, loss double, val_loss double"
-WEIGHTS_SCHEMA = (
-    "location string, model string, layer int, activation string, dropout double, "
-    "kernel array<array<double>>, bias array<double>"
-)
+Weights = list[tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -81,47 +56,55 @@ def deep(units: int, hidden: Sequence[tuple[int, float]], interleaved_output: bo
     return layers if interleaved_output else [*layers, OUTPUT]
 
 
-@dataclass
-class Net:
-    location: str
-    model: str
-    layers: list[Layer]
-    learning_rate: float = 1e-3
-    trial: int = 0
-    execution: int = 0
-    weights: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    history: list[tuple[int, float, float]] = field(default_factory=list)
-    best_loss: float = float("inf")
-    best_weights: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    waited: int = 0
-    stopped: bool = False
+def initial_weights(layers: Sequence[Layer], inputs: int, seed: Sequence[int]) -> Weights:
+    """Glorot-uniform kernels and zero biases."""
+    rng = np.random.default_rng(seed)
+    weights = []
+    for layer in layers:
+        limit = np.sqrt(6.0 / (inputs + layer.units))
+        weights.append((rng.uniform(-limit, limit, (inputs, layer.units)), np.zeros(layer.units)))
+        inputs = layer.units
+    return weights
+
 
-    def initialise(self, inputs: int, seed: Sequence[int]) -> None:
-        """Glorot-uniform kernels and zero biases."""
-        rng = np.random.default_rng(seed)
-        self.weights = []
-        for layer in self.layers:
-            limit = np.sqrt(6.0 / (inputs + layer.units))
-            self.weights.append((rng.uniform(-limit, limit, (inputs, layer.units)), np.zeros(layer.units)))
-            inputs = layer.units
+def flatten(weights: Weights) -> np.ndarray:
+    return np.concatenate([part.ravel() for pair in weights for part in pair])
 
-    @property
-    def nbytes(self) -> int:
-        return sum(k.nbytes + b.nbytes for k, b in self.weights)
+
+def unflatten(flat: np.ndarray, layers: Sequence[Layer], inputs: int) -> Weights:
+    out, at = [], 0
+    for layer in layers:
+        k = flat[at : at + inputs * layer.units].reshape(inputs, layer.units)
+        at += k.size
+        out.append((k, flat[at : at + layer.units]))
+        at += layer.units
+        inputs = layer.units
+    return out
+
+
+def mixed(z):
+    """A 32-bit hash of 32-bit numbers, with products that stay below 2 ** 64."""
+    z = ((z ^ (z >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
+    z = ((z ^ (z >> 15)) * 0x846CA68B) & 0xFFFFFFFF
+    return z ^ (z >> 16)
+
+
+def mask_salt(seed: int, epoch: int, layer: int) -> int:
+    return mixed(mixed(mixed(seed & 0xFFFFFFFF) + epoch & 0xFFFFFFFF) + layer & 0xFFFFFFFF)
 
 
 def keep_mask(seed: int, epoch: int, layer: int, rows: np.ndarray, units: int, rate: float) -> np.ndarray:
-    """Inverted-dropout mask that depends on the row's number, not on its partition."""
-    with np.errstate(over="ignore"):
-        z = rows.astype(np.uint64)[:, None] * np.uint64(units) + np.arange(units, dtype=np.uint64)[None, :]
-        z = z + np.uint64(((seed * 1000003 + epoch) * 64 + layer) & 0xFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return (z.astype(np.float64) / 2.0**64 >= rate) / (1.0 - rate)
+    """Inverted-dropout mask that depends on the row's number, not on its partition.
+
+    A unit of a row is kept where a hash of (seed, epoch, layer, row, unit) is at
+    least ``rate`` of its range.
+    """
+    cells = rows.astype(np.uint64)[:, None] * np.uint64(units) + np.arange(units, dtype=np.uint64)[None, :]
+    z = mixed((cells + np.uint64(mask_salt(seed, epoch, layer))) & np.uint64(0xFFFFFFFF))
+    return (z >= rate * 2.0**32) / (1.0 - rate)
 
 
-def forward(layers: Sequence[Layer], weights, x: np.ndarray, masks: dict[int, np.ndarray] | None = None) -> list[np.ndarray]:
+def forward(layers: Sequence[Layer], weights: Weights, x: np.ndarray, masks: dict[int, np.ndarray] | None = None) -> list[np.ndarray]:
     """Inputs of each layer, then the output."""
     values = [x]
     for i, (layer, (kernel, bias)) in enumerate(zip(layers, weights)):
@@ -150,50 +133,6 @@ def gradient_sum(layers, weights, x, y, masks=None) -> tuple[np.ndarray, float]:
     return np.concatenate(parts[::-1]), float(error @ error)
 
 
-def unflatten(flat: np.ndarray, weights) -> list[tuple[np.ndarray, np.ndarray]]:
-    out, at = [], 0
-    for kernel, bias in weights:
-        k = flat[at : at + kernel.size].reshape(kernel.shape)
-        at += kernel.size
-        out.append((k, flat[at : at + bias.size]))
-        at += bias.size
-    return out
-
-
-def epoch_sums(matrix: DataFrame, nets: Sequence[Net], epoch: int, seed: int, features: Sequence[str]) -> dict[int, np.ndarray]:
-    """Per network: flat gradient sum, squared error and rows of fit, the same of val."""
-    payload: dict[str, list] = {}
-    for i, net in enumerate(nets):
-        payload.setdefault(net.location, []).append((i, net.layers, net.weights, net.trial * 101 + net.execution))
-    features = list(features)
-
-    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for location, rows in batch.groupby("location", sort=False):
-                is_fit = (rows["part"] == "fit").to_numpy()
-                x, y = rows[features].to_numpy(float), rows["label"].to_numpy(float)
-                number = rows["row"].to_numpy()[is_fit]
-                for i, layers, weights, salt in payload.get(location, ()):
-                    masks = {
-                        j: keep_mask(seed + salt, epoch, j, number, layer.units, layer.dropout)
-                        for j, layer in enumerate(layers)
-                        if layer.dropout > 0
-                    }
-                    grad, fit_error = gradient_sum(layers, weights, x[is_fit], y[is_fit], masks)
-                    gap = forward(layers, weights, x[~is_fit])[-1][:, 0] - y[~is_fit]
-                    tail = [fit_error, is_fit.sum(), float(gap @ gap), (~is_fit).sum()]
-                    part = np.concatenate([grad, tail])
-                    sums[i] = sums[i] + part if i in sums else part
-        yield pd.DataFrame({"net": list(sums), "sums": [v.tolist() for v in sums.values()]})
-
-    parts = matrix.mapInPandas(partial_sums, "net int, sums array<double>")
-    # One vector per partition and network goes in, one per network comes out.
-    total = parts.groupBy("net").agg(Summarizer.sum(array_to_vector("sums")).alias("total"))
-    rows = total.select("net", vector_to_array("total").alias("total")).collect()
-    return {r["net"]: np.array(r["total"]) for r in rows}
-
-
 class Adam:
     def __init__(self, size: int, rate: float):
         self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
@@ -206,79 +145,53 @@ class Adam:
         return rate * self.m / (np.sqrt(self.v) + ADAM_EPSILON)
 
 
-def waves(nets: Sequence[Net]) -> Iterator[list[Net]]:
-    """Networks in groups whose weights stay within the shipping limit."""
-    wave: list[Net] = []
-    size = 0
-    for net in nets:
-        if wave and size + net.nbytes > WAVE_BYTES:
-            yield wave
-            wave, size = [], 0
-        wave.append(net)
-        size += net.nbytes
-    if wave:
-        yield wave
-
-
-def fit(
-    matrix: DataFrame,
-    nets: Sequence[Net],
-    epochs: int = 250,
-    patience: int | None = 20,
-    seed: int = 500,
-    features: Sequence[str] = FEATURES,
-) -> list[Net]:
-    """Train ``nets`` on ``matrix`` (location, row, part, features, label).
-
-    Networks that have weights go on from them, with a history of their own.
-
-    Rows of part ``val`` give the validation loss.  A network stops once that
-    has not improved for ``patience`` epochs and keeps its last weights; the best
-    ones are kept beside them.
+# Blocks of rows as (inputs, labels, row numbers); each call reads them again from the first.
+Blocks = Callable[[], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+@dataclass
+class Trained:
+    weights: np.ndarray
+    history: list[tuple[int, float, float]] = field(default_factory=list)
+    best_loss: float = float("inf")
+    best_weights: np.ndarray | None = None
+
+
+def train(
+    layers: Sequence[Layer], start: np.ndarray, rate: float, fit: Blocks, val: Blocks, epochs: int, patience: int | None, seed: int
+) -> Trained:
+    """Epochs of one optimiser step per block of ``fit``, in the order of the blocks.
+
+    An epoch's loss is the mean squared error of its blocks, each before its own
+    step; the validation loss is that of the weights after the epoch.  Training
+    ends once the latter has not improved for ``patience`` epochs; the last and the
+    best weights are kept.  Without rows to validate nothing ends it early.
     """
-    data = matrix.filter(F.col("part") != "test").select("location", "row", "part", "label", *features).persist()
-    try:
-        for i, net in enumerate(nets):
-            if not net.weights:
-                net.initialise(len(features), [seed, i])
-            net.history, net.best_loss, net.best_weights = [], float("inf"), []
-            net.waited, net.stopped = 0, False
-        for wave in waves(nets):
-            _fit_wave(data, wave, epochs, patience, seed, features)
-    finally:
-        data.unpersist()
-    return list(nets)
-
-
-def _fit_wave(data, nets, epochs, patience, seed, features) -> None:
-    steps = {id(n): Adam(sum(k.size + b.size for k, b in n.weights), n.learning_rate) for n in nets}
-    for epoch in range(epochs + 1):
-        active = [n for n in nets if not n.stopped]
-        if not active:
-            return
-        sums = epoch_sums(data, active, epoch, seed, features)
-        for i, net in enumerate(active):
-            if i not in sums or sums[i][-3] == 0:
-                net.stopped = True  # no training rows for this location
-                continue
-            *_, fit_error, n_fit, val_error, n_val = sums[i]
-            if epoch > 0:
-                _note_validation(net, val_error / n_val if n_val else float("nan"), patience)
-            if epoch < epochs and not net.stopped:
-                net.history.append((epoch + 1, float(fit_error / n_fit), float("nan")))
-                move = steps[id(net)].step(sums[i][:-4] / n_fit)
-                moves = unflatten(move, net.weights)
-                net.weights = [(k - dk, b - db) for (k, b), (dk, db) in zip(net.weights, moves)]
-
-
-def _note_validation(net: Net, val_loss: float, patience: int | None) -> None:
-    number, loss, _ = net.history[-1]
-    net.history[-1] = (number, loss, float(val_loss))
-    if val_loss < net.best_loss:
-        net.best_loss, net.best_weights, net.waited = float(val_loss), net.weights, 0
-        return
-    net.waited += 1
-    net.stopped = patience is not None and net.waited >= patience
+    out, flat, waited = Trained(start), start, 0
+    for epoch in range(epochs):
+        steps = steps if epoch else Adam(len(flat), rate)
+        total, n = 0.0, 0
+        for x, y, rows in fit():
+            masks = {i: keep_mask(seed, epoch, i, rows, layer.units, layer.dropout) for i, layer in enumerate(layers) if layer.dropout > 0}
+            grad, error = gradient_sum(layers, unflatten(flat, layers, x.shape[1]), x, y, masks)
+            flat = flat - steps.step(grad / len(y))
+            total, n = total + error, n + len(y)
+        if not n:
+            return out
+        val_total, val_n = 0.0, 0
+        for x, y, _ in val():
+            gap = forward(layers, unflatten(flat, layers, x.shape[1]), x)[-1][:, 0] - y
+            val_total, val_n = val_total + float(gap @ gap), val_n + len(y)
+        loss = val_total / val_n if val_n else float("nan")
+        out.history.append((epoch + 1, total / n, loss))
+        out.weights = flat
+        if loss < out.best_loss:
+            out.best_loss, out.best_weights, waited = loss, flat, 0
+        else:
+            waited += 1
+            if val_n and patience is not None and waited >= patience:
+                break
+    return out
 
 
 def draw_trial(rng: np.random.Generator, model: str, interleaved_output: bool = False) -> tuple[list[Layer], float]:
@@ -295,120 +208,14 @@ def draw_trial(rng: np.random.Generator, model: str, interleaved_output: bool =
     return deep(units(), hidden, interleaved_output), rate
 
 
-def search(
-    matrix: DataFrame,
-    locations: Iterable[str],
-    models: Sequence[str] = ("ann", "dnn"),
-    trials: int = 10,
-    executions: int = 3,
-    epochs: int = 250,
-    seed: int = 500,
-    features: Sequence[str] = FEATURES,
-    interleaved_output: bool = False,
-) -> tuple[DataFrame, list[Net]]:
-    """Random search: table of trials, and the best network per location and kind.
-
-    A trial counts by the mean over its executions of their lowest validation
-    loss; the network returned is the best execution of the best trial.
-    """
-    rng = np.random.default_rng(seed)
-    nets = []
-    for location in locations:
-        for model in models:
-            tried: list = []
-            for trial in range(1, trials + 1):
-                layers, rate = draw_trial(rng, model, interleaved_output)
-                for _ in range(REDRAWS):
-                    if (layers, rate) not in tried:
-                        break
-                    layers, rate = draw_trial(rng, model, interleaved_output)
-                tried.append((layers, rate))
-                nets += [Net(location, model, layers, rate, trial, e) for e in range(executions)]
-    fit(matrix, nets, epochs, None, seed, features)
-    rows, best = [], {}
-    for i in range(0, len(nets), executions):
-        group, first = nets[i : i + executions], nets[i]
-        score = float(np.mean([n.best_loss for n in group]))
-        key = (first.location, first.model)
-        rows.append(
-            (*key, first.trial, [l.units for l in first.layers], [l.dropout for l in first.layers], first.learning_rate, score)
-        )
-        if key not in best or score < best[key][0]:
-            best[key] = (score, min(group, key=lambda n: n.best_loss))
-    winners = []
-    for _, net in best.values():
-        net.weights = net.best_weights or net.weights
-        winners.append(net)
-    return matrix.sparkSession.createDataFrame(rows, TRIALS_SCHEMA), winners
-
-
-def history_table(spark: SparkSession, nets: Iterable[Net]) -> DataFrame:
-    rows = [(n.location, n.model, *h) for n in nets for h in n.history]
-    return spark.createDataFrame(rows, HISTORY_SCHEMA)
-
-
-def weights_table(spark: SparkSession, nets: Iterable[Net]) -> DataFrame:
-    """The networks as rows, one per layer, to be written like any table."""
-    rows = [
-        (n.location, n.model, i, layer.activation, layer.dropout, kernel.tolist(), bias.tolist())
-        for n in nets
-        for i, (layer, (kernel, bias)) in enumerate(zip(n.layers, n.weights))
-    ]
-    return spark.createDataFrame(rows, WEIGHTS_SCHEMA)
-
-
-def nets_from_table(weights: DataFrame) -> list[Net]:
-    """Networks back from their table (model weights are all that is collected)."""
-    nets: dict[tuple[str, str], Net] = {}
-    for r in weights.orderBy("location", "model", "layer").collect():
-        net = nets.setdefault((r["location"], r["model"]), Net(r["location"], r["model"], []))
-        net.layers.append(Layer(len(r["bias"]), r["activation"], r["dropout"]))
-        net.weights.append((np.array(r["kernel"], float), np.array(r["bias"], float)))
-    return list(nets.values())
-
-
-def score(
-    df: DataFrame,
-    nets: Iterable[Net],
-    features: Sequence[str] = FEATURES,
-    suffix: str = "_cooling_load",
-    models: Sequence[str] | None = None,
-) -> DataFrame:
-    """Add one prediction column per kind of network (scaled units), in one pass.
-
-    Only the features travel to the Python workers.  The networks, however many,
-    are sent ahead in waves of ``WAVE_BYTES``; every batch of rows looks into
-    each.  Locations without a network, NULL among them, get NULL.  ``models``
-    names the kinds wanted, all by default.
-    """
-    nets = [n for n in nets if models is None or n.model in models]
-    models = list(dict.fromkeys(n.model for n in nets))
-    sent = [df.sparkSession.sparkContext.broadcast(_by_location(wave)) for wave in waves(nets)]
-    schema = ", ".join(f"{m} double" for m in models)
-
-    @F.pandas_udf(schema)
-    def predict(location: pd.Series, inputs: pd.DataFrame) -> pd.DataFrame:
-        out = np.full((len(location), len(models)), np.nan)
-        x = inputs.to_numpy(float)
-        for place, at in location.groupby(location, sort=False).indices.items():
-            for wave in sent:
-                for model, layers, weights in wave.value.get(place, ()):
-                    out[at, models.index(model)] = forward(layers, weights, x[at])[-1][:, 0]
-        return pd.DataFrame(out, columns=models)
-
-    scored = df.withColumn("_p", predict("location", F.struct(*features)))
-    return scored.select(*df.columns, *[F.col("_p")[m].alias(f"{m}{suffix}") for m in models])
-
-
-def _by_location(nets: Iterable[Net]) -> dict[str, list]:
-    out: dict[str, list] = {}
-    for n in nets:
-        out.setdefault(n.location, []).append((n.model, n.layers, n.weights))
-    return out
-
-
-def training_matrix(scaled: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL) -> DataFrame:
-    """Scaled split rows in the layout ``fit`` reads; constant features count as 0."""
-    return scaled.na.fill(0.0, list(features)).select(
-        "location", "time", "row", "part", *features, F.col(label).alias("label")
-    )
+def draw_trials(rng: np.random.Generator, model: str, trials: int, interleaved_output: bool = False) -> list[tuple[list[Layer], float]]:
+    """Points of the search space, different ones as long as ``REDRAWS`` draws find any."""
+    tried: list[tuple[list[Layer], float]] = []
+    for _ in range(trials):
+        point = draw_trial(rng, model, interleaved_output)
+        for _ in range(REDRAWS):
+            if point not in tried:
+                break
+            point = draw_trial(rng, model, interleaved_output)
+        tried.append(point)
+    return tried

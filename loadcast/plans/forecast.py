@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadcast.operators.metrics import regression_metrics
-from loadcast.operators.mlp import Net, score, training_matrix
 from loadcast.operators.ordered import attach
 from loadcast.operators.reshape import melt, scenario_wide
 from loadcast.operators.rollup import annual_baseline, annual_series, annual_weighted, monthly_mean
 from loadcast.operators.scaling import bounds, ordered_split, scale, unscale
+from loadcast.operators.training import score, training_matrix
 from loadcast.params import FEATURES, LABEL, SCENARIOS, Scenario
 from loadcast.sources.scratch import materialize
 
@@ -25,7 +25,7 @@ class TrainingData:
     loads: DataFrame  # all labelled rows of the training table, also those without all features
     split: DataFrame  # rows in original units, with row and part
     limits: DataFrame  # one row per location
-    matrix: DataFrame  # scaled rows as fit() reads (and caches) them
+    matrix: DataFrame  # scaled rows as fit() reads them
 
 
 def split_scale(training: DataFrame, site_rows: int | None = None) -> TrainingData:
@@ -38,10 +38,12 @@ def split_scale(training: DataFrame, site_rows: int | None = None) -> TrainingDa
     return TrainingData(loads, split, limits, training_matrix(scaled))
 
 
-def test_predictions(data: TrainingData, nets: Iterable[Net], site_rows: int | None = None) -> DataFrame:
+def test_predictions(
+    data: TrainingData, networks: DataFrame, site_rows: int | None = None, models: Sequence[str] = MODELS
+) -> DataFrame:
     """Test rows with predicted and actual load in kW; ``hour`` counts them per location."""
     tests = data.matrix.filter(F.col("part") == "test")
-    scored = score(tests, nets).withColumnRenamed("label", LABEL)
+    scored = score(tests, networks, models=models).withColumnRenamed("label", LABEL)
     loads = [c for c in scored.columns if c.endswith("_cooling_load")]
     back = unscale(scored, data.limits, loads, LABEL, site_rows)
     first = data.split.filter(F.col("part") == "test").groupBy("location").agg(F.min("row").alias("_first"))
@@ -63,13 +65,13 @@ def evaluate(predictions: DataFrame, models: Sequence[str] = MODELS) -> DataFram
 def project_load(
     features: DataFrame,
     limits: DataFrame,
-    nets: Iterable[Net],
+    networks: DataFrame,
     site_rows: int | None = None,
-    models: Sequence[str] | None = None,
+    models: Sequence[str] = MODELS,
 ) -> DataFrame:
-    """Predicted loads in kW per location, scenario and time, of all kinds of network or those wanted."""
+    """Predicted loads in kW per location, scenario and time, of the kinds of network wanted."""
     scaled = scale(features, limits, FEATURES, site_rows).na.fill(0.0, FEATURES)
-    scored = score(scaled, nets, models=models)
+    scored = score(scaled, networks, models=models)
     loads = [c for c in scored.columns if c.endswith("_cooling_load")]
     return unscale(scored.drop(*FEATURES), limits, loads, LABEL, site_rows)
 

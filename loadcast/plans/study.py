@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadcast.operators import mlp
+from loadcast.operators import training as networks
 from loadcast.operators.features import cooling_profile, projection_features, training_table
 from loadcast.operators.reshape import strip_text
 from loadcast.params import (
@@ -63,16 +63,14 @@ def train(
     executions: int = 3,
     epochs: int = 250,
     seed: int = 500,
-) -> tuple[forecast.TrainingData, DataFrame, list[mlp.Net]]:
-    """Search, refit and store the networks of all sites; returns data, scores and networks."""
+) -> tuple[forecast.TrainingData, DataFrame]:
+    """Search, refit and store the networks of all sites at ``weights``; returns data and scores."""
     training = training_table(load_weather(weather_cells), loads, training_years(sites))
     data = forecast.split_scale(training, len(sites))
-    _, nets = mlp.search(
-        data.matrix, [s.code for s in sites], trials=trials, executions=executions, epochs=epochs, seed=seed
-    )
-    mlp.fit(data.matrix, nets, epochs=epochs, seed=seed)
-    mlp.weights_table(training.sparkSession, nets).write.parquet(weights)
-    return data, forecast.evaluate(forecast.test_predictions(data, nets, len(sites))), nets
+    tried = networks.search(data.matrix, trials=trials, executions=executions, epochs=epochs, seed=seed)
+    fitted = networks.fit(data.matrix, networks.best_networks(tried), epochs=epochs, seed=seed)
+    fitted.write.parquet(weights)
+    return data, forecast.evaluate(forecast.test_predictions(data, fitted, len(sites)))
 
 
 def project(
@@ -80,7 +78,7 @@ def project(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hourly, monthly and annual projected loads."""
     features = projection_features(strip_text(synthetic))
-    loads = forecast.project_load(features, data.limits, mlp.nets_from_table(weights), site_rows)
+    loads = forecast.project_load(features, data.limits, weights, site_rows)
     hourly = forecast.loads_by_scenario(loads)
     monthly = forecast.monthly_loads(hourly)
     return hourly, monthly, forecast.annual_loads(monthly, data.loads)

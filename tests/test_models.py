@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loadcast.operators import mlp
+from loadcast.operators import mlp, training
 from loadcast.operators.metrics import correlation_matrix, regression_metrics, trend_line
 from loadcast.operators.scaling import bounds, ordered_split, scale, unscale
 from loadcast.plans import forecast
@@ -43,15 +43,16 @@ def numeric_gradient(layers, weights, x, y, masks, step=1e-6):
 def test_gradient(interleaved):
     rng = np.random.default_rng(0)
     layers = mlp.deep(4, [(3, 0.4), (5, 0.0)], interleaved)
-    net = mlp.Net("x", "dnn", layers)
-    net.initialise(2, [1])
-    for _, bias in net.weights:
+    weights = mlp.initial_weights(layers, 2, [1])
+    for _, bias in weights:
         bias += rng.normal(size=bias.shape)  # keeps units off the kink at zero
     x, y = rng.normal(size=(9, 2)), rng.normal(size=9)
     masks = {i: mlp.keep_mask(1, 2, i, np.arange(9), l.units, l.dropout) for i, l in enumerate(layers) if l.dropout}
-    grad, error = mlp.gradient_sum(layers, net.weights, x, y, masks)
-    assert grad == pytest.approx(numeric_gradient(layers, net.weights, x, y, masks), abs=1e-4)
-    assert error == pytest.approx(((mlp.forward(layers, net.weights, x, masks)[-1][:, 0] - y) ** 2).sum())
+    grad, error = mlp.gradient_sum(layers, weights, x, y, masks)
+    assert grad == pytest.approx(numeric_gradient(layers, weights, x, y, masks), abs=1e-4)
+    assert error == pytest.approx(((mlp.forward(layers, weights, x, masks)[-1][:, 0] - y) ** 2).sum())
+    again = mlp.unflatten(mlp.flatten(weights), layers, 2)
+    assert all(np.array_equal(k, k2) and np.array_equal(v, v2) for (k, v), (k2, v2) in zip(weights, again))
 
 
 def test_interleaved_layout():
@@ -68,70 +69,130 @@ def test_dropout_mask_depends_on_rows_only():
     assert not np.array_equal(whole, mlp.keep_mask(5, 4, 1, rows, 8, 0.4))
 
 
-def test_partitioning_does_not_change_the_sums(spark):
+def trained(spark, plan_rows, partitions=3, **options):
+    out = training.fit(matrix(spark, partitions=partitions), training.plans(spark, plan_rows), features=FEATURES, **options)
+    return {(r.location, r.model): r for r in out.collect()}
+
+
+def test_partitioning_and_slots_do_not_change_training(spark):
+    """Batches by row number: any partitioning, and rows in memory or in the file, give the same history."""
     layers = mlp.deep(6, [(4, 0.2)])
-    sums = []
-    for partitions in (1, 7):
-        nets = [mlp.Net("jkt", "dnn", layers), mlp.Net("smg", "dnn", layers)]
-        for i, n in enumerate(nets):
-            n.initialise(2, [i])
-        sums.append(mlp.epoch_sums(matrix(spark, partitions=partitions), nets, 0, 500, FEATURES))
-    for i in (0, 1):
-        assert sums[0][i] == pytest.approx(sums[1][i], abs=1e-9)
-        assert sums[0][i][-3] == 96 and sums[0][i][-1] == 24
+    rows = [training.plan_row(p, m, layers, 1e-2) for p in ("jkt", "smg") for m in ("dnn", "other")]
+    first = trained(spark, rows, 1, epochs=4, batch_rows=32, slots=1)
+    second = trained(spark, rows, 7, epochs=4, batch_rows=32, slots=5)
+    assert len(first) == 4
+    for key, net in first.items():
+        assert [tuple(h) for h in net.history] == [tuple(h) for h in second[key].history] and len(net.history) == 4
+        assert net.weights == second[key].weights
+
+
+def test_rows_in_a_file(monkeypatch):
+    monkeypatch.setattr(training, "HELD_ROWS", 10)
+    rows = np.arange(3 * 47, dtype=float).reshape(47, 3)
+    store = training._Rows(3)
+    for at in range(0, 47, 7):
+        store.add(rows[at : at + 7])
+    assert store.file is not None and store.spilled < 47
+    for size in (1, 5, 16, 47, 100):
+        for _ in range(2):
+            blocks = list(store.blocks(size))
+            assert [len(y) for _, y, _ in blocks] == [min(size, 47 - at) for at in range(0, 47, size)]
+            assert np.array_equal(np.concatenate([x for x, _, _ in blocks])[:, 0], rows[:, 2])
+            assert np.array_equal(np.concatenate([n for _, _, n in blocks]), rows[:, 0])
+
+
+def test_batches_by_hand(spark):
+    """Two batches of an epoch: a step each, the second from the weights of the first."""
+    layers, start = mlp.shallow(3), mlp.initial_weights(mlp.shallow(3), 2, [7])
+    net = trained(spark, [training.plan_row("jkt", "ann", layers, 0.01, start)], epochs=2, batch_rows=50)["jkt", "ann"]
+    rows = sorted(matrix(spark).filter("location = 'jkt'").collect(), key=lambda r: r.row)
+    x, y = np.array([[r.a, r.b] for r in rows]), np.array([r.label for r in rows])
+    flat, steps, losses = mlp.flatten(start), mlp.Adam(13, 0.01), []
+    for _ in range(2):
+        total = 0.0
+        for at, end in ((0, 50), (50, 96)):
+            grad, error = mlp.gradient_sum(layers, mlp.unflatten(flat, layers, 2), x[at:end], y[at:end])
+            flat, total = flat - steps.step(grad / (end - at)), total + error
+        gap = mlp.forward(layers, mlp.unflatten(flat, layers, 2), x[96:])[-1][:, 0] - y[96:]
+        losses.append((total / 96, (gap**2).mean()))
+    assert [(h.loss, h.val_loss) for h in net.history] == [pytest.approx(l) for l in losses]
+    assert net.weights == pytest.approx(flat.tolist())
 
 
 def test_fit_learns_and_stops_early(spark):
-    nets = [mlp.Net(p, "ann", mlp.shallow(12), 0.05) for p in ("jkt", "smg")]
-    mlp.fit(matrix(spark), nets, epochs=60, features=FEATURES)
-    for net in nets:
-        losses = [h[1] for h in net.history]
-        assert losses[-1] < losses[0] / 4
-    frozen = mlp.Net("jkt", "ann", mlp.shallow(3), 0.0)
-    absent = mlp.Net("nowhere", "ann", mlp.shallow(3), 0.1)
-    mlp.fit(matrix(spark), [frozen, absent], epochs=50, patience=4, features=FEATURES)
-    assert len(frozen.history) == 5 and absent.history == []
-    history = mlp.history_table(spark, nets)
-    assert history.columns == ["location", "model", "epoch", "loss", "val_loss"] and history.count() > 40
-
-
-def test_search_and_weights_table(spark, tmp_path):
-    trials, best = mlp.search(matrix(spark), ["jkt", "smg"], trials=3, executions=2, epochs=4, features=FEATURES)
-    rows = trials.collect()
+    nets = trained(spark, [training.plan_row(p, "ann", mlp.shallow(12), 0.05) for p in ("jkt", "smg")], epochs=60)
+    for net in nets.values():
+        assert net.history[-1].loss < net.history[0].loss / 4
+    rows = [training.plan_row("jkt", "ann", mlp.shallow(3), 0.0), training.plan_row("nowhere", "ann", mlp.shallow(3), 0.1)]
+    nets = trained(spark, rows, epochs=50, patience=4)
+    assert len(nets["jkt", "ann"].history) == 5 and nets["nowhere", "ann"].history == []
+    more = matrix(spark).withColumn("part", F.lit("fit"))
+    out = training.fit(more, training.plans(spark, rows[:1]), epochs=6, patience=1, features=FEATURES)
+    assert [tuple(h) for h in training.history(out).select("epoch", "val_loss").collect()] == [(e, None) for e in range(1, 7)]
+
+
+def test_search_and_best_networks(spark, tmp_path):
+    tried = training.search(matrix(spark), trials=3, executions=2, epochs=4, features=FEATURES)
+    rows = training.trial_scores(tried).collect()
     assert len(rows) == 2 * 2 * 3 and all(np.isfinite(r["val_loss"]) for r in rows)
-    assert {(n.location, n.model) for n in best} == {(p, m) for p in ("jkt", "smg") for m in ("ann", "dnn")}
-    for n in best:
-        same = [r for r in rows if (r["location"], r["model"]) == (n.location, n.model)]
-        assert n.trial == min(same, key=lambda r: r["val_loss"])["trial"]
+    losses = {(r.location, r.model, r.trial, r.execution): r.best_loss for r in tried.collect()}
+    assert len(losses) == 24
+    for r in rows:
+        assert r.val_loss == pytest.approx(np.mean([losses[r.location, r.model, r.trial, e] for e in (0, 1)]))
+    best = training.best_networks(tried)
     path = str(tmp_path / "weights")
-    mlp.weights_table(spark, best).write.parquet(path)
-    back = {(n.location, n.model): n for n in mlp.nets_from_table(spark.read.parquet(path))}
-    for n in best:
-        twin = back[n.location, n.model]
-        assert [l.units for l in twin.layers] == [l.units for l in n.layers]
-        for (k, b), (k2, b2) in zip(n.weights, twin.weights):
-            assert np.array_equal(k, k2) and np.array_equal(b, b2)
-
-
-@pytest.mark.parametrize("limit", [1 << 20, 100])
-def test_score_equals_numpy(spark, monkeypatch, limit):
-    monkeypatch.setattr(mlp, "WAVE_BYTES", limit)
-    nets = []
+    best.write.parquet(path)
+    back = spark.read.parquet(path).collect()
+    assert {(n.location, n.model) for n in back} == {(p, m) for p in ("jkt", "smg") for m in ("ann", "dnn")}
+    for n in back:
+        same = [r for r in rows if (r.location, r.model) == (n.location, n.model)]
+        assert n.trial == min(same, key=lambda r: r.val_loss).trial
+        assert losses[n.location, n.model, n.trial, n.execution] == min(losses[n.location, n.model, n.trial, e] for e in (0, 1))
+    again = training.fit(matrix(spark), spark.read.parquet(path), epochs=1, features=FEATURES)
+    assert again.count() == 4
+
+
+def test_draws_do_not_depend_on_other_sites(spark):
+    sites = spark.createDataFrame([(f"s{i}",) for i in range(40)], "location string")
+    every = {(r.location, r.model, r.trial): r for r in training.search_plans(sites, trials=4, executions=1).collect()}
+    one = training.search_plans(sites.filter("location = 's7'"), trials=4, executions=1).collect()
+    assert len(every) == 320 and all(every[r.location, r.model, r.trial] == r for r in one)
+    assert len({str((r.layers, r.learning_rate)) for r in every.values()}) > 100
+    for site in ("s1", "s2"):
+        assert len({str((every[site, "ann", t].layers, every[site, "ann", t].learning_rate)) for t in range(1, 5)}) == 4
+
+
+def test_many_sites(spark):
+    """Hundreds of sites, one with a third of all rows: a row of losses for each network, no state in the driver."""
+    base = matrix(spark).filter("location = 'jkt'").drop("location")
+    sites = spark.range(300).select(F.concat(F.lit("s"), "id").alias("location"))
+    many = base.crossJoin(sites).unionByName(base.crossJoin(spark.range(150)).select(F.lit("hot").alias("location"), (F.col("row") + 200 * F.col("id")).cast("int").alias("row"), "part", "a", "b", "label"))
+    tried = training.search(many, models=("ann",), trials=2, executions=1, epochs=2, features=FEATURES)
+    assert tried.count() == 602 and tried.filter("size(history) = 2").count() == 602
+    scored = training.score(many.limit(2000), training.best_networks(tried), FEATURES, models=["ann"])
+    assert scored.filter("ann_cooling_load is null").count() == 0
+
+
+def test_score_equals_numpy(spark):
+    weights, rows = {}, []
     for i, place in enumerate(("jkt", "smg")):
         for j, layers in enumerate((mlp.shallow(4), mlp.deep(3, [(2, 0.4)]))):
-            net = mlp.Net(place, ("ann", "dnn")[j], layers)
-            net.initialise(2, [i, j])
-            nets.append(net)
-    extra = spark.createDataFrame([("other", 1, "fit", 0.1, 0.2, 0.3)], matrix(spark).schema)
-    out = mlp.score(matrix(spark).union(extra), nets, FEATURES).collect()
-    assert len(out) == 241
+            model = ("ann", "dnn")[j]
+            weights[place, model] = layers, mlp.initial_weights(layers, 2, [i, j])
+            rows.append(training.plan_row(place, model, layers, weights=weights[place, model][1]))
+    odd = [("other", 1, "fit", 0.1, 0.2, 0.3), (None, 1, "fit", 0.1, 0.2, 0.3), ("jkt", 999, "fit", None, 0.2, 0.3)]
+    extra = spark.createDataFrame(odd, matrix(spark).schema)
+    out = training.score(matrix(spark).union(extra), training.plans(spark, rows), FEATURES).collect()
+    assert len(out) == 243
     for r in out:
-        for net in nets:
-            if net.location == r["location"]:
-                want = mlp.forward(net.layers, net.weights, np.array([[r["a"], r["b"]]]))[-1][0, 0]
-                assert r[f"{net.model}_cooling_load"] == pytest.approx(want)
-        if r["location"] == "other":
+        for (place, model), (layers, told) in weights.items():
+            if place == r["location"] and r["a"] is not None:
+                want = mlp.forward(layers, told, np.array([[r["a"], r["b"]]]))[-1][0, 0]
+                assert r[f"{model}_cooling_load"] == pytest.approx(want)
+        if r["location"] in ("other", None) or r["a"] is None:
             assert r["ann_cooling_load"] is None
+    empty = training.score(matrix(spark).limit(0), training.plans(spark, rows), FEATURES)
+    assert empty.columns[-2:] == ["ann_cooling_load", "dnn_cooling_load"] and empty.count() == 0
 
 
 def series(spark, n=30):
@@ -188,10 +249,10 @@ def test_forecast_end_to_end(spark):
 
     weather = profile(2021)
     load = weather.select("location", "time", (F.col("temp") * 40 + F.col("ssrd") / 10).alias("avg_cooling_load"))
-    training = training_table(weather, load, {"jkt": 2021, "smg": 2021})
-    data = forecast.split_scale(training, 2)
-    nets = [mlp.Net(p, m, mlp.shallow(10), 0.05) for p in ("jkt", "smg") for m in ("ann", "dnn")]
-    mlp.fit(data.matrix, nets, epochs=60, patience=None)
+    table = training_table(weather, load, {"jkt": 2021, "smg": 2021})
+    data = forecast.split_scale(table, 2)
+    plan = training.plans(spark, [training.plan_row(p, m, mlp.shallow(10), 0.05) for p in ("jkt", "smg") for m in ("ann", "dnn")])
+    nets = training.fit(data.matrix, plan, epochs=60, patience=None)
     scores = forecast.evaluate(forecast.test_predictions(data, nets)).collect()
     assert len(scores) == 4 and all(r["cv_rmse"] < 15 for r in scores)
 
@@ -202,7 +263,7 @@ def test_forecast_end_to_end(spark):
     loads = forecast.project_load(projection_features(synthetic), data.limits, nets, 2)
     monthly = forecast.monthly_loads(forecast.loads_by_scenario(loads))
     assert monthly.count() == 24
-    annual = forecast.annual_loads(monthly, training).orderBy("location", "year").collect()
+    annual = forecast.annual_loads(monthly, table).orderBy("location", "year").collect()
     assert [(r["location"], r["year"]) for r in annual] == [("jkt", 2021), ("jkt", 2022), ("smg", 2021), ("smg", 2022)]
     for r in annual:
         if r["year"] == 2022:
