@@ -18,9 +18,9 @@ from loadcast.params import DAILY_VARIABLES, SCENARIOS, WEATHER
 from loadcast.plans.projection import load_projection
 from loadcast.plans.weather import GRID, convert_units, load_history, load_weather
 from loadcast.sources.cubes import cube_to_rows
-from loadcast.sources.scratch import scratch_path
-from loadcast.sources.series import path_keys, scan_series, scan_table
-from loadcast.sources.sinks import write_table
+from loadcast.sources.scratch import materialize, scratch_path
+from loadcast.sources.series import bad_lines, path_keys, scan_series, scan_table
+from loadcast.sources.sinks import read_positions, write_table
 
 SPANS = {"jkt": (1996, 1999), "smg": (1995, 1998)}
 
@@ -108,6 +108,126 @@ def load_projection_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(load_projection(spark, _write_series(spark, sf_dir)), 15)
 
 
+def _repair_sql(source: str, series: str) -> str:
+    """Literal recursion over row positions: the corrected time before decides."""
+    step = "date_diff('second', r.fixed, x.time)"
+    return f"""select x.*, x.time as fixed from {source} x where x.pos = 1
+ union all
+ select x.*, case when {step} = 7200 then x.time - interval 1 hour
+  when {step} = 0 then r.fixed + interval 1 hour else x.time end
+ from R r join {source} x on x.{series} = r.{series} and x.pos = r.pos + 1"""
+
+
+_KEYS = ["location", "scenario", "interval", "variable"]
+_CODES = [s.code for s in SCENARIOS]
+
+# Hours as faulty files give them: a doubled hour, a skipped one, and one that jumps back to a time that is there already.
+_FAULTY = """case when day(time) % 5 = 2 and hour(time) = 3 then time - interval 1 hour
+ when day(time) % 7 = 3 and hour(time) = 10 then time + interval 1 hour
+ when day(time) % 6 = 5 and hour(time) = 15 then time - interval 6 hour else time end"""
+
+
+def _write_hourly(spark: SparkSession, sf_dir: str) -> str:
+    """H as hourly CSV series of three scenarios and two intervals, in the order of time, with faulty hours.
+
+    Scenario 45 is stamped one hour late, so its series begin at hour 1; minutes are those of the value.
+    """
+    labels = F.create_map(*[F.lit(x) for c in SCENARIOS for x in (c.code, c.label)])
+    names = dict(zip(WEATHER, DAILY_VARIABLES))
+    hist = V.history(spark, sf_dir).withColumnsRenamed(names).withColumn("scenario", F.explode(F.array(*[F.lit(c) for c in _CODES])))
+    long = melt(hist, ["location", "scenario", "time"])
+    stamped = F.expr(_FAULTY) + F.when(F.col("scenario") == "45", F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour"))
+    minutes = F.make_dt_interval(mins=F.day("time") + F.hour("time"))
+    files = long.select(
+        labels[F.col("scenario")].alias("rcp"),
+        F.when(F.day("time") <= 15, "first").otherwise("second").alias("interval"),
+        F.concat_ws("_", "category", "location", F.lit("disagg")).alias("series"),
+        F.date_format(stamped + minutes, "yyyy-MM-dd HH:mm:ss").alias("date"),
+        F.col("values").alias("v"),
+        F.col("time").cast("string").alias("at"),
+    )
+    path = scratch_path(spark, "hourly")
+    place = ["rcp", "interval", "series", "at"]
+    files.repartitionByRange(*place).sortWithinPartitions(*place).write.option("header", True).partitionBy("rcp", "interval", "series").csv(path)
+    return path
+
+
+_HOURLY_SQL = {
+    "U": "select location, time, "
+    + ", ".join(f'{w} as "{v}"' for w, v in zip(WEATHER, DAILY_VARIABLES))
+    + " from H",
+    "V": f"""select location, scenario, if(day(time) <= 15, 'first', 'second') as "interval", variable, value, time,
+ date_trunc('hour', {_FAULTY} + if(scenario = '45', interval 1 hour, interval 0 hour)) as stamped
+from (unpivot U on {", ".join(f'"{v}"' for v in DAILY_VARIABLES)} into name variable value value)
+ cross join (select unnest({_CODES}) as scenario)""",
+    "O": """select *, dense_rank() over (order by location, scenario, "interval", variable) as series,
+ row_number() over (partition by location, scenario, "interval", variable order by time) as pos,
+ first_value(hour(stamped)) over (partition by location, scenario, "interval", variable order by time) as first_hour from V""",
+    "X": """select location, scenario, "interval", variable, value, series, pos,
+ cast(if(first_hour > 0, stamped - interval 1 hour, stamped) as timestamp) as time from O""",
+}
+
+
+@query(
+    "load_projection_hourly",
+    with_views(
+        "H",
+        """select location, scenario, "interval", fixed as time, """
+        + sql_round({v: f"{v}.value" for v in DAILY_VARIABLES}, 12)
+        + f' from (select * from R where variable = \'{DAILY_VARIABLES[0]}\') as "{DAILY_VARIABLES[0]}"'
+        + "".join(
+            f""" left join (select location, scenario, "interval", fixed, value from R where variable = '{v}') as "{v}"
+ using (location, scenario, "interval", fixed)"""
+            for v in DAILY_VARIABLES[1:]
+        ),
+        {**_HOURLY_SQL, "R": _repair_sql("X", "series")},
+        recursive=True,
+    ),
+)
+def load_projection_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins moved, hours repaired, and variables joined with rows repeated where a time is there twice."""
+    return rounded(load_projection(spark, _write_hourly(spark, sf_dir), hourly=True), 12)
+
+
+_BAD = {"value": "l_quantity % 7 = 0", "time": "l_linenumber % 5 = 4", "missing": "l_quantity % 11 = 0"}
+
+
+@query(
+    "bad_lines",
+    f"""select if(l_linestatus = 'F', 'jkt', 'smg') as location, case l_returnflag when 'A' then '26' when 'N' then '45' else '85' end as scenario,
+ cast(year(l_shipdate) as varchar) as "interval", 'tas' as variable, count(*) as lines, count(*) filter ({_BAD['time']}) as bad_times,
+ count(*) filter ({_BAD['value']} and not {_BAD['missing']}) as bad_values, sum(case when {_BAD['value']} or {_BAD['missing']} then 0 else l_orderkey end)::double as total
+from lineitem group by 1, 2, 3, 4""",
+)
+def bad_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with numbers and times that cannot be read, beside missing ones: counts per file, and the sum of what is sound."""
+    labels = F.create_map(*[F.lit(x) for c in SCENARIOS for x in (c.code, c.label)])
+    lines = V.table(spark, sf_dir, "lineitem").select(
+        labels[V._line_scenario()].alias("rcp"),
+        F.year("l_shipdate").alias("interval"),
+        F.concat(F.lit("tas_"), V._line_location(), F.lit("_daily")).alias("series"),
+        F.expr(f"if({_BAD['time']}, 'day ' || l_linenumber, cast(l_shipdate as string))").alias("date"),
+        F.expr(f"case when {_BAD['missing']} then null when {_BAD['value']} then l_orderkey || ' kg' else cast(l_orderkey as string) end").alias("v"),
+    )
+    path = scratch_path(spark, "lines")
+    lines.write.option("header", True).option("nullValue", "NA").partitionBy("rcp", "interval", "series").csv(path)
+    series = materialize(scan_series(spark, path, "daily"), "series")
+    totals = series.groupBy(*_KEYS).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
+    return bad_lines(series).join(totals, _KEYS)
+
+
+@query(
+    "sink_order",
+    with_views("S", "select location, scenario, time, row_number() over (partition by location, scenario order by time) as position from S"),
+)
+def sink_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each row in the files that were written in the order of time."""
+    path = scratch_path(spark, "sorted")
+    shuffled = V.synthetic(spark, sf_dir).orderBy(F.xxhash64("time", "scenario"))
+    write_table(shuffled, path, order_by=["time"])
+    return read_positions(spark, path).select("location", "scenario", "time", "position")
+
+
 @query(
     "decode_time_axis",
     """select event_id, cast(date_trunc('hour', ts) + interval 7 hour as timestamp) as time from events""",
@@ -283,16 +403,6 @@ def load_weather_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(load_weather(V.grid(spark, sf_dir)))
 
 
-def _repair_sql(source: str, series: str) -> str:
-    """Literal recursion over row positions: the corrected time before decides."""
-    step = "date_diff('second', r.fixed, x.time)"
-    return f"""select x.*, x.time as fixed from {source} x where x.pos = 1
- union all
- select x.*, case when {step} = 7200 then x.time - interval 1 hour
-  when {step} = 0 then r.fixed + interval 1 hour else x.time end
- from R r join {source} x on x.{series} = r.{series} and x.pos = r.pos + 1"""
-
-
 @query(
     "load_history",
     with_views(

@@ -24,7 +24,6 @@ from loadcast.sources.scratch import materialize
 
 # From the first day of the history view (2024) to the first year of the daily view (1995).
 FIXTURE_DAYS = -10592
-FIXTURE_SPANS = {"jkt": (1995, 1995), "smg": (1995, 1995)}
 CODES = [s.code for s in SCENARIOS]
 
 _RATIO = "select *, " + ", ".join(
@@ -106,15 +105,12 @@ def shift_pattern_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             "Z": "select *, 1 as year_index, month(time) as month, day(time) as day from (select location, "
             "time - interval 10592 day as time, " + ", ".join(RATIOS.values()) + " from Q)",
             **_DAILY,
-            "E": "select *, year(time) - 1994 as year_index, month(time) as month, day(time) as day from D where year(time) = 1995",
+            "E": "select *, dense_rank() over (partition by location order by year(time)) as year_index, month(time) as month, day(time) as day from D",
         },
     ),
 )
 def disaggregate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    synthetic = synthesize(
-        V.history(spark, sf_dir), V.daily(spark, sf_dir), FIXTURE_SPANS, shift_days=FIXTURE_DAYS
-    )
-    return rounded(synthetic)
+    return rounded(synthesize(V.history(spark, sf_dir), V.daily(spark, sf_dir), shift_days=FIXTURE_DAYS))
 
 
 @query(

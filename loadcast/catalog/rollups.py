@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loadcast.catalog import views as V
 from loadcast.catalog.patterns import CODES
 from loadcast.catalog.registry import query, rounded, sql_round
 from loadcast.catalog.training import FORECAST_SQL, full_training, projected
 from loadcast.catalog.views import with_views
+from loadcast.functions.calendar import representative_time
 from loadcast.operators.reshape import scenario_wide
 from loadcast.operators.rollup import annual_baseline, annual_series, annual_weighted, monthly_mean
 from loadcast.params import DAILY_VARIABLES, LABEL
@@ -21,10 +23,24 @@ _MONTHS = "select location, scenario, year(time) as year, month(time) as month,
     f'avg("{c}") as "{c}"' for c in DAILY_VARIABLES
 ) + " from P group by 1, 2, 3, 4"
 _SHARE = "day(last_day(make_date(year, month, 1))) / dayofyear(make_date(year, 12, 31))"
-_BASE = (
-    "select location, year(time) as year, sum(avg_cooling_load * day(last_day(cast(time as date))))"
-    " / (24 * dayofyear(make_date(year(time), 12, 31))) as load from B group by 1, 2"
-)
+# A profile with every representative hour of the months that B has (the month's mean where an hour is absent), but for one hour of one year.
+_ABSENT = "location = 'smg' and year(time) = 1997 and month(time) = 3 and hour(time) = 5"
+_BASE = {
+    "BM": "select location, year(time) as y, month(time) as m, avg(avg_cooling_load) as mean from B group by 1, 2, 3",
+    "BH": f"select location, {V._STAMP.format(y='y', m='m', h='h')} as time, mean from BM cross join (select unnest(range(24)) as h)",
+    "BF": f"select location, time, coalesce(avg_cooling_load, mean) as load from BH left join B using (location, time) where not ({_ABSENT})",
+    "BA": """select location, year(time) as year, case when count(*) = 288 then sum(load * day(last_day(cast(time as date))))
+ / (24 * dayofyear(make_date(year(time), 12, 31))) end as load from BF group by 1, 2""",
+}
+
+
+def full_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loads = materialize(V.mean_load(spark, sf_dir), "loads")  # for the hours and the months' means
+    months = loads.groupBy("location", F.year("time").alias("y"), F.month("time").alias("m")).agg(F.avg(LABEL).alias("mean"))
+    hours = months.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    stamped = hours.select("location", representative_time(F.col("y"), F.col("m"), F.col("h")).alias("time"), "mean")
+    filled = stamped.join(loads, ["location", "time"], "left").filter(f"not ({_ABSENT})")
+    return filled.select("location", "time", F.coalesce(LABEL, "mean").alias(LABEL))
 
 
 @query(
@@ -62,11 +78,11 @@ def annual_weighted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "annual_baseline",
     with_views(
-        "B", f"select location, cast(year as int) as year, {sql_round({c: 'load' for c in LOADS})} from BA", {"BA": _BASE}
+        "B", f"select location, cast(year as int) as year, {sql_round({c: 'load' for c in LOADS})} from BA", _BASE
     ),
 )
 def annual_baseline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(annual_baseline(V.mean_load(spark, sf_dir), LABEL, LOADS))
+    return rounded(annual_baseline(full_profile(spark, sf_dir), LABEL, LOADS))
 
 
 @query(
@@ -77,7 +93,7 @@ def annual_baseline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 select location, year, {", ".join(f"sum(case when scenario = '{s}' then tas * {_SHARE} end) as dnn_cooling_load_{s}" for s in CODES)}
 from M group by 1, 2
 union all select location, year, load, load, load from BA)""",
-        {"M": _MONTHS, "BA": _BASE},
+        {"M": _MONTHS, **_BASE},
     ),
 )
 def annual_series_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +101,7 @@ def annual_series_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     monthly = monthly_mean(V.daily(spark, sf_dir), ["tas"], keys)
     annual = annual_weighted(monthly, ["tas"], keys).withColumnRenamed("tas", "dnn_cooling_load")
     wide = scenario_wide(annual, ["dnn_cooling_load"], CODES, ["location", "year"])
-    return rounded(annual_series(wide, annual_baseline(V.mean_load(spark, sf_dir), LABEL, LOADS)))
+    return rounded(annual_series(wide, annual_baseline(full_profile(spark, sf_dir), LABEL, LOADS)))
 
 
 _ALL_LOADS = [f"{m}_cooling_load_{s}" for m in ("ann", "dnn") for s in CODES]
@@ -123,7 +139,7 @@ _ANNUAL = f"""select location, cast(year as int) as year, {sql_round(LOADS)} fro
 select location, year, {", ".join(f"case when count({c}) = count(*) then sum({c} * {_SHARE}) end as {c}" for c in LOADS)}
 from PM group by 1, 2
 union all select location, year, load, load, load from (
- select location, year(time) as year, case when count(avg_cooling_load) = count(*) then
+ select location, year(time) as year, case when count(distinct if(avg_cooling_load is null, null, time)) = 288 and count(avg_cooling_load) = count(*) then
   sum(avg_cooling_load * day(last_day(cast(time as date)))) / (24 * dayofyear(make_date(year(time), 12, 31))) end as load
  from TR group by 1, 2))"""
 

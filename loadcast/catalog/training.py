@@ -20,7 +20,7 @@ from loadcast.functions.calendar import (
     representative_time,
     weekday_count,
 )
-from loadcast.operators import mlp
+from loadcast.operators import crosscheck, mlp
 from loadcast.operators import training as networks
 from loadcast.operators.features import (
     cooling_profile,
@@ -117,16 +117,15 @@ def cooling_profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
         + " from K",
-        {"K": _SHEET.replace("from L", "from (select * from L where hour % 5 <> 0)")},
+        {"K": _SHEET},
     ),
 )
 def load_cooling_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sheet as a CSV file, with NA in place of every fifth hour's load: such rows are dropped."""
+    """The sheet as a CSV file, beside lines of later years whose load is NA: those are dropped."""
     path = scratch_path(spark, "sheet")
-    load = "`Cooling Load (kW)`"
-    cells = [f"if(Hour % 5 = 0, null, {load}) as {load}" if c == "Cooling Load (kW)" else c for c in ("location", "Year", "Month", "Hour", "Weekday", "Cooling Load (kW)")]
-    sheet = V.load_sheet(spark, sf_dir).selectExpr(*cells)
-    sheet.write.option("header", True).option("nullValue", "NA").csv(path)
+    sheet = V.load_sheet(spark, sf_dir).select("location", "Year", "Month", "Hour", "Weekday", "Cooling Load (kW)")
+    missing = sheet.withColumns({"Year": F.col("Year") + 50, "Cooling Load (kW)": F.lit(None).cast("double")})
+    sheet.unionByName(missing).write.option("header", True).option("nullValue", "NA").csv(path)
     return rounded(study.load_cooling(spark, path))
 
 
@@ -454,6 +453,59 @@ def chart_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(charts.prediction_lines(forecast.test_predictions(data, rule_networks(spark, RULE_LAYERS), len(LOCATIONS))))
 
 
+# Dew point follows temperature in these tables, which leaves least squares without a single solution.
+LINEAR_FEATURES = [f for f in FEATURES if "dewpoint" not in f]
+
+
+def _normal_sql() -> dict[str, str]:
+    """Least squares by elimination on the sums of products: one CTE per pivot."""
+    xs = [*LINEAR_FEATURES, "one"]
+    n = len(xs)
+    told = [*xs, "y"]
+    label = scaled_sql([LABEL])[LABEL]
+    steps = {
+        "NX": f"select location, part, time, {_SCALED}, 1.0::double as one, {label} as y from SP join LI using (location)",
+        "E0": "select location, "
+        + ", ".join(f"sum({xs[i]} * {told[j]}) as c{i}_{j}" for i in range(n) for j in range(n + 1))
+        + " from NX where part <> 'test' group by 1",
+    }
+    for k in range(n):
+        items = []
+        for i in range(n):
+            for j in range(k, n + 1):
+                items.append(f"c{k}_{j} / c{k}_{k} as c{i}_{j}" if i == k else f"c{i}_{j} - c{i}_{k} * c{k}_{j} / c{k}_{k} as c{i}_{j}")
+        steps[f"E{k + 1}"] = f"select location, {', '.join(items)} from E{k}"
+    steps["LP"] = "select location, NX.time, y, " + " + ".join(f"{x} * c{i}_{n}" for i, x in enumerate(xs)) + f" as p from NX join E{n} using (location) where part = 'test'"
+    return steps
+
+
+def _yardstick(data: forecast.TrainingData, model, name: str, features: Sequence[str] = FEATURES) -> DataFrame:
+    tests = data.matrix.filter(F.col("part") == "test")
+    return crosscheck.predict(tests, model, name, LOCATIONS, features)
+
+
+@query(
+    "linear_check",
+    with_views("TB", f"select location, time, {sql_round({'linear': 'p'}, 5)} from LP", {**LIMITS_SQL, **_normal_sql()}),
+)
+def linear_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled loads of the test rows by linear regression, beside which the networks stand."""
+    data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
+    told = _yardstick(data, crosscheck.fit_linear(data.matrix, LOCATIONS, LINEAR_FEATURES), crosscheck.LINEAR, LINEAR_FEATURES)
+    return rounded(told.select("location", "time", "linear"), 5)
+
+
+@query("yardstick_metrics")
+def yardstick_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of linear regression and boosted trees on the test rows, in scaled units."""
+    data = forecast.split_scale(full_training(spark, sf_dir), len(LOCATIONS))
+    matrix = materialize(data.matrix, "matrix")  # the learners pass over it many times
+    data = forecast.TrainingData(data.loads, data.split, data.limits, matrix)
+    fitted = {crosscheck.LINEAR: crosscheck.fit_linear(matrix, LOCATIONS), crosscheck.TREES: crosscheck.fit_trees(matrix, LOCATIONS)}
+    parts = [_yardstick(data, m, n).select("location", F.lit(n).alias("model"), "label", F.col(n).alias("p")) for n, m in fitted.items()]
+    return regression_metrics(parts[0].unionByName(parts[1]), ["location", "model"], "label", "p")
+
+
 _TREND = {"slope": f"regr_slope(dnn_cooling_load, {LABEL})", "intercept": f"regr_intercept(dnn_cooling_load, {LABEL})"}
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from loadcast.functions.calendar import days_in_month, days_in_year
 from loadcast.functions.strict import strict_avg, strict_sum
 
+REPRESENTATIVE_HOURS = 12 * 24
+
 
 def monthly_mean(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("location",)) -> DataFrame:
     """Mean per calendar month, with ``time`` (first of month) and ``month_index``.
@@ -40,12 +42,17 @@ def annual_weighted(monthly: DataFrame, columns: Sequence[str], keys: Sequence[s
 def annual_baseline(
     profile: DataFrame, load: str, columns: Sequence[str], keys: Sequence[str] = ("location",)
 ) -> DataFrame:
-    """Hourly mean of a year given by representative days, repeated per column."""
+    """Hourly mean of a year given by representative days, repeated per column.
+
+    The mean is over the whole year, so a year without a load for each of its
+    ``REPRESENTATIVE_HOURS`` gives NULL, whether hours are missing as rows or as values.
+    """
     daily_share = F.col(load) * days_in_month(F.col("time"))
+    complete = F.count_distinct(F.when(F.col("_share").isNotNull(), F.col("time"))) == REPRESENTATIVE_HOURS
     totals = (
-        profile.select(*keys, F.year("time").alias("year"), daily_share.alias("_share"))
+        profile.select(*keys, "time", F.year("time").alias("year"), daily_share.alias("_share"))
         .groupBy(*keys, "year")
-        .agg(strict_sum("_share").alias("_total"))
+        .agg(F.when(complete, strict_sum("_share")).alias("_total"))
     )
     mean = F.col("_total") / (24 * days_in_year(F.col("year")))
     return totals.select(*keys, "year", *[mean.alias(c) for c in columns])

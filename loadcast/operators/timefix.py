@@ -157,13 +157,10 @@ def _state(start: Column) -> Column:
     return F.when(corrected, kind).otherwise(0).cast("int")
 
 
-def _start_states(rows: DataFrame, keys: list[str], compat_day_gap: bool) -> DataFrame:
-    """State in which each chunk of a series is entered: one row per chunk."""
-    # Rows one hour apart hand the state on unchanged, whatever it is.
-    odd_gaps = rows.filter(F.col("_gap").isNull() | (F.col("_gap") != HOUR))
+def _start_states(odd: DataFrame, keys: list[str]) -> DataFrame:
+    """State in which each chunk of a series is left, from its odd gaps: one row per chunk that has any."""
     maps = (
-        _symbolic(odd_gaps, keys, compat_day_gap)
-        .groupBy(*keys, "_chunk")
+        odd.groupBy(*keys, "_chunk")
         .agg(F.array(*[F.max_by(_state(F.lit(s)), "_id") for s in (-1, 0, 1)]).alias("map"))
     )
     # Two levels: blocks of chunks become one map each, the blocks of a series are
@@ -222,8 +219,11 @@ def repair_hours(
     """
     keys, order = list(keys), list(order)
     chunked = range_chunks(df, keys, order, chunks)
-    rows = materialize(_with_gaps(chunked, keys, time), "gaps")  # read for the maps and for the correction
-    ends = _start_states(rows, keys, compat_day_gap)
+    rows = materialize(_with_gaps(chunked, keys, time), "gaps")
+    # Rows one hour apart hand the state on unchanged, whatever it is; only the others need the automaton.
+    is_odd = F.col("_gap").isNull() | (F.col("_gap") != HOUR)
+    odd = materialize(_symbolic(rows.filter(is_odd), keys, compat_day_gap), "odd")  # read for the maps and the states
+    ends = _start_states(odd, keys)
     # A chunk without odd gaps has no row in `ends`; it hands its state on.
     along = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = (
@@ -231,7 +231,11 @@ def repair_hours(
         .withColumn("_start", F.coalesce(F.last("_end", ignorenulls=True).over(along), F.lit(0)))
         .drop("_end")
     )
-    states = join_nulls(_symbolic(rows, keys, compat_day_gap), starts, [*keys, "_chunk"])
-    fixed = states.withColumn(time, add_hours(F.col(time), _state(F.col("_start"))))
+    known = join_nulls(odd, starts, [*keys, "_chunk"]).select(*rows.columns, _state(F.col("_start")).alias("_own"), "_start")
+    # The chunk's start is the state of its rows before the first odd gap.
+    plain = join_nulls(rows.filter(~is_odd), starts, [*keys, "_chunk"]).withColumn("_own", F.lit(None).cast("int"))
+    so_far = W.partitionBy(*keys, "_chunk").orderBy("_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    states = plain.unionByName(known).withColumn("_state", F.coalesce(F.last("_own", ignorenulls=True).over(so_far), F.col("_start")))
+    fixed = states.withColumn(time, add_hours(F.col(time), F.col("_state")))
     extra = [F.col("_pos").alias(position)] if position else []
     return fixed.select(*df.columns, *extra)

@@ -13,7 +13,7 @@ from loadcast.operators.reshape import join_variables
 from loadcast.operators.timefix import repair_hours, shift_origin
 from loadcast.params import DAILY_VARIABLES, SCENARIOS, SHIFT_DAYS, Scenario
 from loadcast.sources.scratch import materialize
-from loadcast.sources.series import scan_series
+from loadcast.sources.series import require_sound, scan_series
 
 SERIES = ["location", "scenario", "interval", "variable"]
 
@@ -34,17 +34,24 @@ def load_projection(
     variables: Sequence[str] = DAILY_VARIABLES,
     compat_day_gap: bool = False,
     repeated: str | None = None,
+    on_bad: str = "stop",
 ) -> DataFrame:
     """Projection table (location, scenario, interval, time, variables) from CSV files.
 
     Repaired hourly series may still hold a time twice, so they are joined with
     row repetition; daily series expect one row per day.  ``repeated`` (fanout or
-    unique) chooses the rule.
+    unique) chooses the rule.  Lines with a time or a value that cannot be read stop
+    the query, unless ``on_bad`` is ``null``: then what cannot be read is missing.
     """
+    if on_bad not in ("stop", "null"):
+        raise ValueError(f"unknown rule for bad lines: {on_bad}")
     rule = repeated or ("fanout" if hourly else "unique")
     text = scan_series(spark, paths, "disagg" if hourly else "daily")
     # The text is parsed once; finding the origins and moving the series read the table.
     long = materialize(text, "series")
+    if on_bad == "stop":
+        require_sound(long)
+    long = long.drop("bad")
     aligned = align_series(long, hourly, compat_day_gap)
     if rule == "fanout":
         aligned = materialize(aligned.drop("line"), "aligned")  # read once per variable

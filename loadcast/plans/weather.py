@@ -11,6 +11,7 @@ from loadcast.operators.disagg import filter_years
 from loadcast.operators.grid import deaccumulate, spatial_mean
 from loadcast.operators.timefix import repair_hours
 from loadcast.params import WEATHER
+from loadcast.sources.scratch import materialize
 
 GRID = ["u10_wind", "v10_wind", "dewpoint_temp", "temp", "ssrd", "precip"]
 
@@ -35,7 +36,8 @@ def load_weather(cells: DataFrame, accumulated: bool = True) -> DataFrame:
     speed = ms_to_kmh(wind_magnitude(F.col("u10_wind"), F.col("v10_wind")))
     converted = convert_units(cells.dropna("any", subset=GRID)).withColumn("wind_speed", speed)
     hourly = spatial_mean(converted, WEATHER)
-    return deaccumulate(hourly) if accumulated else hourly
+    # The rows and their borders read the means, not the grid.
+    return deaccumulate(materialize(hourly, "hourly")) if accumulated else hourly
 
 
 def load_history(

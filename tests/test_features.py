@@ -1,8 +1,8 @@
 from datetime import datetime, timedelta
 
 import pytest
-from timestamps import hours
 from pyspark.sql import functions as F
+from timestamps import hours
 
 from loadcast.operators.features import (
     cooling_profile,
@@ -117,6 +117,7 @@ def test_baseline_is_the_hourly_mean_of_the_year(spark):
     out = annual_baseline(df, LABEL, ["a", "b"]).first()
     lengths = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
     assert out["a"] == out["b"] == pytest.approx(sum((i + 1) * n for i, n in enumerate(lengths)) / 365)
+    assert annual_baseline(df.limit(287), LABEL, ["a"]).first()["a"] is None  # an hour that is no row
     assert annual_baseline(df.union(df.limit(1).withColumn(LABEL, F.lit(None).cast("double"))), LABEL, ["a"]).first()["a"] is None
 
 

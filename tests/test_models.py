@@ -268,3 +268,23 @@ def test_forecast_end_to_end(spark):
     for r in annual:
         if r["year"] == 2022:
             assert r["dnn_cooling_load_26"] < r["dnn_cooling_load_45"] < r["dnn_cooling_load_85"]
+
+
+def test_yardsticks(spark):
+    """Linear regression equals least squares per location; trees follow what is not linear."""
+    from loadcast.operators import crosscheck
+
+    places = ["jkt", "smg"]
+    rows = matrix(spark).withColumn("part", F.when(F.col("row") % 6 == 0, "test").otherwise(F.col("part")))
+    line = crosscheck.predict(rows, crosscheck.fit_linear(rows, places, FEATURES), "linear", places, FEATURES).collect()
+    for place in places:
+        train = [r for r in line if r.location == place and r.part != "test"]
+        x = np.array([[r.a, r.b, 1.0] for r in train])
+        told = np.linalg.lstsq(x, np.array([r.label for r in train]), rcond=None)[0]
+        for r in line:
+            if r.location == place:
+                assert r.linear == pytest.approx(np.array([r.a, r.b, 1.0]) @ told, abs=1e-6)
+    trees = crosscheck.predict(rows, crosscheck.fit_trees(rows, places, FEATURES), "trees", places, FEATURES)
+    assert trees.columns == [*rows.columns, "trees"]
+    errors = trees.filter("part = 'test'").select(F.avg((F.col("trees") - F.col("label")) ** 2)).first()[0]
+    assert errors < 0.002

@@ -1,14 +1,14 @@
 from datetime import datetime
 
 import pytest
-from timestamps import hours
 from pyspark.sql import functions as F
+from timestamps import hours
 
 from loadcast.operators.reshape import clean_header, join_variables, select_matching
 from loadcast.plans.projection import load_projection
 from loadcast.sources.cubes import cube_to_rows
-from loadcast.sources.series import scan_series
-from loadcast.sources.sinks import write_table
+from loadcast.sources.series import bad_lines, scan_series
+from loadcast.sources.sinks import read_positions, write_table
 
 
 def write(folder, name, text):
@@ -19,7 +19,7 @@ def write(folder, name, text):
 def test_scan_reads_two_columns_and_path_keys(spark, tmp_path):
     write(tmp_path / "RCP 2.6" / "2021-2030", "tas_jkt_daily.csv", "when,val,extra\n2021-01-01,300.5,9\n2021-01-02 00:00:00,NA,9\n")
     write(tmp_path / "RCP 8.5" / "2031-2040", "pr_smg_disagg.csv", "time,pr\n2031-01-01 01:00:00,0.25\n")
-    rows = scan_series(spark, str(tmp_path)).drop("line").orderBy("time").collect()
+    rows = scan_series(spark, str(tmp_path)).drop("line", "bad").orderBy("time").collect()
     assert [tuple(r) for r in rows] == [
         ("26", "2021-2030", "tas", "jkt", "daily", datetime(2021, 1, 1), 300.5),
         ("26", "2021-2030", "tas", "jkt", "daily", datetime(2021, 1, 2), None),
@@ -122,3 +122,42 @@ def test_scratch_folder_follows_the_session():
     assert scratch_dir(session("", "yarn", "s3://b/c")) == "s3://b/c/loadcast-app-1"
     with pytest.raises(ValueError):
         scratch_dir(session("", "spark://host:7077"))
+
+
+def test_bad_lines_are_counted_and_stop(spark, tmp_path):
+    folder = tmp_path / "RCP 2.6" / "2051-2051"
+    folder.mkdir(parents=True)
+    lines = ["2051-01-01,1.5,x", "2051-01-02,NA,x", "2051-01-03,,x", "2051-01-04, 2.5 ,x", "51/1/5,3,x", "2051-01-06,3 mm,x", "noon,high,x"]
+    (folder / "tas_jkt_daily.csv").write_text("time,tas,note\n" + "\n".join(lines) + "\n")
+    (folder / "tas_smg_daily.csv").write_text("time,tas\n2051-01-01,1\n")
+    series = scan_series(spark, str(tmp_path / "RCP *"), "daily")
+    rows = series.filter("location = 'jkt'").orderBy("line").collect()
+    assert [(r.time is None, r.value, r.bad) for r in rows] == [
+        (False, 1.5, None),
+        (False, None, None),
+        (False, None, None),
+        (False, 2.5, None),
+        (True, 3.0, "time"),
+        (False, None, "value"),
+        (True, None, "time value"),
+    ]
+    counts = {r.location: (r.lines, r.bad_times, r.bad_values) for r in bad_lines(series).collect()}
+    assert counts == {"jkt": (7, 2, 2), "smg": (1, 0, 0)}
+    with pytest.raises(ValueError, match="26/2051-2051/tas_jkt: 2 times, 2 values"):
+        load_projection(spark, str(tmp_path / "RCP *"), variables=["tas"])
+    (folder / "tas_jkt_daily.csv").write_text("time,tas,note\n" + "\n".join([*lines[:4], lines[5]]) + "\n")
+    assert load_projection(spark, str(tmp_path / "RCP *"), variables=["tas"], on_bad="null").count() == 6
+
+
+def test_order_over_many_files(spark, tmp_path):
+    """A folder of many files is in order from file to file."""
+    hot = spark.range(20_000).selectExpr("'jkt' as location", "'26' as scenario", "timestamp_ntz'2020-01-01' + make_dt_interval(0, int(id)) as time", "id")
+    small = spark.range(7).selectExpr("'smg' as location", "'85' as scenario", "timestamp_ntz'2020-01-01' + make_dt_interval(0, int(id)) as time", "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_table(hot.unionByName(small).orderBy(F.xxhash64("id")), str(tmp_path / "t"), order_by=["time"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    files = list((tmp_path / "t" / "location=jkt" / "scenario=26").glob("*.parquet"))
+    assert len(files) > 1
+    assert read_positions(spark, str(tmp_path / "t")).filter("position <> id + 1").count() == 0

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from loadcast.functions import calendar as C
-from loadcast.operators import mlp
+from loadcast.operators import mlp, training
 from loadcast.operators.disagg import daily_weather, disaggregate, filter_years
 from loadcast.operators.features import cooling_profile
 from loadcast.operators.metrics import regression_metrics
@@ -19,22 +19,25 @@ from pyspark.sql import functions as F
 T0 = datetime(2024, 3, 1)
 
 
-def _nets(places):
-    nets = [mlp.Net(p, m, mlp.shallow(n)) for p in places for m, n in (("ann", 3), ("dnn", 5))]
-    for i, net in enumerate(nets):
-        net.initialise(len(FEATURES), [7, i])
-    return nets
-
-
-def test_scoring_in_many_waves_keeps_all_rows(spark, monkeypatch):
-    rows = [(p, *[float(i + j) for j in range(len(FEATURES))]) for i, p in enumerate(["a", "b", None, "zz", "c"])]
-    df = spark.createDataFrame(rows, "location string, " + ", ".join(f"{c} double" for c in FEATURES))
-    nets = _nets("abc")
-    one = sorted(map(str, mlp.score(df, nets).collect()))
-    monkeypatch.setattr(mlp, "WAVE_BYTES", 1)
-    assert sorted(map(str, mlp.score(df, nets).collect())) == one
-    assert len(one) == 5
-    assert mlp.score(df, nets, models=["dnn"]).columns[-1] == "dnn_cooling_load"
+def _networks(spark, places):
+    kinds = (("ann", mlp.shallow(3)), ("dnn", mlp.shallow(5)))
+    rows = [
+        training.plan_row(p, m, layers, weights=mlp.initial_weights(layers, len(FEATURES), [7, i, j]))
+        for i, p in enumerate(places)
+        for j, (m, layers) in enumerate(kinds)
+    ]
+    return training.plans(spark, rows)
+
+
+def test_scoring_in_any_number_of_parts_keeps_all_rows(spark, monkeypatch):
+    rows = [(p, *[float(i + j) for j in range(len(FEATURES))]) for i, p in enumerate(["a", "b", None, "zz", "c", "a"])]
+    df = spark.createDataFrame(rows + rows[:1], "location string, " + ", ".join(f"{c} double" for c in FEATURES))
+    nets = _networks(spark, "abc")
+    many = sorted(map(str, training.score(df, nets).collect()))
+    monkeypatch.setattr(training, "SCORE_PARTS", 1)
+    assert sorted(map(str, training.score(df, nets).collect())) == many
+    assert len(many) == 7 and sum("ann_cooling_load=None" in r for r in many) == 2
+    assert training.score(df, nets, models=["dnn"]).columns[-1] == "dnn_cooling_load"
 
 
 def test_any_site_code_is_read(spark, tmp_path):
