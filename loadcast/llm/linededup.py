@@ -7,9 +7,8 @@ Jaccard similarity of their shingle sets and joined to components; of all places
 where a line of a component stands, the first (smallest doc_id, then text hash,
 then line number) keeps it.
 
-Lines are compared without blanks at their ends.  Those of fewer than
-``min_chars`` characters are left alone; with 1, all but empty lines count.  A
-line shorter than a shingle is one shingle, so it meets only lines equal to it.
+Lines are compared without blanks at their ends.  All but empty ones count; with
+a larger ``min_chars``, shorter ones are left alone.  A line shorter than a shingle is one shingle, so it meets only lines equal to it.
 
 Defined results: a null or empty text stays as it is; a null doc_id comes before
 all others; rows equal in id and text are one document and get the same lines;
@@ -23,19 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadcast.llm.batches import returning
 from loadcast.llm.links import spanning_links
-from loadcast.llm.shingles import FACTORS, SPACE, mixed, powers
+from loadcast.llm.shingles import FACTORS, SEED, SPACE, mixed, powers
 from loadcast.sources.scratch import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 8  # characters of a shingle
-MIN_CHARS = 20  # unless the caller sets another least length; the query and the pipeline set 1
+BLANKS = " \t\n\x0b\x0c\r"
+MIN_CHARS = 1  # all but empty lines, unless the caller sets another least length
 PERCENT = 80
 BANDS = 12
 PERMUTATIONS_PER_BAND = 2
@@ -44,9 +45,16 @@ GROUP_CHARS = 500_000
 _RANDOM = np.random.default_rng(4104)
 MULTIPLIERS = (_RANDOM.integers(0, 1 << 31, BANDS * PERMUTATIONS_PER_BAND, dtype=np.uint32) << np.uint32(1)) + np.uint32(1)
 
-LINES_DDL = "doc_id long, text_hash long, keys array<long>, node long, bands array<long>"
+LINES_DDL = "doc_id long, text_hash long, keys array<long>, node long, bands array<long>, signature binary"
 LINES = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("keys", pa.list_(pa.int64())), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    [
+        ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
+        ("keys", pa.list_(pa.int64())),
+        ("node", pa.int64()),
+        ("bands", pa.list_(pa.int64())),
+        ("signature", pa.binary()),
+    ]
 )
 
 
@@ -69,8 +77,9 @@ class Lines:
         self.sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(mixed(codes.astype(np.uint64)) * up[: len(codes)], out=self.sums[1:])
         self.lengths = self.ends - self.starts
-        sums = (self.sums[self.ends] - self.sums[self.starts]) * self.down[self.starts]
-        self.keys = mixed(sums + self.lengths.astype(np.uint64)).view(np.int64)
+        # the hash of a whole line is no polynomial of its characters, which long lines could share by their make
+        whole = (xxhash.xxh3_64_intdigest(line.strip(BLANKS).encode("utf-8", "replace"), SEED) for line in joined.split("\n"))
+        self.keys = np.fromiter(whole, np.uint64, len(starts)).view(np.int64)
         self.counted = self.lengths >= max(min_chars, 1)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,18 +94,22 @@ class Lines:
         return items, counts
 
 
-def band_keys(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def band_keys(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, bands) keys and (lines, 2 P) bytes of the values."""
     small = (items >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum(np.r_[0, counts[:-1]])
     keys = np.empty((len(counts), BANDS), np.uint64)
+    signs = np.empty((len(counts), 2 * len(MULTIPLIERS)), np.uint8)
     for band in range(BANDS):
         folded = np.full(len(counts), band, np.uint64)
         for k in range(PERMUTATIONS_PER_BAND):
-            values = small * MULTIPLIERS[band * PERMUTATIONS_PER_BAND + k]
-            folded += np.minimum.reduceat(values, starts) * FACTORS[2 * k]
-            folded += np.maximum.reduceat(values, starts) * FACTORS[2 * k + 1]
+            permutation = band * PERMUTATIONS_PER_BAND + k
+            values = small * MULTIPLIERS[permutation]
+            for side, value in enumerate((np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts))):
+                folded += value * FACTORS[2 * k + side]
+                signs[:, 2 * permutation + side] = mixed(value.astype(np.uint64)) & np.uint64(255)
         keys[:, band] = mixed(folded)
-    return keys.view(np.int64)
+    return keys.view(np.int64), signs
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -129,16 +142,23 @@ def _sketch(min_chars: int):
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lines.keys, mask=~lines.counted))
                 n = len(group)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at : at + n], batch.column(1)[at : at + n], keys, pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=LINES
+                    [batch.column(0)[at : at + n], batch.column(1)[at : at + n], keys, *(pa.nulls(n, t) for t in LINES.types[3:])], schema=LINES
                 )
                 chosen, seen = _first_seen(lines, seen)
                 for low in range(0, len(chosen), 2_000):
                     part = chosen[low : low + 2_000]
-                    bands = band_keys(*lines.shingles(part))
+                    bands, signs = band_keys(*lines.shingles(part))
                     spans = pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS)
                     none = pa.nulls(len(part), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(lines.keys[part]), pa.ListArray.from_arrays(spans, pa.array(bands.reshape(-1)))],
+                        [
+                            none,
+                            none,
+                            pa.nulls(len(part), pa.list_(pa.int64())),
+                            pa.array(lines.keys[part]),
+                            pa.ListArray.from_arrays(spans, pa.array(bands.reshape(-1))),
+                            pa.array([s.tobytes() for s in signs], pa.binary()),
+                        ],
                         schema=LINES,
                     )
 
@@ -169,8 +189,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         lines = found.select(F.split("text", "\n", -1).alias("lines"), F.inline("asked"))
         return lines.select("node", F.btrim(F.get("lines", F.col("line")), F.lit(" \t\n\x0b\x0c\r")).alias("items")).dropDuplicates(["node"])
 
-    keyed = rows.filter("node is not null").select("node", F.explode("bands").alias("key"))
-    _, roots = spanning_links(keyed, sets_of, PERCENT, to_sets=line_sets)
+    sketched = materialize(rows.filter("node is not null").select("node", "bands", "signature").dropDuplicates(["node"]), "sketched")
+    keyed = sketched.select("node", F.explode("bands").alias("key"))
+    _, roots = spanning_links(keyed, sets_of, PERCENT, sketched.select("node", "signature"), line_sets)
     group = F.coalesce("root", "node").alias("group")
     stands = places.join(roots, "node", "left").select(group, "doc_id", "text_hash", "line")
     place = F.struct("doc_id", "text_hash", "line")

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from loadcast.llm.batches import returning, slices
@@ -76,9 +76,10 @@ def spanning_links(
     to_sets: makes sorted sets of what sets_of gives as items, where that is not
     the sets but a shorter form, such as the text.
     """
-    # one pass over the sorted keys: a member is paired with the first node of its bucket
-    pivot = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    starred = materialize(keyed.withColumn("pivot", pivot).filter("pivot < node").distinct(), "buckets")
+    # a member is paired with the smallest node of its bucket, which is found with map-side combine
+    keyed = materialize(keyed.distinct(), "keyed")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    starred = materialize(keyed.join(shared, "key").filter("pivot < node"), "buckets")
     pairs = materialize(starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(sets_of(needed), "sets")
@@ -90,12 +91,12 @@ def spanning_links(
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     rest = materialize(placed.join(mixed.select("key"), "key"), "rest")
     if signatures is not None:
-        near = _blocks(rest.join(signatures, "node"), "signature", BLOCK_SIGNATURES).groupBy("key", "i", "j").applyInArrow(_near(percent), "key long, node long")
+        near = _blocks(rest.join(signatures, "node"), "signature", BLOCK_SIGNATURES).applyInArrow(_near(percent), "key long, node long")
         rest = materialize(rest.join(near.distinct(), ["key", "node"]), "rest")
     rest = materialize(_unlike(rest), "rest")
     if rest.isEmpty():
         return links, roots
-    compared = materialize(_blocks(rest.join(sets, "node"), "items", BLOCK_MEMBERS).groupBy("key", "i", "j").applyInArrow(_compare(percent, to_sets), "a long, b long"), "links")
+    compared = materialize(_blocks(rest.join(sets, "node"), "items", BLOCK_MEMBERS).applyInArrow(_compare(percent, to_sets), "a long, b long"), "links")
     links = links.unionByName(compared).distinct()
     return links, materialize(components(links), "components")
 
@@ -108,8 +109,11 @@ def _unlike(rest: DataFrame) -> DataFrame:
     return rest.join(members.groupBy("x", "y", "n", "low").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
-def _blocks(sized: DataFrame, content: str, block: int) -> DataFrame:
-    """Members with their content, once for each pair of blocks they belong to."""
+def _blocks(sized: DataFrame, content: str, block: int) -> GroupedData:
+    """Members with their content, once for each pair of blocks they belong to, grouped by pair.
+
+    The pairs of one bucket are dealt anew: without that they would stay together, as the bucket's key deals them.
+    """
     kind = dict(sized.dtypes)[content]
     items = F.size(content) if kind.startswith("array") else F.length(content) if kind == "string" else F.lit(1)
     weight = sized.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(items) / BLOCK_ITEMS)).cast("int").alias("blocks"))
@@ -119,6 +123,8 @@ def _blocks(sized: DataFrame, content: str, block: int) -> DataFrame:
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", content)
+        .repartition("key", "i", "j")
+        .groupBy("key", "i", "j")
     )
 
 

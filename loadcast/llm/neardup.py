@@ -130,7 +130,8 @@ def decisions(docs: DataFrame, width: int, percent: int) -> DataFrame:
     nodes = materialize(groups.join(sets.select(*equal, "doc_id", "bands", "signature"), equal).filter("doc_id = node").select("node", "bands", "signature"), "nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        found = texts.select(F.col("doc_id").alias("node"), "text").join(ids, "node", "left_semi")
+        # the ids grow with the documents: they are shuffled at every size, not broadcast while they are few
+        found = texts.select(F.col("doc_id").alias("node"), "text").join(ids.hint("merge"), "node", "left_semi")
         return found.mapInArrow(returning(_shingles(width)), "node long, items array<long>")
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))

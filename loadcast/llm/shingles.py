@@ -1,28 +1,28 @@
-"""Hashed words and shingles of whole Arrow batches, in numpy.
-
-All texts of a batch are one byte buffer; words are found and hashed by vector
-operations over pieces of it, so no Python code runs per word.
-"""
+"""Hashed words and shingles of Arrow batches: words split and hashed as bytes, windows of them in numpy."""
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE_BYTES = 1 << 20
 _RANDOM = np.random.default_rng(20240229)
-TABLE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-TABLE[65:91] = TABLE[97:123]  # A-Z hash as a-z
 FACTORS = _RANDOM.integers(0, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+SEED = 20240229
+KNOWN_WORDS = 1 << 17
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,54 +32,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (length + 1) of a string array; nulls are empty."""
-    texts = texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    whole = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+class _Words(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word, SEED)
+        return found
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """Stretches of about ``PIECE_BYTES`` that end where a word ends."""
+    at = 0
+    while at < len(data):
+        border = BLANK.search(data, at + PIECE_BYTES)
+        end = border.start() if border else len(data)
+        yield data[at:end]
+        at = end
 
 
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (A-Z lower-cased) and the words' offsets per text (length + 1).
+
+    The hash is no polynomial of the bytes, which different words could share by their make.
+    """
+    known, hashes, offsets = _Words(), [np.zeros(0, np.uint64)], [0]
+    for text in texts.cast(pa.large_binary()).to_pylist():
+        n = 0
+        for piece in _pieces(text or b""):
+            words = piece.translate(LOWER).split()  # the blanks of bytes are those of BLANK
+            hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            n += len(words)
+        offsets.append(offsets[-1] + n)
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+    return np.concatenate(hashes), np.array(offsets)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, exponents 0 to n."""
     up = np.full(n + 1, BASE, np.uint64)
-    down = np.full(n + 1, np.uint64(_inverse(int(BASE))), np.uint64)
+    down = np.full(n + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z lower-cased) and the words' offsets per text (length + 1)."""
-    data, offsets = buffers(texts)
-    n = len(data)
-    space = np.r_[True, SPACE[data], True]
-    border = np.zeros(n + 1, bool)
-    border[offsets] = True
-    word = ~space[1:-1]
-    starts = np.flatnonzero(word & (space[:-2] | border[:-1]))
-    ends = np.flatnonzero(word & (space[2:] | border[1:])) + 1
-    hashes = np.empty(len(starts), np.uint64)
-    up, down = powers(0)
-    at = 0
-    while at < len(starts):
-        low = starts[at]
-        stop = max(np.searchsorted(ends, low + PIECE_BYTES, "right"), at + 1)
-        size = int(ends[stop - 1] - low)
-        if len(up) <= size:
-            up, down = powers(max(size, PIECE_BYTES))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(TABLE[data[low : low + size]] * up[:size], out=sums[1:])
-        s, e = starts[at:stop] - low, ends[at:stop] - low
-        hashes[at:stop] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        at = stop
-    return hashes, np.searchsorted(starts, offsets, "left")
-
-
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Per text the sorted distinct hashes of its windows of ``width`` words; fewer words make one window."""
     hashes, offsets = word_hashes(texts)

@@ -19,7 +19,7 @@ def plain(rows):
             line = line.strip(BLANKS)
             if len(line) >= linededup.MIN_CHARS:
                 places.setdefault(line, []).append((doc, text, n))
-                sets[line] = {line[i : i + linededup.WIDTH] for i in range(len(line) - linededup.WIDTH + 1)}
+                sets[line] = {line[i : i + linededup.WIDTH] for i in range(max(len(line) - linededup.WIDTH, 0) + 1)}
     holders, parent = {}, {line: line for line in sets}
 
     def find(x):
@@ -100,7 +100,7 @@ def test_edges(spark, docs):
         (6, line.replace("long", "Long")),
     ]
     frame = docs(*rows).selectExpr("*", "'x' as dropped", "1 as _n1", "'y' as keys")
-    out = {r.doc_id: r for r in linededup.dedup_lines(frame).collect()}
+    out = {r.doc_id: r for r in linededup.dedup_lines(frame, min_chars=20).collect()}
     assert out[1].text == f"{line}\nshort"
     assert out[1].n_chars == len(out[1].text)
     assert out[2].text == "short\n"
@@ -141,3 +141,15 @@ def test_query_drops_exact_repeats_of_any_length(spark):
         lines = [x.strip(BLANKS) for x in (texts[r.doc_id] or "").split("\n")]
         repeats = sum(1 for n, x in enumerate(lines) if x and first[x] != (r.doc_id, n))
         assert r.n_dropped >= repeats
+
+
+def mirrored(n):
+    """The Thue-Morse word of 2 ** n letters and its mirror: equal under any polynomial hash modulo 2 ** 64 from n = 10 on."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_equal_under_polynomial_hashes_are_two(spark, docs):
+    one, two = mirrored(11)
+    kept = {r.doc_id: r.text for r in linededup.dedup_lines(docs((1, one), (2, two), (3, one))).collect()}
+    assert kept == {1: one, 2: two, 3: ""}

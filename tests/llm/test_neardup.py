@@ -98,3 +98,18 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(51))
     assert all(got[i] == 500 for i in [1000, *range(500, 560)])
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_equal_under_polynomial_hashes_are_two(spark, docs):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 11))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = docs((1, f"{word} x y"), (2, f"{other} x y"), (3, f"{word.upper()}\tx  y"))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(rows, 3, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_very_long_texts_and_words(spark, docs):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = docs((5, long), (6, long + " more"), (7, "z" * 3_000_000), (8, "z" * 3_000_000), (9, long.replace("w1", "v")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows, 3, 85).collect()}
+    assert got[5] == (399_998, 5) and got[6] == (399_999, 5) and got[7] == (1, 7) and got[8] == (1, 7) and got[9][1] == 9
