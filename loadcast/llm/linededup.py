@@ -189,7 +189,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         lines = found.select(F.split("text", "\n", -1).alias("lines"), F.inline("asked"))
         return lines.select("node", F.btrim(F.get("lines", F.col("line")), F.lit(" \t\n\x0b\x0c\r")).alias("items")).dropDuplicates(["node"])
 
-    sketched = materialize(rows.filter("node is not null").select("node", "bands", "signature").dropDuplicates(["node"]), "sketched")
+    sketched = rows.filter("node is not null")
     keyed = sketched.select("node", F.explode("bands").alias("key"))
     _, roots = spanning_links(keyed, sets_of, PERCENT, sketched.select("node", "signature"), line_sets)
     group = F.coalesce("root", "node").alias("group")

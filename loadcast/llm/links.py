@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from loadcast.llm.batches import returning, slices
@@ -70,16 +70,15 @@ def spanning_links(
 
     keyed: (node, key), repeated rows allowed.  sets_of: sets as (node,
     items array<long>, no repeats inside) of the nodes in a frame.  signatures:
-    (node, signature), a byte per minimum or maximum; with them only members are
+    (node, signature), repeated rows allowed, a byte per minimum or maximum; with them only members are
     compared on full sets that come near another component by their signature,
     ``DEVIATIONS`` standard errors below the wanted similarity or better.
     to_sets: makes sorted sets of what sets_of gives as items, where that is not
     the sets but a shorter form, such as the text.
     """
-    # a member is paired with the smallest node of its bucket, which is found with map-side combine
-    keyed = materialize(keyed.distinct(), "keyed")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    starred = materialize(keyed.join(shared, "key").filter("pivot < node"), "buckets")
+    # one pass over the sorted keys: a member is paired with the first node of its bucket
+    pivot = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    starred = materialize(keyed.withColumn("pivot", pivot).filter("pivot < node").distinct(), "buckets")
     pairs = materialize(starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(sets_of(needed), "sets")
@@ -91,7 +90,8 @@ def spanning_links(
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     rest = materialize(placed.join(mixed.select("key"), "key"), "rest")
     if signatures is not None:
-        near = _blocks(rest.join(signatures, "node"), "signature", BLOCK_SIGNATURES).applyInArrow(_near(percent), "key long, node long")
+        asked = signatures.join(rest.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+        near = _blocks(rest.join(asked, "node"), "signature", BLOCK_SIGNATURES).applyInArrow(_near(percent), "key long, node long")
         rest = materialize(rest.join(near.distinct(), ["key", "node"]), "rest")
     rest = materialize(_unlike(rest), "rest")
     if rest.isEmpty():

@@ -144,9 +144,11 @@ def test_query_drops_exact_repeats_of_any_length(spark):
 
 
 def mirrored(n):
-    """The Thue-Morse word of 2 ** n letters and its mirror: equal under any polynomial hash modulo 2 ** 64 from n = 10 on."""
-    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
-    return word, word.translate(str.maketrans("ab", "ba"))
+    """Lines that differ in every eighth letter, in the order of the Thue-Morse word: equal under any polynomial hash modulo 2 ** 64."""
+    rng = random.Random(1)
+    contexts = ["".join(rng.choices("cdefghijklmnopqrstuvwxyz", k=7)) for _ in range(1 << n)]
+    turns = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return ["".join(c + letters[t] for c, t in zip(contexts, turns)) for letters in ("ab", "ba")]
 
 
 def test_lines_equal_under_polynomial_hashes_are_two(spark, docs):
