@@ -9,9 +9,8 @@ query reads the lists within ``PROBE`` times the nearest distance, and more unti
 these hold ``LEAST_TIMES`` times the rows it asks for.  Lists meet their queries
 in blocks of bounded size, whatever the longest list is.
 
-This gives each query a score that its k nearest reach.  A second pass over the
-rows, kept in the order of their lists, compares a query with every stretch of a
-list whose mean and radius do not rule that score out, so the result is exact.
+The result is what these lists hold, so it is approximate; tests measure its recall
+against brute force.
 
 Largest inner product becomes nearest distance by one more coordinate that
 brings all vectors to one norm.  Scores are sums in double precision in the
@@ -52,8 +51,6 @@ MAX_COPIES = 6
 LEAST_LISTS = 4  # lists that a query reads whatever their distance
 LEAST_TIMES = 4
 BLOCK_ROWS = 4_096
-STRETCH_ROWS = 256  # rows of a list that are ruled out together
-PASS_VALUES = 4_000_000  # components of the queries that one pass over the rows holds in each task
 
 
 @dataclass
@@ -93,8 +90,23 @@ class Lists:
 
 
 def fit_lists(sample: np.ndarray, lists: int) -> Lists:
-    rng = np.random.default_rng(11)
+    """Centroids of about ``lists`` lists; with more than ``MAX_LISTS`` parts the leaves are made larger, no part is dropped."""
     leaf = max(1, len(sample) // max(1, lists))
+    centers = _leaves(sample, leaf)
+    while len(centers) > MAX_LISTS:
+        leaf = leaf * 3 // 2 + 1
+        centers = _leaves(sample, leaf)
+    rng = np.random.default_rng(11)
+    norms = (centers**2).sum(1)
+    between = norms[:, None] + norms[None] - 2 * centers @ centers.T
+    graph = np.argsort(between, axis=1, kind="stable")[:, 1 : DEGREE + 1] if len(centers) > 1 else np.zeros((1, 1), int)
+    entries = rng.choice(len(centers), min(len(centers), 16), replace=False)
+    return Lists(centers, graph, entries)
+
+
+def _leaves(sample: np.ndarray, leaf: int) -> np.ndarray:
+    """Means of the parts that the sample is split into until each has about ``leaf`` rows."""
+    rng = np.random.default_rng(11)
     parts, centroids = [np.arange(len(sample))], []
     while parts:
         part = parts.pop()
@@ -112,12 +124,7 @@ def fit_lists(sample: np.ndarray, lists: int) -> Lists:
             centroids.append(sample[part].mean(0))
         else:
             parts += kids
-    centers = np.asarray(centroids[:MAX_LISTS])
-    norms = (centers**2).sum(1)
-    between = norms[:, None] + norms[None] - 2 * centers @ centers.T
-    graph = np.argsort(between, axis=1, kind="stable")[:, 1 : DEGREE + 1] if len(centers) > 1 else np.zeros((1, 1), int)
-    entries = rng.choice(len(centers), min(len(centers), 16), replace=False)
-    return Lists(centers, graph, entries)
+    return np.asarray(centroids)
 
 
 def valid(column: str) -> Column:
@@ -187,43 +194,6 @@ def _search(k: int):
     return run
 
 
-def _rest(queries: pa.Table, top: float, k: int):
-    """Rows that reach the score (``cut``, null if unknown) of a query, by stretches of lists; a list's rows stand side by side."""
-    asked = _matrix(queries.column("vector").combine_chunks())
-    names = queries.column("id").to_numpy()
-    size = np.sqrt((asked**2).sum(1))
-    slack = 1e-9 * size * top
-    cuts = queries.column("cut").fill_null(-np.inf).to_numpy() - slack
-
-    def run(batches):
-        search = _search(k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v, lists = _matrix(batch.column(1)), batch.column(2).to_numpy()
-            borders = np.r_[0, np.flatnonzero(np.diff(lists)) + 1, len(v)]
-            starts = np.concatenate([np.arange(a, b, STRETCH_ROWS) for a, b in zip(borders[:-1], borders[1:])])
-            ends = np.r_[starts[1:], len(v)]
-            means = np.add.reduceat(v, starts) / (ends - starts)[:, None]
-            radii = np.sqrt(np.maximum.reduceat(((v - np.repeat(means, ends - starts, axis=0)) ** 2).sum(1), starts))
-            for low, high, mean, radius in zip(starts.tolist(), ends.tolist(), means, radii):
-                open_ = np.flatnonzero(asked @ mean + size * radius + slack >= cuts)
-                for at in range(0, len(open_), 4_096):
-                    some = open_[at : at + 4_096]
-                    a, b = np.nonzero(asked[some] @ v[low:high].T >= cuts[some][:, None])
-                    if not len(a):
-                        continue
-                    hit, own = np.unique(some[a]), np.unique(b) + low
-                    found = search(queries.take(pa.array(hit)), pa.table({"id": batch.column(0).take(pa.array(own)), "vector": batch.column(1).take(pa.array(own))}))
-                    place = np.searchsorted(names_sorted, found.column("query").to_numpy())
-                    reach = found.column("score").to_numpy() >= cuts[by_name[place]]
-                    yield from found.filter(pa.array(reach)).combine_chunks().to_batches()
-
-    by_name = np.argsort(names, kind="stable")
-    names_sorted = names[by_name]
-    return run
-
-
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest among ``rows`` for each of ``queries`` (both vec_id, embedding)."""
     spark = rows.sparkSession
@@ -266,17 +236,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k + 1), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.distinct().withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
-    first = materialize(ranked(found), "ann-found")
-    found = first.drop("place")
-    cut = first.filter(F.col("place") == k + 1).select(F.col("query").alias("id"), F.col("score").alias("cut"))
-    cuts = materialize(kinds.select("id", vector).join(cut, "id", "left"), "ann-cuts")
-    homes = materialize(homes.repartitionByRange("list", "id").sortWithinPartitions("list", "id"), "ann-homes")
-    passes = 1 + cuts.count() * usual["n"] // PASS_VALUES
-    for i in range(passes):
-        some = cuts.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).toArrow()
-        if len(some):
-            more = homes.mapInArrow(_rest(some, top, k + 1), "query long, vec_id long, score double")
-            found = found.unionByName(materialize(more, "ann-rest"))
     found = ranked(found).drop("place")
     named = asked.join(kinds, "embedding").select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
