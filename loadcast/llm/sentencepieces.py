@@ -51,7 +51,7 @@ PLACE_BITS, ID_BITS, COST_BITS = 7, 20, 27  # of a lattice edge; a cost is in mi
 PLACES = 1 << PLACE_BITS
 UNKNOWN_ID = (1 << ID_BITS) - 1
 BATCH_CHARS = 1_000_000
-PART_CHARS = 16_000_000
+PART_CHARS = 8_000_000
 UNKNOWN_PENALTY = 10.0
 
 PARCEL_DDL = "batch long, part int, parcel binary"
