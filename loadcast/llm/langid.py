@@ -10,19 +10,24 @@ weighted by its number of pieces, and the expected counts of pieces by language
 pieces x languages, reach the driver.  Words are found, hashed and scored for
 whole Arrow batches at once, every distinct word of a piece of text once.
 
-Words are runs of letters in lower case, with the vocabulary's word mark in
-front; words longer than ``LONGEST`` letters count in parts of that length.
+Words are runs of letters and combining marks (vowel signs among them) that
+begin with a letter, in lower case, of any length, with the vocabulary's word
+mark in front.  The sums are rescaled as a word goes on, so long words neither
+vanish nor are cut; to score one, only its last few places are held.
 
 Defined results: a text that is null or without a letter is ``und`` with score
 0, and is ``und`` for every text if no language could be learned; the score is
 the posterior of the predicted language under equal priors; equal posteriors go
 to the language that sorts first; rows with a null language are not learned
-from; an empty table gives an empty table; other columns are not read.
+from; rows that repeat a doc_id, or have none, are texts of their own; an empty
+table gives an empty table; other columns are not read.  More than
+``MAX_LANGUAGES`` languages stop the training with a message.
 """
 
 from __future__ import annotations
 
 import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -38,26 +43,31 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 UNKNOWN = "und"
-LONGEST = 48
 PIECE_CHARS = 1_000_000
+GRID_CELLS = 400_000  # places of words looked up at a time
+GRID_PLACES = 4_096  # places of one word looked up at a time
 FORWARD_CELLS = 8_000_000  # numbers held by the forward sums at a time
+RESCALED = 16  # places of a word between changes of the unit of its sums
 SMOOTHING = 0.5
 UNSEEN = 1e-9  # probability of a letter that no piece holds
 SCALE = 1e6  # expected counts are added up as integers, so their order does not matter
 MAX_LANGUAGES = 1_000  # bound of the broadcast model
 _BASE = FACTORS[0]
-_LETTERS = np.array([chr(c).isalpha() for c in range(0x30000)])
-_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 and not 0xD800 <= c < 0xE000 else c for c in range(0x30000)], np.uint32)
+_CODES = max(c for c in range(sys.maxunicode + 1) if chr(c).isalpha()) + 2  # the last one stands for all behind it
+_LETTERS = np.array([chr(c).isalpha() for c in range(_CODES)])
+_INSIDE = _LETTERS | np.array([unicodedata.category(chr(c)) in ("Mn", "Mc", "Me") for c in range(_CODES)])
+_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_CODES)], np.uint32)
 
 
 def load_pieces(model_file: str) -> list[str]:
-    """The ordinary pieces of a public SentencePiece model that are made of letters."""
+    """The ordinary pieces of a public SentencePiece model that are made of letters and combining marks."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     plain = lambda i: not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if plain(i)}
-    return sorted(p for p in found if p == MARK or p.lstrip(MARK).isalpha() and MARK not in p[1:])
+    lettered = lambda p: p and all(ord(c) < _CODES and _INSIDE[ord(c)] for c in p)
+    return sorted(p for p in found if p == MARK or lettered(p.removeprefix(MARK)))
 
 
 def _hash(codes: np.ndarray) -> int:
@@ -99,10 +109,12 @@ class Pieces:
         hashes = mixed(hashes)
         mask = np.uint64(len(self.slots) - 1)
         out = np.full(len(hashes), -1, np.int32)
+        maybe = np.flatnonzero(self.ids[(hashes & mask).astype(np.int64)] >= 0)  # a piece leaves its first slot only if that is taken
+        hashes = hashes[maybe]
         for j in range(4):
             at = ((hashes + np.uint64(j)) & mask).astype(np.int64)
-            hit = (self.slots[at] == hashes) & (self.ids[at] >= 0)
-            out[hit] = self.ids[at][hit]
+            hit = np.flatnonzero((self.slots[at] == hashes) & (self.ids[at] >= 0))
+            out[maybe[hit]] = self.ids[at[hit]]
         return out
 
 
@@ -112,16 +124,14 @@ def letter_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     lengths = np.array([len(t or "") for t in texts], np.int64)
     begins = np.cumsum(np.r_[0, lengths[:-1] + 1])
-    small = np.minimum(codes, np.uint32(0x2FFFF))
-    letters = _LETTERS[small]
-    codes = _LOWER[small]
-    first = letters & np.r_[True, ~letters[:-1]]
-    at = np.flatnonzero(first)
-    place = np.flatnonzero(letters)
-    run = np.cumsum(first)[place] - 1
-    offset = place - at[run] if len(at) else place
-    starts = np.flatnonzero(offset % LONGEST == 0)
-    return codes[place], starts, np.searchsorted(begins, place[starts], "right") - 1
+    small = np.minimum(codes, np.uint32(_CODES - 1))
+    inside = _INSIDE[small]
+    places = np.arange(len(codes))
+    outside = np.maximum.accumulate(np.where(inside, -1, places)) if len(codes) else places
+    letter = np.maximum.accumulate(np.where(_LETTERS[small], places, -1)) if len(codes) else places
+    place = np.flatnonzero(inside & (letter > outside))  # marks in front of a run's first letter stay out
+    starts = np.flatnonzero(np.r_[True, np.diff(place) > 1][: len(place)])
+    return _LOWER[small[place]], starts, np.searchsorted(begins, place[starts], "right") - 1
 
 
 def distinct_words(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,33 +144,76 @@ def distinct_words(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     return starts[first], lengths[first], index, counts
 
 
-def edges(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, words, piece of each) for all spans of positions; words sorted by falling length, -1 is an unknown letter."""
-    longest = int(lengths[0]) + 1
-    grid = np.zeros((len(starts), longest), np.uint64)
-    grid[:, 0] = ord(MARK)
-    for k in range(longest - 1):
-        alive = np.searchsorted(-lengths, -k, "left")
-        grid[:alive, k + 1] = codes[starts[:alive] + k]
-    for end in range(1, longest + 1):
-        alive = np.searchsorted(-lengths, -(end - 1), "right")
-        power, value = np.ones(1, np.uint64), np.zeros(alive, np.uint64)
-        for begin in range(end - 1, max(end - 1 - pieces.longest, -1), -1):
-            value = value + grid[:alive, begin] * power
-            power = power * _BASE
-            found = pieces.find(value)
-            rows = np.flatnonzero(found >= 0) if begin < end - 1 else np.arange(alive)
-            if len(rows):
-                yield begin, end, rows, found[rows]
-
-
-def forward(spans: list, words: int, longest: int, model: np.ndarray) -> np.ndarray:
-    """(words, positions, languages) sums over segmentations; the last row of ``model`` is for unknown letters."""
-    alpha = np.zeros((longest + 1, words, model.shape[1]))
-    alpha[0] = 1.0
-    for begin, end, rows, found in spans:
-        alpha[end, rows] += alpha[begin, rows] * model[found]
-    return alpha
+def blocks(lengths: np.ndarray, most: int, held: int) -> Iterator[np.ndarray]:
+    """Words by falling length in blocks of at most ``most`` words and about GRID_CELLS places, ``held`` of a word at a time."""
+    order = np.argsort(-lengths, kind="stable")
+    low = 0
+    while low < len(order):
+        fits = GRID_CELLS // min(int(lengths[order[low]]) + 1, held)
+        high = low + max(1, min(fits, most))
+        yield order[low:high]
+        low = high
+
+
+def found_pieces(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low: int, high: int, pieces: Pieces) -> np.ndarray:
+    """(places, words, piece lengths) the piece that ends at each of the places ``low`` to ``high``; -1 is none.
+
+    Place 1 is behind the word mark, place n + 1 behind the nth letter.
+    """
+    reach = pieces.longest - 1
+    place = np.arange(low - reach, high)[:, None]
+    real = (place >= 1) & (place <= lengths + 1)
+    grid = np.where(place == 1, ord(MARK), codes[np.where(real & (place > 1), starts + place - 2, 0)]).astype(np.uint64)
+    out = np.full((high - low, len(starts), pieces.longest), -1, np.int32)
+    value, power = np.zeros((high - low, len(starts)), np.uint64), np.ones(1, np.uint64)
+    ends = real[reach:]
+    for size in range(1, pieces.longest + 1):
+        begins = slice(reach - size + 1, reach - size + 1 + high - low)
+        value = value + grid[begins] * power
+        power = power * _BASE
+        spans = ends & real[begins]
+        out[spans, size - 1] = pieces.find(value[spans])
+    return out
+
+
+def steps(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces, back: bool = False) -> Iterator[tuple]:
+    """Per place of the words (sorted by falling length): place, word, piece length and piece of each edge that ends there.
+
+    A letter that is no piece is an edge of length 1 with the piece -1.
+    """
+    width = min(int(lengths[0]) + 1, GRID_PLACES)
+    chunks = range(1, int(lengths[0]) + 2, width)
+    for low in reversed(chunks) if back else chunks:
+        high = min(low + width, int(lengths[0]) + 2)
+        alive = np.searchsorted(-lengths, -(low - 1), "right")
+        found = found_pieces(codes, starts[:alive], lengths[:alive], low, high, pieces)
+        for place in range(high - 1, low - 1, -1) if back else range(low, high):
+            here = found[place - low, : np.searchsorted(-lengths, -(place - 1), "right")]
+            known = here >= 0
+            known[:, 0] = True
+            word, size = np.nonzero(known)
+            yield place, word, size + 1, here[word, size]
+
+
+def forward(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces, model: np.ndarray) -> Iterator[tuple]:
+    """Per place: place, (words, languages) sums over the segmentations up to it, and the logarithm of their unit.
+
+    The last row of ``model`` is for unknown letters.  The unit of a word follows its
+    sums every RESCALED places, so neither they nor those of the places before leave
+    the range of doubles while probabilities of single letters stay above 1e-18.
+    """
+    ring = pieces.longest + 1
+    sums, unit = np.ones((ring, len(starts), model.shape[1])), np.zeros((len(starts), model.shape[1]))
+    for place, word, size, found in steps(codes, starts, lengths, pieces):
+        begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        now = np.add.reduceat(sums[(place - size) % ring, word] * model[found], begins, axis=0)
+        alive = len(now)
+        yield place, now, unit[:alive]
+        if place % RESCALED == 0:
+            sums[:, :alive] /= now
+            unit[:alive] += np.log(now)
+            now = 1.0
+        sums[place % ring, :alive] = now
 
 
 def expected_counts(texts: list[str | None], languages: np.ndarray, many: int, pieces: Pieces) -> np.ndarray:
@@ -171,35 +224,34 @@ def expected_counts(texts: list[str | None], languages: np.ndarray, many: int, p
         return out
     first, lengths, index, _ = distinct_words(codes, starts)
     weight = np.bincount(index * many + languages[text], minlength=len(first) * many).reshape(-1, many)
-    order = np.argsort(-lengths, kind="stable")
-    first, lengths, weight = first[order], lengths[order], weight[order]
     flat = np.full((pieces.count + 1, 1), 1e-4)
     flat[-1] = UNSEEN
-    spans = list(edges(codes, first, lengths, pieces))
-    longest = int(lengths[0]) + 1
-    alpha = forward(spans, len(first), longest, flat)[:, :, 0]
-    beta = np.zeros_like(alpha)
-    beta[lengths + 1, np.arange(len(first))] = 1.0
-    total = alpha[lengths + 1, np.arange(len(first))]
-    for begin, end, rows, found in reversed(spans):
-        step = flat[found, 0] * beta[end, rows]
-        beta[begin, rows] += step
-        share = alpha[begin, rows] * step / total[rows]
+    for block in blocks(lengths, len(lengths), len(codes) + 1):
+        words = (codes, first[block], lengths[block], pieces)
+        places = int(lengths[block[0]]) + 2
+        log, share = np.zeros((places, len(block))), np.zeros((places, len(block)))
+        for place, now, unit in forward(*words, flat):
+            log[place, : len(now)] = (np.log(now) + unit)[:, 0]
+        share[lengths[block] + 1, np.arange(len(block))] = 1.0
+        edges = []
+        for place, word, size, found in steps(*words, back=True):
+            part = share[place, word] * flat[found, 0] * np.exp(log[place - size, word] - log[place, word])
+            share[place - size, word] += part
+            edges.append((word, found, part))
+        word, found, part = (np.concatenate(e) for e in zip(*edges))
         for l in range(many):
-            out[:, l] += np.bincount(found % (pieces.count + 1), share * weight[rows, l], pieces.count + 1)
+            out[:, l] += np.bincount(found % (pieces.count + 1), part * weight[block[word], l], pieces.count + 1)
     return out
 
 
 def word_scores(codes: np.ndarray, first: np.ndarray, lengths: np.ndarray, pieces: Pieces, model: np.ndarray) -> np.ndarray:
-    """(words, languages) log probabilities; words of like length in blocks, so that the sums fit in memory."""
+    """(words, languages) log probabilities."""
     out = np.empty((len(first), model.shape[1]))
-    order = np.argsort(-lengths, kind="stable")
-    block = max(64, FORWARD_CELLS // (LONGEST * model.shape[1]))
-    for low in range(0, len(order), block):
-        part = order[low : low + block]
-        spans = edges(codes, first[part], lengths[part], pieces)
-        alpha = forward(spans, len(part), int(lengths[part].max()) + 1, model)
-        out[part] = np.log(np.maximum(alpha[lengths[part] + 1, np.arange(len(part))], 1e-300))
+    most = max(1, FORWARD_CELLS // ((pieces.longest + 1) * model.shape[1]))
+    for block in blocks(lengths, most, GRID_PLACES):
+        for place, now, unit in forward(codes, first[block], lengths[block], pieces, model):
+            ended = np.flatnonzero(lengths[block[: len(now)]] == place - 1)
+            out[block[ended]] = np.log(now[ended]) + unit[ended]
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -121,14 +122,14 @@ def vocabulary():
 
 
 def all_segmentations(word, probability, unseen):
+    """Logarithm of the sum, in plain numbers of any size."""
     word = langid.MARK + word
-    best = [1.0] + [0.0] * len(word)
+    best = [Decimal(1)] + [Decimal(0)] * len(word)
     for end in range(1, len(word) + 1):
-        for begin in range(end):
-            piece = word[begin:end]
-            p = probability.get(piece, unseen if end - begin == 1 else 0.0)
-            best[end] += best[begin] * p
-    return best[-1]
+        for begin in range(max(0, end - 16), end):
+            p = probability.get(word[begin:end], unseen if end - begin == 1 else 0.0)
+            best[end] += best[begin] * Decimal(p)
+    return float(best[-1].ln())
 
 
 def test_word_scores_sum_over_all_segmentations(vocabulary):
@@ -136,13 +137,32 @@ def test_word_scores_sum_over_all_segmentations(vocabulary):
     rng = np.random.default_rng(1)
     model = rng.random((pieces.count + 1, 3)) * 1e-3
     model[-1] = langid.UNSEEN
-    words = ["the", "a", "straße", "elle", "zzzzqqq", "이것", "x" * 48]
+    words = ["the", "a", "straße", "elle", "zzzzqqq", "이것", "x" * 48, "हिन्दी", "我们在这里" * 40, "\U00030001", "abc" * 2000]
     codes, starts, _ = langid.letter_words([" ".join(words)])
     lengths = np.diff(np.r_[starts, len(codes)])
     logs = langid.word_scores(codes, starts, lengths, pieces, model)
     for l in range(3):
         table = {p: model[i, l] for i, p in enumerate(vocabulary)}
-        assert logs[:, l] == pytest.approx([np.log(max(all_segmentations(w, table, langid.UNSEEN), 1e-300)) for w in words])
+        assert logs[:, l] == pytest.approx([all_segmentations(w, table, langid.UNSEEN) for w in words])
+
+
+def test_words_are_whole():
+    for text, words in {"हिन्दी भाषा": 2, "\U00030001": 1, "的" * 5000: 1, "\u0301 1\u0301a\u0301b": 1, "": 0, "\u0301": 0}.items():
+        assert len(langid.letter_words([text])[1]) == words
+    codes, starts, text = langid.letter_words([None, "a b", "", "c"])
+    assert (codes.tolist(), starts.tolist(), text.tolist()) == ([97, 98, 99], [0, 1, 2], [1, 1, 3])
+
+
+def test_counts_weigh_all_segmentations(vocabulary, monkeypatch):
+    monkeypatch.setattr(langid, "GRID_PLACES", 7)
+    pieces = langid.Pieces.of(vocabulary)
+    flat = {p: 1e-4 for p in vocabulary}
+    for word in ("in", "straße", "zq", "abcdefghi" * 60):
+        got = langid.expected_counts([word], np.array([0]), 1, pieces)[:, 0]
+        whole = all_segmentations(word, flat, langid.UNSEEN)
+        for i in np.flatnonzero(got[:-1])[:6]:
+            lessened = all_segmentations(word, flat | {vocabulary[i]: 1e-4 * (1 - 1e-6)}, langid.UNSEEN)
+            assert got[i] == pytest.approx((whole - lessened) / 1e-6, rel=1e-3, abs=1e-6)  # the derivative by its logarithm
 
 
 def test_language_identification(docs, vocabulary):
