@@ -5,12 +5,16 @@ stream that is cut into blocks of equally many words.  Slot k of the mix falls
 on the point of the van der Corput sequence with the index k; the cumulative
 targets map that point to a source, and the slot's rank within its source names
 the block, counted on from the start of the stream when that is used up.  Every
-prefix of the schedule is therefore close to the target shares.
+prefix of the schedule is therefore close to the target shares.  A source takes
+its target, rounded to whole words, and no more: the last block is used in part,
+slots beyond it are left out, and blocks that the points have not reached (a
+source of less than a block may meet no point at all) get slots evenly between.
 
 Defined results: a null text has no words and takes part with size 0; a null
 source is a source of its own and comes last; rows that repeat an id are
-documents of their own; an empty table gives an empty table; columns besides
-the id, text and source are not read.
+documents of their own; rows without an id are shuffled by a hash of their text;
+an empty table gives an empty table; columns besides the id, text and source are
+not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ CHUNK_SLOTS = 65536
 
 def sizes(docs: DataFrame, *keep: str) -> DataFrame:
     """One narrow row per document, with the columns to keep."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
     return docs.select(
         *keep,
         "doc_id",
@@ -81,7 +85,7 @@ def point(k: Column) -> Column:
 
 
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Slots of the mix in order: slot, sid, block, lap (uses of the block before).
+    """Slots of the mix in order: slot, sid, block, lap (uses of the block before), words used of the block.
 
     Slots meet sources by an equi-join on bins of the unit interval, and ranks
     are counted in chunks, so neither step gathers a source in one task.
@@ -89,10 +93,14 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     spark = sources.sparkSession
     quotas = sources.withColumn("quota", F.round("target").cast("long")).filter("quota > 0")
     total = quotas.agg(F.sum("quota")).first()[0] or 0
+    count = -(-total // block_words)
+    laps = F.floor(F.col("quota") / F.col("source_size"))
+    ends = F.ceil((F.col("quota") - laps * F.col("source_size")) / block_words)
+    blocks = F.ceil(F.col("source_size") / block_words)
+    quotas = quotas.withColumns({"blocks": blocks, "need": laps * blocks + ends})
     upto = F.sum("quota").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
     spans = quotas.withColumn("upto", upto).select(
         "sid",
-        F.ceil(F.col("source_size") / block_words).alias("blocks"),
         ((F.col("upto") - F.col("quota")) / F.lit(float(total or 1))).alias("low"),
         (F.col("upto") / F.lit(float(total or 1))).alias("high"),
     )
@@ -101,7 +109,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         F.explode(F.sequence(F.floor(F.col("low") * POINT_BINS), F.least(F.floor(F.col("high") * POINT_BINS), F.lit(POINT_BINS - 1)))),
     )
     slots = (
-        spark.range(-(-total // block_words))
+        spark.range(count)
         .select(F.col("id").alias("slot"), point(F.col("id")).alias("u"))
         .withColumn("bin", F.floor(F.col("u") * POINT_BINS))
         .join(bins, "bin")
@@ -109,13 +117,26 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
     )
     earlier = F.sum("count").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    bases = slots.groupBy("sid", "chunk").count().withColumn("base", F.coalesce(earlier, F.lit(0))).drop("count")
+    counted = slots.groupBy("sid", "chunk").count()
+    bases = counted.withColumn("base", F.coalesce(earlier, F.lit(0))).drop("count")
     rank = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1 + F.col("base")
+    ranked = slots.join(bases, ["sid", "chunk"]).select("slot", "sid", rank.cast("long").alias("rank"))
+    met = counted.groupBy("sid").agg(F.sum("count").alias("met"))
+    unmet = (
+        quotas.join(met, "sid", "left")
+        .withColumn("met", F.coalesce("met", F.lit(0)))
+        .filter("met < need")
+        .select("sid", "need", F.explode(F.sequence(F.col("met"), F.col("need") - 1)).alias("rank"))
+        .select(F.floor((F.col("rank") + 0.5) / F.col("need") * count).alias("slot"), "sid", "rank")
+    )
+    block, lap = F.col("rank") % F.col("blocks"), F.floor(F.col("rank") / F.col("blocks"))
+    used = F.least(F.lit(block_words), F.col("quota") - F.col("lap") * F.col("source_size") - F.col("block") * block_words)
     return (
-        slots.join(bases, ["sid", "chunk"])
-        .withColumn("rank", rank)
-        .select("slot", "sid", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("lap"))
-        .filter(F.col("lap") < REPEATS)
+        ranked.unionByName(unmet)
+        .join(quotas, "sid")
+        .filter("rank < need")
+        .select("slot", "sid", block.alias("block"), lap.alias("lap"), "quota", "source_size")
+        .select("slot", "sid", "block", "lap", used.alias("used"))
     )
 
 
@@ -133,9 +154,10 @@ def pieces(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS)
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     parts = placed.filter("size > 0").select("sid", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
-    high = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
+    high = F.least(F.col("block") * block_words + F.col("used") - F.col("start"), F.col("size"))
     return (
         parts.join(slots, ["sid", "block"])
+        .filter(high > low)
         .groupBy("sid", "start", "lap")
         .agg(F.min(low).alias("low"), F.max(high).alias("high"), F.min("slot").alias("slot"))
     )

@@ -40,7 +40,7 @@ _SIZE = r"cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))
 
 OP1_SQL = rf"""
 with sized as (
-  select doc_id, source, {_SIZE} as size, md5(coalesce(cast(doc_id as varchar), '')) as shuffled from documents),
+  select doc_id, source, {_SIZE} as size, md5(coalesce(cast(doc_id as varchar), md5(text), '')) as shuffled from documents),
 s0 as (select source, sum(size)::bigint as source_size from sized group by 1),
 s1 as (select *, row_number() over (order by source nulls last) - 1 as sid from s0),
 s2 as (select *, [5, 2, 1][sid % 3 + 1] as weight, source_size * 2 as cap from s1),
@@ -51,22 +51,12 @@ s3 as (select *, row_number() over w as room,
 s4 as (select *, (sum(source_size) over () * 1.5::double - before::double) / rest::double as level from s3),
 s5 as (select *, min_by(level, room) filter (cap / weight > level) over () as flat from s4),
 s6 as (select source, sid, source_size, least(cap::double, flat * weight) as target from s5),
-s7 as (select *, round(target)::bigint as quota, ceil(source_size / 64.0)::bigint as blocks from s6 where round(target) > 0),
-s8 as (select *, sum(quota) over (order by sid rows unbounded preceding) as upto, sum(quota) over () as total from s7),
-s9 as (select *, (upto - quota)::double / total::double as low, upto::double / total::double as high from s8),
-slots as (select k, cast(cast(reverse(lpad(bin(k), 48, '0')) as bit) as bigint) / 281474976710656.0::double as u
-  from (select unnest(range(coalesce((select (sum(quota) + 63) // 64 from s7), 0)::bigint)) as k)),
-ranked as (select sid, blocks, row_number() over (partition by sid order by k) - 1 as rank
-  from slots join s9 on low <= u and u < high),
-uses as (select sid, rank % blocks as block, count(*) as times from ranked where rank // blocks < 2 group by 1, 2),
-placed as (select doc_id, d.source, size, sid, source_size, target, row_number() over () as row,
-    sum(size) over (partition by sid order by shuffled, doc_id, size, d.source rows unbounded preceding) - size as start
-  from sized d join s6 on d.source is not distinct from s6.source),
-parts as (select *, unnest(range((start // 64)::bigint, ((start + size - 1) // 64 + 1)::bigint)) as block from placed where size > 0),
-taken as (select row, sum((least((p.block + 1) * 64 - start, size) - greatest(p.block * 64 - start, 0)) * times) as got
-  from parts p join uses u on p.sid = u.sid and p.block = u.block group by 1)
-select doc_id, source, size, source_size, target, coalesce(got, 0)::bigint as taken
-from placed left join taken using (row)
+placed as (select doc_id, d.source, size, source_size, target, round(target)::bigint as quota,
+    sum(size) over (partition by sid order by shuffled, doc_id, size, d.source rows unbounded preceding) as upto
+  from sized d join s6 on d.source is not distinct from s6.source)
+select doc_id, source, size, source_size, target,
+  (greatest(least(upto, quota) - upto + size, 0) + greatest(least(upto, quota - source_size) - upto + size, 0))::bigint as taken
+from placed
 """
 
 
