@@ -195,16 +195,16 @@ def steps(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pi
             yield place, word, size + 1, here[word, size]
 
 
-def forward(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pieces: Pieces, model: np.ndarray) -> Iterator[tuple]:
-    """Per place: place, (words, languages) sums over the segmentations up to it, and the logarithm of their unit.
+def forward(edges: Iterable[tuple], words: int, longest: int, model: np.ndarray) -> Iterator[tuple]:
+    """Per place of ``steps``: place, (words, languages) sums over the segmentations up to it, and the logarithm of their unit.
 
     The last row of ``model`` is for unknown letters.  The unit of a word follows its
     sums every RESCALED places, so neither they nor those of the places before leave
     the range of doubles while probabilities of single letters stay above 1e-18.
     """
-    ring = pieces.longest + 1
-    sums, unit = np.ones((ring, len(starts), model.shape[1])), np.zeros((len(starts), model.shape[1]))
-    for place, word, size, found in steps(codes, starts, lengths, pieces):
+    ring = longest + 1
+    sums, unit = np.ones((ring, words, model.shape[1])), np.zeros((words, model.shape[1]))
+    for place, word, size, found in edges:
         begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         now = np.add.reduceat(sums[(place - size) % ring, word] * model[found], begins, axis=0)
         alive = len(now)
@@ -230,15 +230,18 @@ def expected_counts(texts: list[str | None], languages: np.ndarray, many: int, p
         words = (codes, first[block], lengths[block], pieces)
         places = int(lengths[block[0]]) + 2
         log, share = np.zeros((places, len(block))), np.zeros((places, len(block)))
-        for place, now, unit in forward(*words, flat):
+        edges = steps(*words)
+        if places <= GRID_PLACES:  # one lookup serves both ways
+            edges = list(edges)
+        for place, now, unit in forward(edges, len(block), pieces.longest, flat):
             log[place, : len(now)] = (np.log(now) + unit)[:, 0]
         share[lengths[block] + 1, np.arange(len(block))] = 1.0
-        edges = []
-        for place, word, size, found in steps(*words, back=True):
+        parts = []
+        for place, word, size, found in reversed(edges) if places <= GRID_PLACES else steps(*words, back=True):
             part = share[place, word] * flat[found, 0] * np.exp(log[place - size, word] - log[place, word])
             share[place - size, word] += part
-            edges.append((word, found, part))
-        word, found, part = (np.concatenate(e) for e in zip(*edges))
+            parts.append((word, found, part))
+        word, found, part = (np.concatenate(e) for e in zip(*parts))
         for l in range(many):
             out[:, l] += np.bincount(found % (pieces.count + 1), part * weight[block[word], l], pieces.count + 1)
     return out
@@ -249,7 +252,8 @@ def word_scores(codes: np.ndarray, first: np.ndarray, lengths: np.ndarray, piece
     out = np.empty((len(first), model.shape[1]))
     most = max(1, FORWARD_CELLS // ((pieces.longest + 1) * model.shape[1]))
     for block in blocks(lengths, most, GRID_PLACES):
-        for place, now, unit in forward(codes, first[block], lengths[block], pieces, model):
+        edges = steps(codes, first[block], lengths[block], pieces)
+        for place, now, unit in forward(edges, len(block), pieces.longest, model):
             ended = np.flatnonzero(lengths[block[: len(now)]] == place - 1)
             out[block[ended]] = np.log(now[ended]) + unit[ended]
     return out
