@@ -6,9 +6,13 @@ distinct cells are encoded once, as a lattice in Spark: substrings of bounded
 length are exploded, joined to the piece table, grouped by cell, and folded by
 a higher-order aggregate that keeps the best path to each position (Viterbi).
 
-The texts themselves are read once.  A batch of texts becomes its cells' numbers
+The texts themselves are read once.  A unit of texts becomes its cells' numbers
 (compressed) and its distinct cells, which are dealt by hash to parts that meet
-the encoded cells; the answers go back to the batch.
+the encoded cells; the answers go back to the unit.  Units and parts are as large
+as a task holds, so that a cell of many texts is asked for once in each unit, and
+the units' numbers are written in buckets by unit, so that they need no shuffle to
+meet their answers.  The bucketed table is one of the session's catalog, over
+files in the scratch folder.
 
 Encoding is the segmentation with the largest sum of scores; among equal sums
 the one whose last piece starts first.  Scores of a unigram model are its log
@@ -30,18 +34,20 @@ import hashlib
 import io
 import math
 import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+import xxhash
+import zstandard
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcast.llm.batches import release, returning, slices
-from loadcast.llm.shingles import mixed, powers
-from loadcast.sources.scratch import materialize
+from loadcast.sources.scratch import materialize, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,11 +56,15 @@ LONGEST = 64
 PLACE_BITS, ID_BITS, COST_BITS = 7, 20, 27  # of a lattice edge; a cost is in millionths
 PLACES = 1 << PLACE_BITS
 UNKNOWN_ID = (1 << ID_BITS) - 1
-BATCH_CHARS = 1_000_000
-PART_CHARS = 8_000_000
+BATCH_CHARS = 1_000_000  # cut into cells at once
+UNIT_CHARS = 16_000_000  # that ask for each cell once
+PART_CHARS = 32_000_000  # per part of the distinct cells
+COMMON = 255  # cells of a unit with numbers of one byte
+MAX_BUCKETS = 50_000  # of files; a bucket may hold several units
 UNKNOWN_PENALTY = 10.0
 
-PARCEL_DDL = "batch long, part int, parcel binary"
+TEXTS, ASKED = 0, 1
+PARCEL_DDL = "unit long, part int, parcel binary, kind int"
 
 
 @dataclass(frozen=True)
@@ -131,12 +141,68 @@ def _unpack(parcel: bytes) -> pa.Table:
     return pa.ipc.open_stream(parcel).read_all()
 
 
-def _unpack_batch(parcel: bytes) -> tuple[pa.Table, np.ndarray]:
-    """Ids and numbers of cells of the texts, and all cells' numbers; these are stored by bytes, which compress better apart."""
-    source = io.BytesIO(parcel)
-    texts = pa.ipc.open_stream(source).read_all()
-    planes = [np.frombuffer(pa.ipc.open_stream(source).read_all().column("plane")[0].as_py(), np.uint8) for _ in range(4)]
-    return texts, sum(p.astype(np.int32) << np.int32(8 * k) for k, p in enumerate(planes))
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers of four bytes, all first bytes in front: high bytes are mostly equal and compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack_lists(lengths: np.ndarray, blob: bytes) -> bytes:
+    return zstandard.compress(len(lengths).to_bytes(4, "little") + _planes(lengths) + blob)
+
+
+def _unpack_lists(parcel: bytes) -> tuple[np.ndarray, bytes]:
+    data = zstandard.decompress(parcel)
+    border = 4 + 4 * int.from_bytes(data[:4], "little")
+    return _numbers(data[4:border]).astype(np.int64), data[border:]
+
+
+def _pack_cells(cells: pa.StringArray) -> bytes:
+    offsets = np.asarray(pa.compute.binary_length(cells))
+    return _pack_lists(offsets, b"".join(cells.cast(pa.binary()).to_pylist()))
+
+
+def _unpack_cells(parcels: list[bytes]) -> tuple[pa.Array, list[int]]:
+    """Cells of several parcels in one array, and how many each holds."""
+    lengths, blobs = zip(*map(_unpack_lists, parcels))
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(lengths))])
+    cells = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(b"".join(blobs)))
+    return cells.cast(pa.string()), [len(x) for x in lengths]
+
+
+def _pack_texts(ids: list[int | None], counts: pa.Array, codes: np.ndarray) -> list[bytes]:
+    """Ids and numbers of cells of some texts, and all cells' numbers: a byte each, more bytes for the rare ones."""
+    rare = codes[codes >= COMMON] - COMMON
+    return [
+        _pack(pa.table({"doc_id": pa.array(ids, pa.int64()), "cells": counts})),
+        zstandard.compress(np.minimum(codes, COMMON).astype(np.uint8).tobytes()),
+        *(zstandard.compress((rare >> (8 * k) & 255).astype(np.uint8).tobytes()) for k in range(4)),
+    ]
+
+
+def _unpack_texts(frames: list[bytes]) -> tuple[pa.Table, np.ndarray]:
+    codes = np.frombuffer(zstandard.decompress(frames[1]), np.uint8).astype(np.int64)
+    rare = np.zeros(int((codes == COMMON).sum()), np.int64)
+    for k, frame in enumerate(frames[2:]):
+        rare += np.frombuffer(zstandard.decompress(frame), np.uint8).astype(np.int64) << (8 * k)
+    codes[codes == COMMON] += rare
+    return _unpack(frames[0]), codes
+
+
+def _framed(frames: list[bytes]) -> bytes:
+    return b"".join(len(f).to_bytes(4, "little") + f for f in frames)
+
+
+def _frames(parcel: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(parcel):
+        end = at + 4 + int.from_bytes(parcel[at : at + 4], "little")
+        out.append(parcel[at + 4 : end])
+        at = end
+    return out
 
 
 def borders(run: str, costs: dict[str, int], longest: int, unknown: int) -> list[int]:
@@ -186,74 +252,89 @@ def _divided(whole: str, starts: np.ndarray, end: int, costs: dict[str, int], lo
     return np.sort(np.r_[starts, np.asarray(more, np.int64)]) if more else starts
 
 
-def cells_of(texts: list[str], classes: np.ndarray, joined: np.ndarray, costs: dict[str, int], longest: int, unknown: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Marked texts in one string; starts and lengths of all cells, their hashes, and the number of cells per text."""
+def cells_of(texts: list[str], classes: np.ndarray, joined: np.ndarray, costs: dict[str, int], longest: int, unknown: int) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All cells of some texts in order, and the number of cells per text."""
     marked = [(MARK + t.replace(" ", MARK)) if t else "" for t in texts]
     whole = "".join(marked)
-    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = classes[codes]
+    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     cut = np.ones(len(codes), bool)
     if len(codes):
+        kinds = classes[codes]
         cut[1:] = ~joined[kinds[:-1], kinds[1:]]
     begins = np.cumsum(np.r_[0, [len(m) for m in marked]]).astype(np.int64)
     cut[begins[:-1][begins[:-1] < len(codes)]] = True
-    starts = np.flatnonzero(cut)
-    starts = _divided(whole, starts, len(codes), costs, longest, unknown)
-    lengths = np.diff(np.r_[starts, len(codes)])
-    up, down = powers(len(codes))
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mixed(codes.astype(np.uint64)) * up[: len(codes)], out=sums[1:])
-    hashes = mixed((sums[starts + lengths] - sums[starts]) * down[starts] + lengths.astype(np.uint64))
-    return whole, starts, lengths, hashes, np.diff(np.searchsorted(starts, begins, "left"))
+    starts = _divided(whole, np.flatnonzero(cut), len(codes), costs, longest, unknown)
+    sizes = np.ones(len(codes), np.int64)  # in UTF-8
+    for low in (0x80, 0x800, 0x10000):
+        sizes += codes >= low
+    offsets = np.r_[(np.cumsum(sizes) - sizes)[starts], sizes.sum()].astype(np.int64)
+    cells = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+    return cells.dictionary_encode(), np.diff(np.searchsorted(starts, begins, "left"))
 
 
 def _parcels(vocabulary: Vocabulary, parts: int):
+    """Per unit: parcels of texts as numbers of cells, the places of the numbers among the cells asked, and the cells asked, by part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = (*vocabulary.joints(), vocabulary.costs(), vocabulary.longest, vocabulary.cost(vocabulary.lowest))
+        first_unit, done = TaskContext.get().partitionId() << 32, 0
+        unit: list[tuple[list[int | None], pa.Array, pa.DictionaryArray]] = []
         ids: list[int | None] = []
         texts: list[str | None] = []
-        size = 0
+        size = total = 0
+
+        def cut() -> None:
+            cells, counts = cells_of([t or "" for t in texts], *known)
+            unit.append((list(ids), pa.array(counts.astype(np.int64), mask=np.array([t is None for t in texts], bool)), cells))
+            ids.clear()
+            texts.clear()
+
         for batch in slices(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t)
                 size += len(t or "") + 1
                 if size >= BATCH_CHARS:
-                    yield from emit(ids, texts, known)
-                    ids, texts, size = [], [], 0
+                    cut()
+                    total, size = total + size, 0
+                    if total >= UNIT_CHARS:
+                        yield from emit(first_unit + done, unit)
+                        done, total = done + 1, 0
+                        unit.clear()
         if ids:
-            yield from emit(ids, texts, known)
-
-    def emit(ids, texts, known) -> Iterator[pa.RecordBatch]:
-        whole, starts, lengths, hashes, counts = cells_of([t or "" for t in texts], *known)
-        found, first, index, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(-often, kind="stable")  # frequent cells get small numbers, which compress well
-        number = np.empty(len(order), np.int32)
-        number[order] = np.arange(len(order), dtype=np.int32)
-        codes = number[index] if len(index) else np.zeros(0, np.int32)
-        count = pa.array(np.asarray(counts, np.int64), mask=np.array([t is None for t in texts], bool))
-        planes = [(codes >> np.int32(8 * k)).astype(np.uint8).tobytes() for k in range(4)]
-        parcel = _pack(pa.table({"doc_id": pa.array(ids, pa.int64()), "cells": count})) + b"".join(_pack(pa.table({"plane": pa.array([p], pa.binary())})) for p in planes)
-        name = int.from_bytes(hashlib.blake2b(parcel + hashlib.blake2b(whole.encode("utf-8", "surrogatepass")).digest(), digest_size=8).digest(), "little", signed=True)
-        rows = [(-1, parcel)]
-        part = (found % np.uint64(parts)).astype(np.int64)
-        by_part = np.argsort(part, kind="stable")
-        for group in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1) if len(by_part) else []:
-            cells = [whole[s : s + n] for s, n in zip(starts[first[group]].tolist(), lengths[first[group]].tolist())]
-            rows.append((int(part[group[0]]), _pack(pa.table({"number": pa.array(number[group]), "cell": pa.array(cells, pa.string())}))))
-        for low in range(0, len(rows), 64):
-            some = rows[low : low + 64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(some), pa.int64()), pa.array([p for p, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())],
-                names=["batch", "part", "parcel"],
-            )
+            cut()
+        if unit:
+            yield from emit(first_unit + done, unit)
+
+    def emit(name: int, unit) -> Iterator[pa.RecordBatch]:
+        merged = pa.concat_arrays([cells.dictionary for *_, cells in unit]).dictionary_encode()
+        cells, to_merged = merged.dictionary.cast(pa.string()), merged.indices.to_numpy()
+        borders_ = np.cumsum([0] + [len(d.dictionary) for *_, d in unit])
+        flat = [to_merged[low:high][d.indices.to_numpy()] for low, high, (*_, d) in zip(borders_[:-1], borders_[1:], unit)]
+        often = sum((np.bincount(f, minlength=len(cells)) for f in flat), np.zeros(len(cells), np.int64))
+        number = np.empty(len(cells), np.int64)
+        number[np.argsort(-often, kind="stable")] = np.arange(len(cells))
+        for at, ((ids, counts, _), f) in enumerate(zip(unit, flat)):
+            yield rows(name, [(at, _framed(_pack_texts(ids, counts, number[f])))], TEXTS)
+        part = np.fromiter((xxhash.xxh3_64_intdigest(c) % parts for c in cells.cast(pa.binary()).to_pylist()), np.int32, len(cells))
+        order = pa.compute.sort_indices(pa.table({"part": part, "cell": cells}), [("part", "ascending"), ("cell", "ascending")]).to_numpy()
+        yield rows(name, [(-1, zstandard.compress(_planes(number[order])))], TEXTS)
+        part, cells = part[order], cells.take(pa.array(order))
+        borders_ = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)] if len(part) else [0]
+        asked = [(int(part[low]), _pack_cells(cells[low:high])) for low, high in zip(borders_[:-1], borders_[1:])]
+        for low in range(0, len(asked), 64):
+            yield rows(name, asked[low : low + 64], ASKED)
+
+    def rows(name: int, some: list[tuple[int, bytes]], kind: int) -> pa.RecordBatch:
+        n = len(some)
+        columns = [pa.array([name] * n, pa.int64()), pa.array([p for p, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary()), pa.array([kind] * n, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["unit", "part", "parcel", "kind"])
 
     return run
 
 
 def _distinct(table: pa.Table) -> pa.Table:
-    cells = pa.concat_arrays([c for p in table.column("parcel").to_pylist() for c in _unpack(p).column("cell").chunks])
-    unique = cells.unique()
+    unique = _unpack_cells(table.column("parcel").to_pylist())[0].unique()
     release()
     return pa.table({"part": pa.array(np.full(len(unique), table.column("part")[0].as_py(), np.int32)), "cell": unique})
 
@@ -271,14 +352,15 @@ def lattice(cells: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     priced = [(p, (i << COST_BITS) + vocabulary.cost(s)) for p, i, s in vocabulary.pieces]
     table = F.broadcast(spark.createDataFrame(priced, "piece string, priced long"))
     unknown = (UNKNOWN_ID << COST_BITS) + vocabulary.cost(vocabulary.lowest)
-    starts = cells.repartition("number").withColumn("low", F.explode(F.sequence(F.lit(0), F.length("cell") - 1)))
+    dealt = cells.repartition("number")
+    starts = dealt.select("number", "cell").withColumn("low", F.explode(F.sequence(F.lit(0), F.length("cell") - 1)))
     longest = F.least(F.lit(vocabulary.longest), F.length("cell") - F.col("low"))
     spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), longest))).withColumn("piece", F.substr("cell", F.col("low") + 1, F.col("n")))
     # a row per span; a single character stays even where no piece holds it
     edges = spans.join(table, "piece", "left").filter("priced is not null or n = 1")
     place = ((F.col("low") + F.col("n")) * PLACES + F.col("low")).cast("long")
     edge = F.call_function("shiftleft", place, F.lit(ID_BITS + COST_BITS)) + F.coalesce("priced", F.lit(unknown))
-    grouped = edges.groupBy("number", "part", "cell").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy("number").agg(F.sort_array(F.collect_list(edge)).alias("edges")).join(dealt, "number")
 
     shift = lambda x, n: F.shiftright(x, n)
     low_bits = lambda x, n: x.bitwiseAND((1 << n) - 1)
@@ -318,67 +400,81 @@ def lattice(cells: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Encoded cells for every batch that asked; both tables are of one part."""
-    cells, ids = known.column("cell").combine_chunks(), known.column("ids").combine_chunks()
-    names, parcels = [], []
-    for batch, parcel in zip(asked.column("batch").to_pylist(), asked.column("parcel").to_pylist()):
-        table = _unpack(parcel)
-        at = pa.compute.index_in(table.column("cell").combine_chunks(), cells)
-        if at.null_count:
-            raise ValueError("a cell has no encoding")
-        names.append(batch)
-        parcels.append(_pack(pa.table({"number": table.column("number"), "ids": ids.take(at)})))
+    """Encoded cells for every unit that asked, in the order asked; both tables are of one part."""
+    cells, counts = _unpack_cells(asked.column("parcel").to_pylist())
+    at = pa.compute.index_in(cells, known.column("cell").combine_chunks())
+    if at.null_count:
+        raise ValueError("a cell has no encoding")
+    ids = known.column("ids").combine_chunks()
+    parcels, low = [], 0
+    for n in counts:
+        some = ids.take(at[low : low + n])
+        parcels.append(_pack_lists(np.asarray(pa.compute.list_value_length(some)), _planes(some.flatten().to_numpy())))
+        low += n
     release()
-    return pa.table({"batch": pa.array(names, pa.int64()), "parcel": pa.array(parcels, pa.binary())})
+    return pa.table({"unit": asked.column("unit"), "part": asked.column("part"), "parcel": pa.array(parcels, pa.binary())})
 
 
 def _assemble(vocabulary: Vocabulary):
-    def run(batches: pa.Table, answers: pa.Table) -> pa.Table:
+    fields = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def run(unit: pa.Table, answers: pa.Table) -> pa.Table:
         parts = vocabulary.bytes_of()
-        tables = [_unpack(p) for p in answers.column("parcel").to_pylist()]
-        number = np.concatenate([t.column("number").to_numpy() for t in tables]) if tables else np.zeros(0, np.int32)
-        ids = pa.concat_arrays([c for t in tables for c in t.column("ids").chunks]) if tables else pa.array([], pa.list_(pa.int32()))
-        number, first = np.unique(number, return_index=True)  # equal batches ask twice
-        ids = ids.take(pa.array(first))
-        values, offsets = ids.flatten().to_numpy(), np.asarray(ids.offsets, np.int64) - ids.offsets[0].as_py()
-        sizes = np.diff(offsets)
-        out = {"doc_id": [], "ids": [], "decoded_sha256": []}
-        for parcel in batches.column("parcel").to_pylist():
-            table, flat = _unpack_batch(parcel)
-            cells = table.column("cells")
-            present = cells.is_valid().to_pylist()
-            if len(flat) and flat.max() >= len(number):
-                raise ValueError("a batch lacks answers")
-            spans = sizes[flat]
-            at = np.repeat(offsets[flat] - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum()) if len(flat) else np.zeros(0, np.int64)
-            encoded = values[at] if len(at) else np.zeros(0, np.int32)
-            per_text = cells.fill_null(0).to_numpy()
-            ends = np.r_[0, np.cumsum(spans)][np.cumsum(np.r_[0, per_text])]
-            for i, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                null = not present[i]
-                out["ids"].append(None if null else encoded[low:high])
-                out["decoded_sha256"].append(None if null else hashlib.sha256(decode_ids(encoded[low:high].tolist(), parts).encode("utf-8", "replace")).hexdigest())
-            out["doc_id"] += table.column("doc_id").to_pylist()
-        types = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "decoded_sha256": pa.string()}
-        return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
+        parcels = dict(zip(unit.column("part").to_pylist(), unit.column("parcel").to_pylist()))
+        number = _numbers(zstandard.decompress(parcels.pop(-1)))
+        answers = answers.sort_by("part")
+        lists = [_unpack_lists(p) for p in answers.column("parcel").to_pylist()]
+        sizes = np.concatenate([n for n, _ in lists] or [np.zeros(0, np.int64)])
+        values = np.concatenate([_numbers(b).astype(np.int32) for _, b in lists] or [np.zeros(0, np.int32)])
+        if len(sizes) != len(number):
+            raise ValueError("a unit lacks answers")
+        place = np.argsort(number)
+        offsets, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        out = [texts_of(*_unpack_texts(_frames(parcels[k])), values, offsets, sizes, parts) for k in sorted(parcels)]
+        release()
+        return pa.Table.from_batches(out, fields)
+
+    def texts_of(table: pa.Table, codes: np.ndarray, values: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, parts: list[bytes]) -> pa.RecordBatch:
+        spans = sizes[codes]
+        ends = np.cumsum(spans)
+        encoded = values[np.repeat(offsets[codes] - ends + spans, spans) + np.arange(spans.sum())]
+        cells = table.column("cells").combine_chunks()
+        borders_ = np.r_[0, ends][np.cumsum(np.r_[0, cells.fill_null(0).to_numpy()])]
+        null = cells.is_null()
+        digests = [
+            None if n else hashlib.sha256(decode_ids(encoded[low:high].tolist(), parts).encode("utf-8", "replace")).hexdigest()
+            for n, low, high in zip(null.to_pylist(), borders_[:-1].tolist(), borders_[1:].tolist())
+        ]
+        ids = pa.ListArray.from_arrays(pa.array(borders_.astype(np.int32)), pa.array(encoded, pa.int32()), mask=null)
+        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), ids, pa.array(digests, pa.string())], schema=fields)
 
     return run
 
 
+def _written(parcels: DataFrame, buckets: int) -> DataFrame:
+    """The parcels as a table in buckets by unit, so that the texts of a unit are not shuffled again."""
+    spark, name = parcels.sparkSession, f"loadcast_parcels_{uuid.uuid4().hex}"
+    writer = parcels.write.partitionBy("kind").bucketBy(buckets, "unit").sortBy("unit").option("path", scratch_path(spark, "parcels"))
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per row: doc_id, ids, n_pieces, decoded_sha256 (of the text decoded from the ids)."""
     if vocabulary.longest > LONGEST:
         raise ValueError(f"pieces of more than {LONGEST} characters do not fit the lattice")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    parcels = materialize(texts.mapInArrow(returning(_parcels(vocabulary, 1 + chars // PART_CHARS)), PARCEL_DDL), "parcels")
-    asked = parcels.filter("part >= 0")
+    tasks = texts.sparkSession.sparkContext.defaultParallelism
+    parts, buckets = tasks + chars // PART_CHARS, min(2 * tasks + chars // UNIT_CHARS, MAX_BUCKETS)
+    parcels = _written(texts.mapInArrow(returning(_parcels(vocabulary, parts)), PARCEL_DDL), buckets)
+    asked = parcels.filter(F.col("kind") == ASKED).select("unit", "part", "parcel")
     distinct = asked.groupBy("part").applyInArrow(_distinct, "part int, cell string")
     cells = materialize(distinct.withColumn("number", F.monotonically_increasing_id()), "cells")
     known = materialize(lattice(cells, vocabulary).select("part", "cell", "ids"), "encoded")
-    answers = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answers, "batch long, parcel binary")
-    batches = parcels.filter("part < 0").select("batch", "parcel")
-    out = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_assemble(vocabulary), "doc_id long, ids array<int>, decoded_sha256 string")
+    answers = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answers, "unit long, part int, parcel binary")
+    units = parcels.filter(F.col("kind") == TEXTS).select("unit", "part", "parcel")
+    out = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_assemble(vocabulary), "doc_id long, ids array<int>, decoded_sha256 string")
     return out.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_pieces"), "decoded_sha256")
 
 
