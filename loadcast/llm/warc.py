@@ -6,8 +6,10 @@ WARC-Concurrent-To.  Records are written as text with exact lengths, gzipped.
 Reading parses records by their lengths, one archive at a time; transactions
 are assembled by joining on the concurrent-to id, one nested row per capture.
 
-Archives roll over after ``RECORDS_PER_FILE`` records, so a read task holds one
-file of limited size.
+Archives roll over after some ``ARCHIVE_BYTES`` of records of average length, and
+``RECORDS_PER_FILE`` records at most.  A read task holds one file as it is stored;
+what it unpacks are steps of ``STEP_BYTES`` and one record, also of an archive with
+a gzip member per record.
 
 Defined results: a null html is an empty payload; a null url is an empty one; a
 null page_id stays null; among equal payloads of at least ``MIN_BYTES`` bytes
@@ -18,9 +20,9 @@ empty table gives empty archives and no captures; other columns are not read.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import sys
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_BYTES = 100
 RECORDS_PER_FILE = 9_000
+ARCHIVE_BYTES = 128 << 20
+STEP_BYTES = 1 << 20
 ROW_BYTES = 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -122,7 +126,13 @@ def write_archives(pages: DataFrame, path: str, warc_date: str = "2024-01-01T00:
         _record(F.lit("metadata"), "metadata", "application/warc-fields", about, concurrent),
     )
     writer = rows.select(F.explode(records).alias("value")).write
-    writer.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(path)
+    writer.options(lineSep="\r\n", compression="gzip", maxRecordsPerFile=records_per_file(pages)).text(path)
+
+
+def records_per_file(pages: DataFrame) -> int:
+    """Whole captures of average length that fill an archive."""
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+    return 3 * max(1, min(RECORDS_PER_FILE // 3, int(ARCHIVE_BYTES / (mean + 1_000))))
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -130,36 +140,103 @@ def _headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in pairs}
 
 
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """An archive, plain or of gzip members, in steps."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + STEP_BYTES] for at in range(0, len(data), STEP_BYTES))
+        return
+    at = 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            step = member.unconsumed_tail
+            if not step:
+                step = data[at : at + STEP_BYTES]
+                at += len(step)
+            out = member.decompress(step, STEP_BYTES)
+            if out:
+                yield out
+            elif not step:
+                raise ValueError("an archive ends inside a gzip member")
+        at -= len(member.unused_data)
+
+
+class _Reader:
+    """What is read from the steps and not yet taken."""
+
+    def __init__(self, steps: Iterator[bytes]):
+        self.steps, self.held, self.at = steps, bytearray(), 0
+
+    def more(self) -> bool:
+        step = next(self.steps, None)
+        if step is None:
+            return False
+        del self.held[: self.at]
+        self.at = 0
+        self.held += step
+        return True
+
+    def skip_to(self, mark: bytes) -> bool:
+        while (found := self.held.find(mark, self.at)) < 0:
+            self.at = max(self.at, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return False
+        self.at = found
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """All up to the mark, which is passed."""
+        seen = 0
+        while (found := self.held.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(mark) + 1)
+            if not self.more():
+                return None
+        out = bytes(self.held[self.at : found])
+        self.at = found + len(mark)
+        return out
+
+    def take(self, size: int) -> bytes:
+        """The next bytes, fewer at the end."""
+        while len(self.held) - self.at < size and self.more():
+            pass
+        out = bytes(self.held[self.at : self.at + size])
+        self.at += len(out)
+        return out
+
+
 def parse_archive(data: bytes) -> Iterator[tuple]:
     """Records of one archive, plain or gzipped, found by their lengths."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = _headers(data[at:end])
+    reader = _Reader(unpacked(data))
+    while reader.skip_to(b"WARC/"):
+        top = reader.until(b"\r\n\r\n")
+        if top is None:
+            raise ValueError("an archive ends inside the header of a record")
+        head = _headers(top)
         size = int(head["content-length"])
-        block = data[end + 4 : end + 4 + size]
+        block = reader.take(size)
         if len(block) < size:
             raise ValueError(f"an archive ends inside record {head.get('warc-record-id')}")
-        at = end + 4 + size
-        kind, fields, payload = head.get("warc-type"), {}, None
-        digest, length = head.get("warc-payload-digest", "").rpartition(":")[2] or None, None
-        if head.get("content-type", "").startswith("application/http"):
-            top, _, body = block.partition(b"\r\n\r\n")
-            fields = _headers(top)
-            if kind == "revisit":
-                length = int(fields["content-length"]) if "content-length" in fields else None
-            elif kind == "response":
-                payload, length = body, len(body)
-                found = hashlib.sha256(body).hexdigest()
-                if digest not in (None, found):
-                    raise ValueError(f"payload of {head.get('warc-record-id')} has digest {found}, not {digest}")
-                digest = found
-        elif head.get("content-type", "").startswith("application/warc-fields"):
-            fields = _headers(block)
-        uri, other = head.get("warc-target-uri"), head.get("warc-refers-to-target-uri")
-        yield kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), uri, head.get("warc-date"), other, length, digest, list(fields.items()), payload
+        yield _record_row(head, block)
+
+
+def _record_row(head: dict[str, str], block: bytes) -> tuple:
+    kind, fields, payload = head.get("warc-type"), {}, None
+    digest, length = head.get("warc-payload-digest", "").rpartition(":")[2] or None, None
+    if head.get("content-type", "").startswith("application/http"):
+        top, _, body = block.partition(b"\r\n\r\n")
+        fields = _headers(top)
+        if kind == "revisit":
+            length = int(fields["content-length"]) if "content-length" in fields else None
+        elif kind == "response":
+            payload, length = body, len(body)
+            found = hashlib.sha256(body).hexdigest()
+            if digest not in (None, found):
+                raise ValueError(f"payload of {head.get('warc-record-id')} has digest {found}, not {digest}")
+            digest = found
+    elif head.get("content-type", "").startswith("application/warc-fields"):
+        fields = _headers(block)
+    uri, other = head.get("warc-target-uri"), head.get("warc-refers-to-target-uri")
+    return kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), uri, head.get("warc-date"), other, length, digest, list(fields.items()), payload
 
 
 def _parse(with_payload: bool):

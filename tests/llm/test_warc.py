@@ -2,6 +2,9 @@
 
 import gzip
 import hashlib
+import tracemalloc
+
+import pytest
 
 from loadcast.llm import warc
 from loadcast.sources.scratch import scratch_path
@@ -55,3 +58,45 @@ def test_records_without_their_response_are_kept(spark):
     got = {r.transaction: r for r in warc.captures(records).collect()}
     assert got["<gone>"].response is None and len(got["<gone>"].requests) == 1
     assert got["<r>"].response.record_id == "<r>" and len(got["<r>"].metadata) == 1
+
+
+def _record(name, body):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_are_read_in_steps():
+    body = bytes(range(256)) * 16_384  # 4 MiB, longer than a step
+    records = [_record(k, body + str(k).encode()) for k in range(30)]
+    packed = b"".join(gzip.compress(r, 1) for r in records)
+    tracemalloc.start()
+    got = [(r[1], r[6], r[7]) for r in warc.parse_archive(packed)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(f"<{k}>", len(body) + len(str(k)), hashlib.sha256(body + str(k).encode()).hexdigest()) for k in range(30)]
+    assert peak < 10 * len(body)  # of 120 MiB unpacked
+    assert [r[7] for r in warc.parse_archive(b"".join(records))] == [d for *_, d in got]
+    assert [r[7] for r in warc.parse_archive(gzip.compress(b"".join(records), 1))] == [d for *_, d in got]
+
+
+def test_broken_archives_stop():
+    whole = _record("a", b"x" * 5_000) + _record("b", b"y" * 5_000)
+    for cut in (len(whole) - 3_000, len(whole) // 2 + 20):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(warc.parse_archive(whole[:cut]))
+    with pytest.raises(ValueError, match="ends inside a gzip member"):
+        list(warc.parse_archive(gzip.compress(whole)[:-20]))
+    assert list(warc.parse_archive(b"")) == []
+    step = warc.STEP_BYTES
+    apart = b"\n" * (step - 2) + whole  # the mark of a record lies across two steps
+    assert [r[1] for r in warc.parse_archive(apart)] == ["<a>", "<b>"]
+
+
+def test_long_pages(spark):
+    rows = [(k, "http://l.example/", "é" * 3_000_000 + str(k)) for k in range(3)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    assert warc.records_per_file(pages) == 3 * int(warc.ARCHIVE_BYTES / (6_000_001 + 1_000))
+    got = {r.page_id: r for r in warc.archive_report(pages).collect()}
+    for k, _, html in rows:
+        assert got[k].payload_bytes == len(html.encode()) and got[k].payload_digest == hashlib.sha256(html.encode()).hexdigest()
