@@ -65,3 +65,30 @@ def test_long_runs_are_segmented_whole(docs, vocabulary):
         text = texts[r.doc_id]
         assert cost_of(r.ids, text, once) == least_cost(text, once), text[:40]
         assert sentencepieces.decode_ids(r.ids, vocabulary.bytes_of()) == text
+
+
+def test_parcels_hold_what_was_packed():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    codes = np.r_[rng.integers(0, 400, 5_000), 254, 255, 256, 65_535 + 255, 1 << 24]
+    counts = pa.array([len(codes), None, 0], pa.int64())
+    table, got = sentencepieces._unpack_texts(sentencepieces._frames(sentencepieces._framed(sentencepieces._pack_texts([7, None, 9], counts, codes))))
+    assert table.to_pydict() == {"doc_id": [7, None, 9], "cells": counts.to_pylist()} and (got == codes).all()
+    _, none = sentencepieces._unpack_texts(sentencepieces._pack_texts([1], pa.array([0], pa.int64()), codes[:0]))
+    assert len(none) == 0
+    cells = [pa.array(["▁the", "", "\U0001f600"]), pa.array(["é"]), pa.array([], pa.string())]
+    got, sizes = sentencepieces._unpack_cells([sentencepieces._pack_cells(c) for c in cells])
+    assert got.to_pylist() == ["▁the", "", "\U0001f600", "é"] and sizes == [3, 1, 0]
+
+
+def test_cells_of_texts_join_to_the_texts(vocabulary):
+    known = (*vocabulary.joints(), vocabulary.costs(), vocabulary.longest, vocabulary.cost(vocabulary.lowest))
+    texts = ["a plain text, twice", "", "naïve 日本 \U0001f600\x00", "a plain text, twice", "ab" * 200]
+    cells, counts = sentencepieces.cells_of(texts, *known)
+    flat, at = cells.to_pylist(), 0
+    for text, n in zip(texts, counts.tolist()):
+        assert "".join(flat[at : at + n]) == ((sentencepieces.MARK + text.replace(" ", sentencepieces.MARK)) if text else "")
+        at += n
+    assert at == len(flat) and all(1 <= len(c) <= sentencepieces.LONGEST for c in flat)
