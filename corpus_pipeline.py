@@ -55,7 +55,7 @@ STAGES = [
     ("piece encoding", encode_pieces),
 ]
 
-# The learned rules, the fuzzy lines and the lattice have no SQL; tests hold each stage against a plain version.
+# The learned rules, the fuzzy lines and the lattice have no SQL; the operators' tests hold each against a plain version on rows of their own.
 ORACLE_SQL = None
 
 
