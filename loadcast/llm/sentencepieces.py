@@ -59,6 +59,8 @@ UNKNOWN_ID = (1 << ID_BITS) - 1
 BATCH_CHARS = 1_000_000  # cut into cells at once
 UNIT_CHARS = 16_000_000  # that ask for each cell once
 PART_CHARS = 32_000_000  # per part of the distinct cells
+TASK_CELLS = 40_000  # of a lattice task, whose sorted edges stay in memory
+NUMBER_BITS = 40  # of a cell's number within its part
 COMMON = 255  # cells of a unit with numbers of one byte
 MAX_BUCKETS = 50_000  # of files; a bucket may hold several units
 UNKNOWN_PENALTY = 10.0
@@ -310,12 +312,14 @@ def _parcels(vocabulary: Vocabulary, parts: int):
         merged = pa.concat_arrays([cells.dictionary for *_, cells in unit]).dictionary_encode()
         cells, to_merged = merged.dictionary.cast(pa.string()), merged.indices.to_numpy()
         borders_ = np.cumsum([0] + [len(d.dictionary) for *_, d in unit])
-        flat = [to_merged[low:high][d.indices.to_numpy()] for low, high, (*_, d) in zip(borders_[:-1], borders_[1:], unit)]
-        often = sum((np.bincount(f, minlength=len(cells)) for f in flat), np.zeros(len(cells), np.int64))
+        often = np.zeros(len(cells), np.int64)
+        for low, high, (*_, d) in zip(borders_[:-1], borders_[1:], unit):
+            np.add.at(often, to_merged[low:high], np.bincount(d.indices.to_numpy(), minlength=high - low))
         number = np.empty(len(cells), np.int64)
         number[np.argsort(-often, kind="stable")] = np.arange(len(cells))
-        for at, ((ids, counts, _), f) in enumerate(zip(unit, flat)):
-            yield rows(name, [(at, _framed(_pack_texts(ids, counts, number[f])))], TEXTS)
+        numbers = number[to_merged]
+        for at, (low, high, (ids, counts, d)) in enumerate(zip(borders_[:-1], borders_[1:], unit)):
+            yield rows(name, [(at, _framed(_pack_texts(ids, counts, numbers[low:high][d.indices.to_numpy()])))], TEXTS)
         part = np.fromiter((xxhash.xxh3_64_intdigest(c) % parts for c in cells.cast(pa.binary()).to_pylist()), np.int32, len(cells))
         order = pa.compute.sort_indices(pa.table({"part": part, "cell": cells}), [("part", "ascending"), ("cell", "ascending")]).to_numpy()
         yield rows(name, [(-1, zstandard.compress(_planes(number[order])))], TEXTS)
@@ -336,11 +340,11 @@ def _parcels(vocabulary: Vocabulary, parts: int):
 def _distinct(table: pa.Table) -> pa.Table:
     unique = _unpack_cells(table.column("parcel").to_pylist())[0].unique()
     release()
-    return pa.table({"part": pa.array(np.full(len(unique), table.column("part")[0].as_py(), np.int32)), "cell": unique})
+    return pa.table({"number": pa.array(np.arange(len(unique)) + (table.column("part")[0].as_py() << NUMBER_BITS)), "cell": unique})
 
 
 def lattice(cells: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The columns of ``cells`` (number, unique; part; cell) and ids, the best segmentation of each cell.
+    """The columns of ``cells`` (number, unique; cell) and ids, the best segmentation of each cell.
 
     An edge is one number: its end, its start, the piece and the cost (negative
     score in millionths), in this order of bits, so that sorted edges come by
@@ -352,8 +356,9 @@ def lattice(cells: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     priced = [(p, (i << COST_BITS) + vocabulary.cost(s)) for p, i, s in vocabulary.pieces]
     table = F.broadcast(spark.createDataFrame(priced, "piece string, priced long"))
     unknown = (UNKNOWN_ID << COST_BITS) + vocabulary.cost(vocabulary.lowest)
-    dealt = cells.repartition("number")
-    starts = dealt.select("number", "cell").withColumn("low", F.explode(F.sequence(F.lit(0), F.length("cell") - 1)))
+    tasks = spark.sparkContext.defaultParallelism + cells.count() // TASK_CELLS
+    dealt = cells.repartition(tasks, "number")
+    starts = dealt.withColumn("low", F.explode(F.sequence(F.lit(0), F.length("cell") - 1)))
     longest = F.least(F.lit(vocabulary.longest), F.length("cell") - F.col("low"))
     spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), longest))).withColumn("piece", F.substr("cell", F.col("low") + 1, F.col("n")))
     # a row per span; a single character stays even where no piece holds it
@@ -377,7 +382,7 @@ def lattice(cells: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             F.concat(F.slice(best, F.lit(1), high), F.array(F.least(F.get(best, high), path)))
         )
 
-    best = grouped.select("number", "part", "cell", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
+    best = grouped.select("number", "cell", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
 
     hexed = lambda at: F.hex(F.encode(F.substr("cell", at + 1, F.lit(1)), "UTF-8"))
 
@@ -396,7 +401,7 @@ def lattice(cells: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     path = F.aggregate(
         F.sequence(end, F.lit(1), F.lit(-1)), F.struct(end.alias("at"), F.array().cast("array<int>").alias("ids")), walk, lambda acc: acc["ids"]
     )
-    return best.select("number", "part", "cell", path.alias("ids"))
+    return best.select("number", "cell", path.alias("ids"))
 
 
 def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -469,9 +474,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     parts, buckets = tasks + chars // PART_CHARS, min(2 * tasks + chars // UNIT_CHARS, MAX_BUCKETS)
     parcels = _written(texts.mapInArrow(returning(_parcels(vocabulary, parts)), PARCEL_DDL), buckets)
     asked = parcels.filter(F.col("kind") == ASKED).select("unit", "part", "parcel")
-    distinct = asked.groupBy("part").applyInArrow(_distinct, "part int, cell string")
-    cells = materialize(distinct.withColumn("number", F.monotonically_increasing_id()), "cells")
-    known = materialize(lattice(cells, vocabulary).select("part", "cell", "ids"), "encoded")
+    cells = materialize(asked.groupBy("part").applyInArrow(_distinct, "number long, cell string"), "cells")
+    known = materialize(lattice(cells, vocabulary).select(F.shiftright("number", NUMBER_BITS).cast("int").alias("part"), "cell", "ids"), "encoded")
     answers = asked.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_answers, "unit long, part int, parcel binary")
     units = parcels.filter(F.col("kind") == TEXTS).select("unit", "part", "parcel")
     out = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_assemble(vocabulary), "doc_id long, ids array<int>, decoded_sha256 string")

@@ -92,3 +92,14 @@ def test_cells_of_texts_join_to_the_texts(vocabulary):
         assert "".join(flat[at : at + n]) == ((sentencepieces.MARK + text.replace(" ", sentencepieces.MARK)) if text else "")
         at += n
     assert at == len(flat) and all(1 <= len(c) <= sentencepieces.LONGEST for c in flat)
+
+
+def test_lattice_tasks_grow_with_the_cells(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(sentencepieces, "TASK_CELLS", 5)
+    words = ["".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(400)]
+    cells = spark.createDataFrame([((i % 3 << sentencepieces.NUMBER_BITS) + i, sentencepieces.MARK + w) for i, w in enumerate(words)], "number long, cell string")
+    encoded = sentencepieces.lattice(cells, vocabulary)
+    assert encoded.rdd.getNumPartitions() >= 80
+    ids = {r.cell: r.ids for r in encoded.collect()}
+    assert all(sentencepieces.decode_ids(ids[sentencepieces.MARK + w], vocabulary.bytes_of()) == w for w in words)
+    assert encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1
