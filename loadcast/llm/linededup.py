@@ -119,18 +119,17 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield at, group
 
 
-def _first_seen(lines: Lines, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines to sketch, one for each key that is new in the batch, and all keys of the batch so far."""
+def _first_seen(lines: Lines, seen: set[int]) -> np.ndarray:
+    """Lines to sketch, one for each key that is new in the batch; ``seen``, all keys of the batch so far, gets them."""
     which = np.flatnonzero(lines.counted & (lines.lengths >= WIDTH))  # shorter ones meet by their keys alone
-    keys, first = np.unique(lines.keys[which], return_index=True)
-    new = ~np.isin(keys, seen, assume_unique=True)
-    return which[first[new]], np.union1d(seen, keys)
+    new = [not (k in seen or seen.add(k)) for k in lines.keys[which].tolist()]
+    return which[np.array(new, bool)]
 
 
 def _sketch(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = np.zeros(0, np.int64)
+            seen: set[int] = set()
             for at, group in _groups(batch.column(2).to_pylist()):
                 lines = Lines(group, min_chars)
                 offsets = np.cumsum(np.r_[0, lines.counts]).astype(np.int32)
@@ -139,7 +138,7 @@ def _sketch(min_chars: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[at : at + n], batch.column(1)[at : at + n], keys, *(pa.nulls(n, t) for t in LINES.types[3:])], schema=LINES
                 )
-                chosen, seen = _first_seen(lines, seen)
+                chosen = _first_seen(lines, seen)
                 for low in range(0, len(chosen), 2_000):
                     part = chosen[low : low + 2_000]
                     bands = band_keys(*lines.shingles(part))
@@ -165,7 +164,12 @@ def line_sets(texts: pa.Array) -> list[np.ndarray]:
     for _, group in _groups(texts.to_pylist()):
         lines = Lines(group)
         items, counts = lines.shingles(np.arange(len(group)))
-        out += [np.unique(s) for s in np.split(items, np.cumsum(counts)[:-1])]
+        ends = np.cumsum(counts).tolist()
+        for low, high in zip([0, *ends], ends):
+            some = np.sort(items[low:high])
+            new = np.ones(len(some), bool)
+            np.not_equal(some[1:], some[:-1], out=new[1:])
+            out.append(some[new])
     return out
 
 
@@ -204,7 +208,9 @@ def dedup_lines(docs: DataFrame, counts: bool = False, min_chars: int = MIN_CHAR
     joined = known.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_dropped")
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # the lines are bound by an outer lambda, or each line that stays would split the text again
+    left = F.get(F.transform(F.array(lines), lambda all_: F.array_join(F.transform(stay, lambda i: F.get(all_, i)), "\n")), 0)
+    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left)
     out = joined.withColumn("_n", F.coalesce(F.size(lines), F.lit(0))).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

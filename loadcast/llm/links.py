@@ -3,8 +3,8 @@
 Nodes that share a band key form a bucket.  Each member is first paired with
 the smallest node of its bucket; distinct pairs are verified on full sets and
 joined to components.  What is left are buckets whose members lie in different
-components: these are cut into blocks, each pair of blocks is a task of bounded
-size, and inside it members of different components are compared on full sets
+components: the pairs of small ones are listed, each pair once, where sets have a
+short form; others are cut into blocks, each pair of blocks is a task of bounded size, and inside it members of different components are compared on full sets
 until all are compared or joined.  So every pair that shares a bucket is either
 joined by links or compared, while a bucket of n members gives some n links,
 not n * n pairs.
@@ -30,14 +30,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ToSets = Callable[[pa.Array], list[np.ndarray]]
 
+PAIRED_MEMBERS = 32  # of a bucket whose pairs are listed, so that a pair of many buckets is compared once
 BLOCK_MEMBERS = 512
 BLOCK_SIGNATURES = 1024
 DEVIATIONS = 6
 BLOCK_ITEMS = 2_000_000
 
 
-def similar(a: int, b: int, both: int, percent: int) -> bool:
-    return 100 * both >= percent * (a + b - both)
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    items = np.concatenate((x, y))
+    items.sort()
+    both = np.count_nonzero(items[1:] == items[:-1])
+    return 100 * both >= percent * (len(items) - both)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, to_sets: ToSets | None = None) -> DataFrame:
@@ -57,7 +64,7 @@ def _reaching(percent: int, to_sets: ToSets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             pairs = zip(to_sets(batch.column(2)), to_sets(batch.column(3)))
-            hit = pa.array([similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent) for x, y in pairs], pa.bool_())
+            hit = pa.array([similar(x, y, percent) for x, y in pairs], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
 
     return run
@@ -94,13 +101,32 @@ def spanning_links(
         near = _blocks(rest.join(asked, "node"), "signature", BLOCK_SIGNATURES).applyInArrow(_near(percent), "key long, node long")
         rest = materialize(rest.join(near.distinct(), ["key", "node"]), "rest")
     rest = materialize(_unlike(rest), "rest")
-    if rest.isEmpty():
+    if to_sets:  # short forms may be sent once for each pair
+        crossing = materialize(_crossing(rest, PAIRED_MEMBERS).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(materialize(verified(crossing, sets, percent, to_sets), "links"))
+        rest = materialize(_sized(rest).filter(F.col("n") > PAIRED_MEMBERS).drop("n"), "rest")
+    if not rest.isEmpty():
+        compared = _blocks(rest.join(sets, "node"), "items", BLOCK_MEMBERS).applyInArrow(_compare(percent, to_sets), "a long, b long")
+        links = links.unionByName(materialize(compared, "links"))
+    elif not to_sets:
         return links, roots
-    compared = materialize(_blocks(rest.join(sets, "node"), "items", BLOCK_MEMBERS).applyInArrow(_compare(percent, to_sets), "a long, b long"), "links")
-    links = links.unionByName(compared).distinct()
+    links = links.distinct()
     return links, materialize(components(links), "components")
 
 
+def _sized(rest: DataFrame) -> DataFrame:
+    """Members with the number n of members of their bucket."""
+    return rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+
+def _crossing(rest: DataFrame, most: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components from buckets of at most ``most`` members."""
+    few = _sized(rest).filter(F.col("n") <= most)
+    first = few.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    second = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    return first.join(second, "key").filter("a < b and root_a <> root_b").select("a", "b").distinct()
+
+
 def _unlike(rest: DataFrame) -> DataFrame:
     """One of the buckets that hold the same members: similar sets meet in many bands, and need one comparison."""
     members = rest.groupBy("key").agg(

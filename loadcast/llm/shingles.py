@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 SEED = 20240229
 KNOWN_WORDS = 1 << 17
+KNOWN_POWERS = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,6 +72,18 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, exponents 0 to n."""
+    if n > KNOWN_POWERS:
+        return _powers(n)
+    up, down = _known_powers()
+    return up[: n + 1], down[: n + 1]
+
+
+@cache
+def _known_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KNOWN_POWERS)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n + 1, BASE, np.uint64)
     down = np.full(n + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
     up[0] = down[0] = 1

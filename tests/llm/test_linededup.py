@@ -155,3 +155,38 @@ def test_lines_equal_under_polynomial_hashes_are_two(spark, docs):
     one, two = mirrored(11)
     kept = {r.doc_id: r.text for r in linededup.dedup_lines(docs((1, one), (2, two), (3, one))).collect()}
     assert kept == {1: one, 2: two, 3: ""}
+
+
+def linked(spark, monkeypatch, keyed, texts, blocks):
+    """Roots of the nodes of ``keyed``, and whether any bucket was compared in blocks."""
+    from loadcast.llm import links
+
+    seen = []
+    monkeypatch.setattr(links, "_blocks", lambda *a: seen.append(1) or blocks(*a))
+    sets = spark.createDataFrame(list(enumerate(texts)), "node long, items string")
+    _, roots = links.spanning_links(
+        spark.createDataFrame(keyed, "node long, key long"), lambda ids: sets.join(ids, "node", "left_semi"), linededup.PERCENT, to_sets=linededup.line_sets
+    )
+    return {r.node: r.root for r in roots.collect()}, bool(seen)
+
+
+def test_pairs_of_small_buckets_are_listed_once(spark, monkeypatch):
+    from loadcast.llm import links
+
+    blocks = links._blocks
+    texts = ["something else altogether, alone", "the same line, found in two places", "the same line, found in two places!", "again another line that is alone"]
+    keyed = [(node, key) for key in range(5) for node in range(4)] + [(3, 9), (0, 9)]
+    assert linked(spark, monkeypatch, keyed, texts, blocks) == ({1: 1, 2: 1}, False)
+    monkeypatch.setattr(links, "PAIRED_MEMBERS", 3)
+    assert linked(spark, monkeypatch, keyed, texts, blocks) == ({1: 1, 2: 1}, True)
+    assert linked(spark, monkeypatch, [(0, 1), (3, 1)], texts, blocks) == ({}, False)
+
+
+def test_lines_that_stay_are_not_split_again(spark, docs):
+    same = [f"line {i} of the text, and no other" for i in range(400)]
+    mixed = [x for i in range(400) for x in (f"own line {i * 7919} {i} here", same[i])]
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(docs((1, "\n".join(same)), (2, "\n".join(mixed)))).select("doc_id", "text").collect()}
+    assert len(out[2].split("\n")) < len(mixed) and set(out[2].split("\n")) <= set(mixed) - set(same)
+    plan = linededup.dedup_lines(docs((1, "a"), (2, "a")))._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan[plan.index("transform(array_except") if "transform(array_except" in plan else 0 :]
+    assert "lambdafunction(split(" not in inner and "get(split(" not in plan
