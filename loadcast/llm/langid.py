@@ -7,12 +7,13 @@ by the forward algorithm, and that of a text the product over its words.
 Training is one pass: under a flat start every segmentation of a word is
 weighted by its number of pieces, and the expected counts of pieces by language
 (forward-backward) are added up over all training texts.  Only those counts,
-pieces x languages, reach the driver.  Words are found, hashed and scored for
-whole Arrow batches at once, every distinct word of a piece of text once.
+pieces x languages, reach the driver.  Words are found and hashed for
+many texts at once.
 
 Words are runs of letters and combining marks (vowel signs among them) that
 begin with a letter, in lower case, of any length, with the vocabulary's word
-mark in front.  The sums are rescaled as a word goes on, so long words neither
+mark in front.  A distinct word is scored once in a stretch of up to ``STRETCH_CHARS``
+characters.  The sums are rescaled as a word goes on, so long words neither
 vanish nor are cut; to score one, only its last few places are held.
 
 Defined results: a text that is null or without a letter is ``und`` with score
@@ -44,6 +45,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MARK = "▁"
 UNKNOWN = "und"
 PIECE_CHARS = 1_000_000
+STRETCH_CHARS = 32_000_000  # of texts whose distinct words are scored once, with few languages
+FEW_LANGUAGES = 8
 GRID_CELLS = 400_000  # places of words looked up at a time
 GRID_PLACES = 4_096  # places of one word looked up at a time
 FORWARD_CELLS = 8_000_000  # numbers held by the forward sums at a time
@@ -135,13 +138,36 @@ def letter_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def distinct_words(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, length) of each distinct word, index of every word among them, and their counts."""
+    """(hash, first start, length) of each distinct word, by rising hash, and the index of every word among them."""
     lengths = np.diff(np.r_[starts, len(codes)])
     within = np.arange(len(codes)) - np.repeat(starts, lengths)
     terms = mixed(codes.astype(np.uint64) + FACTORS[within % 64] * (within + 1).astype(np.uint64))
     hashes = np.add.reduceat(terms, starts)
-    _, first, index, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    return starts[first], lengths[first], index, counts
+    found, first, index = np.unique(hashes, return_index=True, return_inverse=True)
+    return found, starts[first], lengths[first], index
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """All distinct words of some texts as (codes, starts, lengths), and by group of texts the index and the text of every word."""
+    seen, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    parts, sizes, groups = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+    for at, group in _groups(texts, PIECE_CHARS):
+        codes, starts, text = letter_words(group)
+        if not len(starts):
+            continue
+        found, first, lengths, index = distinct_words(codes, starts)
+        place = np.searchsorted(seen, found)
+        new = np.r_[seen, np.zeros(1, np.uint64)][place] != found
+        new |= place == len(seen)
+        spans = lengths[new]
+        ends = np.cumsum(spans)
+        parts.append(codes[np.repeat(first[new] - ends + spans, spans) + np.arange(spans.sum())])
+        sizes.append(spans)
+        numbers = np.insert(numbers, place[new], np.arange(len(seen), len(seen) + len(spans)))
+        seen = np.insert(seen, place[new], found[new])
+        groups.append((numbers[np.searchsorted(seen, found)][index], (at + text).astype(np.int32)))
+    lengths = np.concatenate(sizes)
+    return np.concatenate(parts), np.cumsum(lengths) - lengths, lengths, groups
 
 
 def blocks(lengths: np.ndarray, most: int, held: int) -> Iterator[np.ndarray]:
@@ -219,11 +245,13 @@ def forward(edges: Iterable[tuple], words: int, longest: int, model: np.ndarray)
 def expected_counts(texts: list[str | None], languages: np.ndarray, many: int, pieces: Pieces) -> np.ndarray:
     """(pieces, languages) expected counts under a flat model."""
     out = np.zeros((pieces.count + 1, many))
-    codes, starts, text = letter_words(texts)
-    if not len(starts):
+    codes, first, lengths, groups = words_of(texts)
+    if not len(first):
         return out
-    first, lengths, index, _ = distinct_words(codes, starts)
-    weight = np.bincount(index * many + languages[text], minlength=len(first) * many).reshape(-1, many)
+    weight = np.zeros(len(first) * many)
+    for index, text in groups:
+        weight += np.bincount(index * np.int64(many) + languages[text], minlength=len(weight))
+    weight = weight.reshape(-1, many)
     flat = np.full((pieces.count + 1, 1), 1e-4)
     flat[-1] = UNSEEN
     for block in blocks(lengths, len(lengths), len(codes) + 1):
@@ -259,13 +287,18 @@ def word_scores(codes: np.ndarray, first: np.ndarray, lengths: np.ndarray, piece
     return out
 
 
-def _groups(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str | None]]]:
-    """Neighbouring texts of some PIECE_CHARS characters together."""
+def stretch_chars(many: int) -> int:
+    """Characters of a stretch: numbers by word and language stay within bounds."""
+    return max(PIECE_CHARS, STRETCH_CHARS * FEW_LANGUAGES // max(many, FEW_LANGUAGES))
+
+
+def _groups(texts: Iterable[str | None], chars: int) -> Iterator[tuple[int, list[str | None]]]:
+    """Neighbouring texts of some ``chars`` characters together."""
     at, size, group = 0, 0, []
     for i, t in enumerate(texts):
         group.append(t)
         size += len(t or "") + 1
-        if size >= PIECE_CHARS:
+        if size >= chars:
             yield at, group
             at, size, group = i + 1, 0, []
     if group:
@@ -277,7 +310,7 @@ def _count(pieces: Pieces, names: list[str]):
         total = np.zeros((pieces.count + 1, len(names)))
         for batch in batches:
             which = pa.compute.index_in(batch.column(0), pa.array(names)).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, group in _groups(batch.column(1).to_pylist()):
+            for at, group in _groups(batch.column(1).to_pylist(), stretch_chars(len(names))):
                 total += expected_counts(group, which[at : at + len(group)], len(names), pieces)
         piece, language = np.nonzero(total)
         counts = np.round(total[piece, language] * SCALE).astype(np.int64)
@@ -309,17 +342,15 @@ def _predict(pieces: Pieces, names: list[str], model: np.ndarray):
         for batch in batches:
             best = np.full(batch.num_rows, -1)
             score = np.zeros(batch.num_rows)
-            for at, group in _groups(batch.column(0).to_pylist()):
-                codes, starts, text = letter_words(group)
-                if not len(starts) or not names:
-                    continue
-                first, lengths, index, _ = distinct_words(codes, starts)
-                logs = word_scores(codes, first, lengths, pieces, model)[index]
-                begins = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-                sums = np.add.reduceat(logs, begins, axis=0)
-                chosen = sums.argmax(1)
-                best[at + text[begins]] = chosen
-                score[at + text[begins]] = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+            for at, stretch in _groups(batch.column(0).to_pylist() if names else [], stretch_chars(len(names))):
+                codes, first, lengths, groups = words_of(stretch)
+                logs = word_scores(codes, first, lengths, pieces, model)
+                for index, text in groups:
+                    begins = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+                    sums = np.add.reduceat(logs[index], begins, axis=0)
+                    chosen = sums.argmax(1)
+                    best[at + text[begins]] = chosen
+                    score[at + text[begins]] = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
             labels = pa.array(np.array([*names, UNKNOWN], object)[best], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], labels, pa.array(score)], names=[*batch.schema.names[1:], "lang_pred", "score"])
 

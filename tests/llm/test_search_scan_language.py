@@ -5,6 +5,7 @@ import re
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,25 @@ def test_language_identification(docs, vocabulary):
     none, empty = langid.train(docs().limit(0), vocabulary)
     assert none == [] and langid.predict(docs((1, "text")), vocabulary, none, empty).first().lang_pred == "und"
     assert langid.predict(docs().limit(0), vocabulary, names, model).count() == 0
+
+
+def test_a_word_of_many_groups_is_scored_once(vocabulary, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE_CHARS", 40)
+    pieces = langid.Pieces.of(vocabulary)
+    model = np.random.default_rng(5).random((pieces.count + 1, 2)) * 1e-3
+    texts = ["the same few words", None, "12 !?", "few others", "straße the same", "x" * 90, "", "words of the same few"] * 20
+    asked = []
+    scores = langid.word_scores
+    monkeypatch.setattr(langid, "word_scores", lambda codes, first, lengths, *a: asked.extend("".join(map(chr, codes[f : f + n])) for f, n in zip(first, lengths)) or scores(codes, first, lengths, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "doc_id"])
+    rows = [r for b in langid._predict(pieces, ["a", "b"], model)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(asked) == sorted(set(asked)) and set(asked) == {w for t in texts for w in re.findall(r"[a-zß]+", t or "")}
+    for i, r in enumerate(rows):
+        codes, starts, _ = langid.letter_words([texts[i]])
+        if not len(starts):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        sums = scores(codes, starts, np.diff(np.r_[starts, len(codes)]), pieces, model).sum(0)
+        assert r["lang_pred"] == "ab"[sums.argmax()] and r["score"] == pytest.approx(1 / np.exp(sums - sums.max()).sum())
+    apart = sum(langid.expected_counts([t], np.array([i % 2]), 2, pieces) for i, t in enumerate(texts))
+    assert langid.expected_counts(texts, np.arange(len(texts)) % 2, 2, pieces) == pytest.approx(apart)
