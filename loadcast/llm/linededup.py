@@ -60,7 +60,7 @@ LINES = pa.schema(
 class Lines:
     """All lines of some texts: places in one array of code points, without blanks at the ends, and their keys."""
 
-    def __init__(self, texts: list[str | None], min_chars: int = MIN_CHARS):
+    def __init__(self, texts: list[str | None], min_chars: int = MIN_CHARS, keyed: bool = True):
         joined = "\n".join(t or "" for t in texts)
         codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         ends = np.r_[np.flatnonzero(codes == 10), len(codes)]
@@ -78,7 +78,8 @@ class Lines:
         self.lengths = self.ends - self.starts
         # the hash of a whole line is no polynomial of its characters, which long lines could share by their make
         whole = (xxhash.xxh3_64_intdigest(line.strip(BLANKS).encode("utf-8", "replace"), SEED) for line in joined.split("\n"))
-        self.keys = np.fromiter(whole, np.uint64, len(starts)).view(np.int64)
+        if keyed or (self.lengths < WIDTH).any():  # a short line is one shingle, its key
+            self.keys = np.fromiter(whole, np.uint64, len(starts)).view(np.int64)
         self.counted = self.lengths >= max(min_chars, 1)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +90,8 @@ class Lines:
         ends = np.minimum(at + WIDTH, len(self.sums) - 1)
         items = mixed((self.sums[ends] - self.sums[at]) * self.down[at])
         short = self.lengths[which] < WIDTH
-        items[begins[short]] = self.keys[which[short]].view(np.uint64)
+        if short.any():
+            items[begins[short]] = self.keys[which[short]].view(np.uint64)
         return items, counts
 
 
@@ -158,19 +160,14 @@ def _sketch(min_chars: int):
     return run
 
 
-def line_sets(texts: pa.Array) -> list[np.ndarray]:
-    """Shingle sets of whole lines, each sorted."""
-    out: list[np.ndarray] = []
+def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of whole lines, one line after another, repeats included, and how many each has."""
+    items, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, group in _groups(texts.to_pylist()):
-        lines = Lines(group)
-        items, counts = lines.shingles(np.arange(len(group)))
-        ends = np.cumsum(counts).tolist()
-        for low, high in zip([0, *ends], ends):
-            some = np.sort(items[low:high])
-            new = np.ones(len(some), bool)
-            np.not_equal(some[1:], some[:-1], out=new[1:])
-            out.append(some[new])
-    return out
+        found = Lines(group, keyed=False).shingles(np.arange(len(group)))
+        items.append(found[0])
+        counts.append(found[1])
+    return np.concatenate(items), np.concatenate(counts)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -17,8 +17,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, GroupedData, Window
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from loadcast.llm.batches import returning, slices
@@ -28,23 +29,45 @@ from loadcast.sources.scratch import materialize
 # Workers get this module's functions with the task, wherever the package lives.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ToSets = Callable[[pa.Array], list[np.ndarray]]
+# items of all sets, one set after another, repeats allowed, and how many each has
+ToSets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 PAIRED_MEMBERS = 32  # of a bucket whose pairs are listed, so that a pair of many buckets is compared once
 BLOCK_MEMBERS = 512
 BLOCK_SIGNATURES = 1024
 DEVIATIONS = 6
 BLOCK_ITEMS = 2_000_000
-
-
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach the similarity."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    items = np.concatenate((x, y))
-    items.sort()
-    both = np.count_nonzero(items[1:] == items[:-1])
-    return 100 * both >= percent * (len(items) - both)
+PAIRS_BYTES = 1 << 20
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def similar(sets: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of sets, given by their numbers, reach the similarity."""
+    items, counts = sets[0].view(np.uint64), sets[1]
+    begins, both = np.cumsum(counts) - counts, counts[x] + counts[y]
+    # different slots taken are items of the union at least; what is left of all items bounds the shared ones
+    slots = 1 << np.ceil(np.log2(8 * np.maximum(both, 1))).astype(np.int64)
+    taken = np.zeros(slots.sum(), bool)
+    for side in (x, y):
+        at = items[_ranges(begins[side], counts[side])]
+        at &= np.repeat((slots - 1).astype(np.uint64), counts[side])
+        taken[at.view(np.int64) + np.repeat(np.cumsum(slots) - slots, counts[side])] = True
+    eights = np.bitwise_count(taken.view(np.uint64))
+    union = np.add.reduceat(eights, (np.cumsum(slots) - slots) // 8, dtype=np.int64) if len(slots) else slots
+    hit = 100 * (both - union) >= percent * union
+    x, y = x[hit], y[hit]
+    if both[hit].sum():
+        # each pair shifts its items by a number of its own, so that one sort brings together those of all pairs
+        pair = np.concatenate([np.repeat(np.arange(len(x)), counts[side]) for side in (x, y)])
+        shifted = items[np.concatenate([_ranges(begins[side], counts[side]) for side in (x, y)])] + pair.astype(np.uint64) * SPREAD
+        order = np.argsort(shifted)
+        ranked, second = shifted[order], order >= counts[x].sum()
+        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        ones, sizes = np.diff(np.r_[0, np.cumsum(second)][np.r_[starts, len(ranked)]]), np.diff(np.r_[starts, len(ranked)])
+        shared = (ones > 0) & (ones < sizes)
+        pair = pair[order[starts]]
+        hit[hit] = 100 * np.bincount(pair[shared], minlength=len(x)) >= percent * np.bincount(pair, minlength=len(x))
+    return hit
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, to_sets: ToSets | None = None) -> DataFrame:
@@ -63,13 +86,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, to_sets: ToSets |
 def _reaching(percent: int, to_sets: ToSets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            pairs = zip(to_sets(batch.column(2)), to_sets(batch.column(3)))
-            hit = pa.array([similar(x, y, percent) for x, y in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
+            for part in _parts(batch):
+                n, texts = part.num_rows, pa.concat_arrays(part.columns[2:]).dictionary_encode()  # each text is cut once
+                which = texts.indices.to_numpy()
+                hit = pa.array(similar(to_sets(texts.dictionary), which[:n], which[n:], percent))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], names=["a", "b"])
 
     return run
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``PAIRS_BYTES`` of sets, or single rows."""
+    sizes = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+    part = np.cumsum(sizes) // PAIRS_BYTES
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for low, high in zip(bounds, bounds[1:]):
+        yield batch.slice(low, high - low)
+
+
 def spanning_links(
     keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signatures: DataFrame | None = None, to_sets: ToSets | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -80,12 +114,12 @@ def spanning_links(
     (node, signature), repeated rows allowed, a byte per minimum or maximum; with them only members are
     compared on full sets that come near another component by their signature,
     ``DEVIATIONS`` standard errors below the wanted similarity or better.
-    to_sets: makes sorted sets of what sets_of gives as items, where that is not
-    the sets but a shorter form, such as the text.
+    to_sets: makes sets of what sets_of gives as items, where that is not
+    the sets but a shorter form, the text.
     """
     # one pass over the sorted keys: a member is paired with the first node of its bucket
-    pivot = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    starred = materialize(keyed.withColumn("pivot", pivot).filter("pivot < node").distinct(), "buckets")
+    dealt = keyed.select("node", "key").repartition("key").sortWithinPartitions("key", "node")
+    starred = materialize(dealt.mapInArrow(returning(_stars), "node long, key long, pivot long"), "buckets")
     pairs = materialize(starred.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(sets_of(needed), "sets")
@@ -114,6 +148,23 @@ def spanning_links(
     return links, materialize(components(links), "components")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, key) sorted by key and node, the members of each bucket but its first, each once, with the first as pivot."""
+    last = np.zeros((0, 3), np.int64)  # node, key, pivot of the row before
+    for batch in batches:
+        node, key = (batch.column(c).to_numpy() for c in (0, 1))
+        if not len(node):
+            continue
+        nodes, keys = np.r_[last[:, 0], node], np.r_[last[:, 1], key]
+        begins = np.r_[True, keys[1:] != keys[:-1]]
+        pivots = nodes[np.maximum.accumulate(np.where(begins, np.arange(len(nodes)), 0))]
+        if len(last):
+            pivots[keys == last[0, 1]] = last[0, 2]  # its bucket goes on; others never hold that key
+        new = ~begins & np.r_[False, nodes[1:] != nodes[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (nodes, keys, pivots)], names=["node", "key", "pivot"])
+        last = np.array([[nodes[-1], keys[-1], pivots[-1]]])
+
+
 def _sized(rest: DataFrame) -> DataFrame:
     """Members with the number n of members of their bucket."""
     return rest.join(rest.groupBy("key").agg(F.count("*").alias("n")), "key")
@@ -181,47 +232,55 @@ def _compare(percent: int, to_sets: ToSets | None) -> Callable[[pa.Table], pa.Ta
         nodes, roots, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
         items = table.column("items").combine_chunks()
         if to_sets:
-            sets = to_sets(items)
-            values, offsets = np.concatenate(sets), np.cumsum(np.r_[0, [len(s) for s in sets]])
+            values, counts = to_sets(items)
         else:
-            values, offsets = items.flatten().to_numpy(), np.asarray(items.offsets)
-            offsets = offsets - offsets[0]
-        sizes = np.diff(offsets)
-        # shared items of all pairs: sort all items once, then count runs
-        parent = {r: r for r in set(roots.tolist())}
-
-        def find(r):
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
-        crossing = len(set(own.tolist())) > 1
-        out = []
+            values, counts = items.flatten().to_numpy(), np.diff(np.asarray(items.offsets))
+        n = len(nodes)
         order = np.argsort(values, kind="stable")
-        owner = np.repeat(np.arange(len(nodes)), sizes)[order]
-        ranked = values[order]
-        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        ids = np.empty(len(values), np.int64)
-        ids[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ranked)]))
-        holders_from = np.r_[starts, len(ranked)]
-        for p in range(len(nodes)):
-            counts = np.zeros(len(nodes), np.int64)
-            mine = ids[offsets[p] : offsets[p + 1]]
-            spans = holders_from[mine + 1] - holders_from[mine]
-            if spans.sum() > len(mine):
-                at = np.repeat(holders_from[mine] - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
-                counts = np.bincount(owner[at], minlength=len(nodes))
-            good = 100 * counts >= percent * (sizes[p] + sizes - counts)
-            good[: p + 1] = False
+        owner, ranked = np.repeat(np.arange(n), counts)[order], values[order]
+        other = np.r_[True, ranked[1:] != ranked[:-1]]
+        distinct = other | np.r_[True, owner[1:] != owner[:-1]]
+        owner, ids = owner[distinct], (np.cumsum(other) - 1)[distinct]
+        sizes, held = np.bincount(owner, minlength=n), np.bincount(ids)
+        kinds = len(held)
+        rarity = np.empty(kinds, np.int64)
+        rarity[np.argsort(held, kind="stable")] = np.arange(kinds)
+        # each set's items from the rarest on; similar sets share one of the first that neither can miss
+        items = np.sort(owner * kinds + rarity[ids]) - np.repeat(np.arange(n) * kinds, sizes)
+        first = sizes - np.maximum(-(-percent * sizes // 100), 1) + 1
+        offsets = np.cumsum(sizes) - sizes
+        leading = np.arange(len(items)) - np.repeat(offsets, sizes) < np.repeat(first, sizes)
+        order = np.argsort(items[leading], kind="stable")
+        holders = np.repeat(np.arange(n), first)[order]
+        holders_from = np.searchsorted(items[leading][order], np.arange(kinds + 1))
+
+        roots, crossing = roots.copy(), len(set(own.tolist())) > 1
+        mine, out = np.zeros(kinds, np.int8), []
+        for p in range(n):
+            leads = items[offsets[p] : offsets[p] + first[p]]
+            met = np.zeros(n, bool)
+            met[holders[_ranges(holders_from[leads], holders_from[leads + 1] - holders_from[leads])]] = True
+            met[: p + 1] = False
+            met &= roots != roots[p]
             if crossing:
-                good &= own != own[p]
-            for q in np.flatnonzero(good):
-                x, y = find(int(roots[p])), find(int(roots[q]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
+                met &= own != own[p]
+            met &= (100 * sizes >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes)
+            q = np.flatnonzero(met)
+            if not len(q):
+                continue
+            mine[items[offsets[p] : offsets[p] + sizes[p]]] = 1
+            both = np.add.reduceat(mine[items[_ranges(offsets[q], sizes[q])]], np.cumsum(sizes[q]) - sizes[q], dtype=np.int64)
+            mine[items[offsets[p] : offsets[p] + sizes[p]]] = 0
+            for q in q[100 * both >= percent * (sizes[p] + sizes[q] - both)]:
+                if roots[p] != roots[q]:
                     out.append((min(nodes[p], nodes[q]), max(nodes[p], nodes[q])))
+                    roots[roots == max(roots[p], roots[q])] = min(roots[p], roots[q])
         low, high = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
     return links
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())

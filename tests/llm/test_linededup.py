@@ -190,3 +190,95 @@ def test_lines_that_stay_are_not_split_again(spark, docs):
     plan = linededup.dedup_lines(docs((1, "a"), (2, "a")))._jdf.queryExecution().optimizedPlan().toString()
     inner = plan[plan.index("transform(array_except") if "transform(array_except" in plan else 0 :]
     assert "lambdafunction(split(" not in inner and "get(split(" not in plan
+
+
+def near_lines(n, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(60)]
+    bases = [rng.choices(words, k=rng.randint(1, 30)) for _ in range(n // 5)]
+    lines = []
+    for _ in range(n):
+        line = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 2)):
+            line[rng.randrange(len(line))] = rng.choice(words)
+        lines.append(" ".join(line))
+    return [line.strip() for line in lines], rng
+
+
+def alike(x, y):
+    x, y = ({t[i : i + linededup.WIDTH] for i in range(max(len(t) - linededup.WIDTH, 0) + 1)} for t in (x, y))
+    return 100 * len(x & y) >= linededup.PERCENT * len(x | y)
+
+
+def test_pairs_are_verified_with_each_text_cut_once():
+    import pyarrow as pa
+
+    from loadcast.llm import links
+
+    lines, rng = near_lines(120, 8)
+    lines += ["x" * 300, "x" * 400, "ab" * 100, "short", "日本語の行です。日本語の行です。", "日本語の行です。日本語の行です!"]
+    pairs = [(a, b) for a in range(len(lines)) for b in rng.sample(range(len(lines)), 20)]
+    cut = []
+
+    def sets(texts):
+        cut.extend(texts.to_pylist())
+        return linededup.line_sets(texts)
+
+    columns = [pa.array(c) for c in zip(*((a, b, lines[a], lines[b]) for a, b in pairs))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["a", "b", "x", "y"])
+    hits = [p for out in links._reaching(linededup.PERCENT, sets)(iter([batch])) for p in zip(*(c.to_pylist() for c in out.columns))]
+    assert hits == [(a, b) for a, b in pairs if alike(lines[a], lines[b])] and len(hits) > 20
+    assert len(cut) < 1.5 * len(pairs)  # not both texts of every pair
+    none = batch.slice(0, 0)
+    assert sum(out.num_rows for out in links._reaching(linededup.PERCENT, sets)(iter([none]))) == 0
+
+
+def test_members_of_a_block_are_compared_by_their_rarest_items(monkeypatch):
+    import pyarrow as pa
+
+    from loadcast.llm import links
+
+    looked, ranges = [], links._ranges
+    monkeypatch.setattr(links, "_ranges", lambda starts, lengths: looked.append(lengths.sum()) or ranges(starts, lengths))
+
+    def compared(lines, roots, own):
+        table = pa.table({"node": range(len(lines)), "root": roots, "own": pa.array(own, pa.int32()), "items": lines})
+        out = links._compare(linededup.PERCENT, linededup.line_sets)(table)
+        return list(zip(*(c.to_pylist() for c in out.columns)))
+
+    for seed in range(4):
+        lines, rng = near_lines(150, seed)
+        roots = [rng.randrange(60) for _ in lines]
+        own = [rng.randrange(1 + seed % 2) for _ in lines]
+        now, links_ = list(roots), []
+        for p in range(len(lines)):
+            for q in range(p + 1, len(lines)):
+                if now[p] != now[q] and (seed % 2 == 0 or own[p] != own[q]) and alike(lines[p], lines[q]):
+                    links_.append((p, q))
+                    low, high = sorted((now[p], now[q]))
+                    now = [low if r == high else r for r in now]
+        assert compared(lines, roots, own) == links_ and links_
+    looked.clear()
+    rng = random.Random(2)
+    common = "".join(rng.choices("abcdefgh", k=100))
+    lines = [common + "".join(rng.choices("ijklmnop", k=100)) for _ in range(200)]
+    assert compared(lines, list(range(200)), [0] * 200) == []
+    assert sum(looked) < 200 * 200  # each set's own items, not the common ones of all pairs
+
+
+def test_stars_of_sorted_buckets_go_on_across_batches():
+    import pyarrow as pa
+
+    from loadcast.llm import links
+
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(-20, 20), rng.randrange(-9, 9)) for _ in range(300))
+    rows += [(99, n) for n in (-5, -5, -5, 1, 1, 2, 3, 4, 5, 6)]
+    first = {k: n for k, n in reversed(rows)}
+    expected = sorted({(n, k, first[k]) for k, n in rows if n != first[k]})
+    for size in (1, 2, 7, 1000):
+        keys, nodes = zip(*rows)
+        whole = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys)], names=["node", "key"])
+        parts = [whole.slice(at, size) for at in range(0, len(rows), size)]
+        got = [r for out in links._stars(iter([whole.slice(0, 0), *parts])) for r in zip(*(c.to_pylist() for c in out.columns))]
+        assert sorted(got) == expected and len(set(got)) == len(got)
