@@ -5,8 +5,9 @@ the smallest node of its bucket; distinct pairs are verified on full sets and
 joined to components.  What is left are buckets whose members lie in different
 components: the pairs of small ones are listed, each pair once, where sets have a
 short form; others are cut into blocks, each pair of blocks is a task of bounded size, and inside it members of different components are compared on full sets
-until all are compared or joined.  So every pair that shares a bucket is either
-joined by links or compared, while a bucket of n members gives some n links,
+until all are compared or joined, but for pairs that share none of the rare
+items of which similar sets share one.  So every pair that shares a bucket is
+either joined by links, compared or known to be unlike, while a bucket of n members gives some n links,
 not n * n pairs.
 """
 
